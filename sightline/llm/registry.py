@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing
+from . import exact_dedup, langid, packing, warc
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": langid.query,
         "op4_exact_dedup": exact_dedup.query,
+        "op6_warc": warc.query,
         "op7_best_fit_packing": packing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE}
+    return {"op4_exact_dedup": exact_dedup.ORACLE, "op6_warc": warc.ORACLE}
