@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, packing, warc
+from . import exact_dedup, langid, packing, quality_rules, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op4_exact_dedup": exact_dedup.query,
         "op6_warc": warc.query,
         "op7_best_fit_packing": packing.query,
+        "op8_quality_rules": quality_rules.query,
     }
 
 
