@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, packing, quality_rules, warc
+from . import exact_dedup, langid, mixing, packing, quality_rules, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op6_warc": warc.query,
         "op7_best_fit_packing": packing.query,
         "op8_quality_rules": quality_rules.query,
+        "op9_pfair_mixing": mixing.query,
     }
 
 
