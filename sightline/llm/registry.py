@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, mixing, packing, quality_rules, warc
+from . import exact_dedup, langid, licenses, mixing, packing, quality_rules, warc, weak_labels
 
 
 def queries() -> dict:
     return {
         "op1_language_id": langid.query,
+        "op2_quality_classifier": weak_labels.query,
+        "op3_license_scan": licenses.query,
         "op4_exact_dedup": exact_dedup.query,
         "op6_warc": warc.query,
         "op7_best_fit_packing": packing.query,
