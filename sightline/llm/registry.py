@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, licenses, mixing, packing, quality_rules, warc, weak_labels
+from . import exact_dedup, jaccard_join, langid, licenses, mixing, packing, quality_rules, warc, weak_labels
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_quality_classifier": weak_labels.query,
         "op3_license_scan": licenses.query,
         "op4_exact_dedup": exact_dedup.query,
+        "op5_ngram_jaccard_join": jaccard_join.query,
         "op6_warc": warc.query,
         "op7_best_fit_packing": packing.query,
         "op8_quality_rules": quality_rules.query,
