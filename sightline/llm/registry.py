@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, langid, licenses, mixing, packing, quality_rules, warc, weak_labels
+from . import exact_dedup, jaccard_join, langid, licenses, mixing, packing, quality_rules, substring_dedup, warc, weak_labels
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_best_fit_packing": packing.query,
         "op8_quality_rules": quality_rules.query,
         "op9_pfair_mixing": mixing.query,
+        "op10_substring_dedup": substring_dedup.query,
     }
 
 
