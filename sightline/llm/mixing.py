@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .rows import keep_chosen
 from .workspace import Workspace
 
 
@@ -90,20 +91,21 @@ def blocks(docs: DataFrame, block_size: int, rows_per_bucket: int = 100_000) ->
 
 
 def pfair_mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_size: int = 16_384, slots: int = 1000, alpha: float = 0.5) -> DataFrame:
-    """One row per input row: doc_id, source, size, block, release, deadline, slot, place, mixed.
+    """One row per input row: doc_id, source, size, block, release, deadline, slot, place, mixed, tid.
 
     Text size is counted in code points (null: 0).  ``weights`` are the target weights
     of the sources, scaled to sum to one (unnamed sources get none); without them they
     follow the sources' own size ** alpha.  Rows are in mixing order when sorted by
     (slot, place).  The mixture ends at the first slot whose block the source hasn't
     got; ``mixed`` is false for rows beyond it and for sources of no weight (slot null).
-    A null source is a source of its own.  Repeated rows are rows of their own; an
+    ``tid`` is a hash of the text.  A null source is a source of its own.  Repeated rows are rows of their own; an
     empty table gives an empty result.  Other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "mixing")
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("size"), key.alias("key"))
+    tid = F.xxhash64(F.col(text_col).cast("string"), F.col(text_col).isNull()).alias("tid")
+    base = docs.select(F.col(id_col).alias("doc_id"), tid, F.col(source_col).cast("string").alias("source"), F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("size"), key.alias("key"))
     data = ws.store(base.withColumn("row_id", F.monotonically_increasing_id()), "rows")
     sizes = data.groupBy("source").agg(F.sum("size").alias("size"))
     if weights:
@@ -138,8 +140,19 @@ def pfair_mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col:
         "slot",
         "place",
         F.coalesce(F.col("slot") < F.lit(missing).cast("long"), F.lit(False)).alias("mixed"),
+        "tid",
     )
 
 
+def keep_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, that :func:`pfair_mix` takes into the mixture.
+
+    Rows equal in id and text are taken or left together.
+    """
+    found = pfair_mix(docs, id_col=id_col, text_col=text_col, **options)
+    chosen = found.groupBy(F.col("doc_id").alias("id"), "tid").agg(F.bool_or("mixed").alias("mixed")).filter("mixed").select("id", "tid", F.lit(1).alias("times"))
+    return keep_chosen(docs, chosen, id_col, text_col)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
-    return pfair_mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pfair_mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("tid")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import exact_dedup, jaccard_join, langid, licenses, mixing, packing, quality_rules, substring_dedup, warc, weak_labels
 
 
@@ -17,6 +19,7 @@ def queries() -> dict:
         "op8_quality_rules": quality_rules.query,
         "op9_pfair_mixing": mixing.query,
         "op10_substring_dedup": substring_dedup.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
