@@ -9,7 +9,10 @@ not full are exchanged (dealt anew, to fewer partitions) and packed again.
 
 from __future__ import annotations
 
+import json
 import math
+import os
+import re
 
 import numpy as np
 import pandas as pd
@@ -21,40 +24,89 @@ from pyspark.sql import types as T
 from .workspace import Workspace
 
 #: Token strings that a worker remembers before it starts afresh.
-CACHE = 400_000
+CACHE = 300_000
 
 
-def _piece_batches(batches, path: str, capacity: int, end_id: int):
-    import os
+#: Characters of text that a task holds as separate words at a time, unless one text is longer.
+CHUNK = 1 << 20
+#: Latin letters, then ASCII punctuation: such a word is one run of letters and one of symbols to the tokenizer.
+PLAIN_WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
+#: The set-up for which words may be cut so (see :class:`WordEncoder`).
+PLAIN_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+PLAIN_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    end, known = np.array([end_id], "<u4").tobytes(), {"": b""}
+class WordEncoder:
+    """Ids of single words, remembered, by a tokenizer that drops white space.
+
+    The tokenizer's normalizer and pre-tokenizer take most of its time.  If they are the
+    usual lower-casing ones, a word of Latin letters and trailing punctuation goes to the
+    tokenizer's model directly, as its two runs; all other words take the whole way.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path) as f:
+            setup = json.load(f)
+        normalizers = [x["type"] for x in (setup.get("normalizer") or {}).get("normalizers", [])]
+        steps = (setup.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        self.plain = normalizers == PLAIN_NORMALIZERS and steps[0].get("pattern") == {"Regex": PLAIN_PATTERN} and [x["type"] for x in steps] == ["Split", "ByteLevel"] and not steps[1].get("add_prefix_space", True)
+        self.known, self.runs = {"": b""}, {"": b""}
+        # Byte-level models spell a byte as the character of its code, or of 256 and up for those without a shape.
+        shapeless = [c for c in range(256) if not (33 <= c <= 126 or 161 <= c <= 172 or c >= 174)]
+        self.spelling = {c: 256 + i for i, c in enumerate(shapeless)}
+
+    def _run(self, run: str) -> bytes:
+        if (ids := self.runs.get(run)) is None:
+            spelled = run if run.isascii() else run.encode().decode("latin-1").translate(self.spelling)
+            ids = self.runs[run] = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u4").tobytes()
+        return ids
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.known) + len(words) > CACHE:
+            self.known, self.runs = {"": b""}, {"": b""}
+        rest = []
+        for w in words - self.known.keys():
+            if self.plain and (m := PLAIN_WORD.fullmatch(w)):
+                self.known[w] = self._run(m[1].lower()) + self._run(m[2])
+            else:
+                rest.append(w)
+        for i in range(0, len(rest), 5000):
+            for w, e in zip(rest[i : i + 5000], self.tokenizer.encode_batch(rest[i : i + 5000], add_special_tokens=False)):
+                self.known[w] = np.array(e.ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        # White space is dropped and never joins two words, so cutting at it changes no id.
+        split = [x.replace("\n", " ").split(" ") for x in texts]
+        self.learn(set().union(*split))
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+
+
+def _piece_batches(batches, path: str, capacity: int, end_id: int):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    encoder, end = WordEncoder(path), np.array([end_id], "<u4").tobytes()
     for batch in batches:
-        rows, numbers, starts, ids = [], [], [], []
-        # White space is dropped by this tokenizer and never joins two words, so words are encoded one by one and remembered.
-        split = [(x or "").replace("\n", " ").split(" ") for x in batch.column(1).to_pylist()]
-        new = set().union(*split).difference(known) if split else set()
-        if len(known) + len(new) > CACHE:
-            known = {"": b""}
-            new = set().union(*split).difference(known)
-        new = list(new)
-        for i in range(0, len(new), 5000):
-            for w, e in zip(new[i : i + 5000], tokenizer.encode_batch(new[i : i + 5000], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        for row, words in enumerate(split):
-            whole = b"".join(map(known.__getitem__, words)) + end
-            for k, at in enumerate(range(0, len(whole), 4 * capacity)):
-                rows.append(row)
-                numbers.append(k)
-                starts.append(at // 4)
-                ids.append(whole[at : at + 4 * capacity])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(starts, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-            names=["doc_id", "piece", "start", "length", "ids"],
-        )
+        texts = batch.column(1)
+        at = 0
+        while at < len(texts):
+            first, some, size = at, [], 0
+            while at < len(texts) and size < CHUNK:
+                some.append(texts[at].as_py() or "")
+                size, at = size + len(some[-1]), at + 1
+            rows, numbers, starts, ids = [], [], [], []
+            for row, whole in enumerate(encoder.encode(some), first):
+                whole += end
+                for k, start in enumerate(range(0, len(whole), 4 * capacity)):
+                    rows.append(row)
+                    numbers.append(k)
+                    starts.append(start // 4)
+                    ids.append(whole[start : start + 4 * capacity])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(starts, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                names=["doc_id", "piece", "start", "length", "ids"],
+            )
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
