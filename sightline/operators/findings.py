@@ -1,0 +1,297 @@
+"""Findings: taxonomy, consensus, merge with a second source, verdicts, gate and scores."""
+
+from __future__ import annotations
+
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions.paths import VERIFIER_RISK_PREFIXES, risky
+from ..functions.text import basename, normal_band, overlaps, severity_rank
+
+# Domains and limits that decide results.
+BANDS = {"Critical": "9.0-10.0", "High": "7.0-8.9", "Medium": "4.0-6.9", "Low": "0.1-3.9"}
+RAW_VERIFICATIONS = ["verified", "unverified", "conflicting"]
+FINDING_ID = r"^(A\d{2}:20\d{2}|LLM\d{2}:20\d{2}|SECRET-001)$"
+CONSENSUS_LINES = 2
+MERGE_LINES = 5
+TRUTH_LINES = 3
+VERDICT_BATCH = 5
+
+
+def normalize_rules(raw: DataFrame, rules: DataFrame, raw_id: str = "raw_rule_id", longest: bool = False) -> DataFrame:
+    """``raw`` plus vuln_class: the rule of that very key, else the first (or longest) rule whose key the id contains, else the id cleaned up.
+
+    ``rules`` (key, vuln_class, rule_ord) is a rule table of fixed size and goes into the
+    expression as a literal array, so no join is needed.
+    """
+    table = sorted((r.rule_ord, r.key, r.vuln_class) for r in rules.collect())
+    exact = F.create_map(*[F.lit(x) for _, k, c in reversed(table) for x in (k, c)])
+    if longest:
+        table.sort(key=lambda r: (-len(r[1]), r[0]))
+    contained = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(c).alias("c")) for _, k, c in table])
+    hit = F.get(F.filter(contained, lambda r: F.col(raw_id).contains(r["k"])), 0)["c"]
+    clean = F.translate(F.lower(raw_id), " -", "__")
+    return raw.withColumn("vuln_class", F.coalesce(F.try_element_at(exact, F.col(raw_id)), hit, clean))
+
+
+def consensus(candidates: DataFrame, tolerance: int = CONSENSUS_LINES) -> DataFrame:
+    """B1 and A10: clusters of candidates of one file and class, in input order.
+
+    A candidate joins the first cluster whose range so far it overlaps within the
+    tolerance; clusters never merge afterwards, so the order (``ord``) matters.  The
+    result has the first voter's message and severity, the tools in order of first vote,
+    their number and all rule ids.  A group is the candidates of one class in one file.
+    """
+    member = F.struct("ord", "line_start", "line_end", "tool", "message", "raw_rule_id", "severity_hint")
+    groups = candidates.groupBy("file", "vuln_class").agg(F.sort_array(F.collect_list(member)).alias("ms"))
+    kind = "array<struct<lo:int,hi:int,members:array<int>>>"
+
+    def step(clusters, m, i):
+        fits = F.transform(clusters, lambda c: overlaps(m["line_start"], m["line_end"], c["lo"], c["hi"], tolerance))
+        at = F.array_position(fits, True)
+        grown = F.transform(
+            clusters,
+            lambda c, k: F.when(
+                k + 1 == at,
+                F.struct(F.least(c["lo"], m["line_start"]).alias("lo"), F.greatest(c["hi"], m["line_end"]).alias("hi"), F.concat(c["members"], F.array(i)).alias("members")),
+            ).otherwise(c),
+        )
+        own = F.struct(m["line_start"].alias("lo"), m["line_end"].alias("hi"), F.array(i).alias("members"))
+        return F.when(at > 0, grown).otherwise(F.concat(clusters, F.array(own))).cast(kind)
+
+    indexed = F.transform("ms", lambda m, i: F.struct(m.alias("m"), i.alias("i")))
+    clusters = groups.withColumn("cs", F.aggregate(indexed, F.array().cast(kind), lambda a, x: step(a, x["m"], x["i"])))
+    one = clusters.select("file", "vuln_class", "ms", F.explode("cs").alias("c"))
+    pick = one.withColumn("own", F.transform("c.members", lambda i: F.get(F.col("ms"), i)))
+    first = F.get("own", 0)
+    tools = F.array_distinct(F.transform("own", lambda m: m["tool"]))
+    return pick.select(
+        "file",
+        "vuln_class",
+        F.col("c.lo").alias("line_start"),
+        F.col("c.hi").alias("line_end"),
+        first["message"].alias("message"),
+        tools.alias("sources"),
+        F.size(tools).alias("consensus_score"),
+        F.transform("own", lambda m: m["raw_rule_id"]).alias("raw_rule_ids"),
+        first["severity_hint"].alias("severity_hint"),
+        first["ord"].alias("ord"),
+    )
+
+
+def islands(rows: DataFrame, keys: list[str], start: str, end: str, tolerance: int) -> DataFrame:
+    """B1 for input in line order, where it is gaps and islands: keys, island, lo, hi, n.
+
+    Runs in a window, so a key may have any number of rows.
+    """
+    w = W.partitionBy(*keys).orderBy(start, end)
+    reach = F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1))
+    marked = rows.withColumn("new", (F.coalesce(F.col(start) > reach + tolerance, F.lit(True))).cast("int"))
+    numbered = marked.withColumn("island", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("long"))
+    return numbered.groupBy(*keys, "island").agg(F.min(start).alias("lo"), F.max(end).alias("hi"), F.count(F.lit(1)).alias("n"))
+
+
+def merge_sources(left: DataFrame, right: DataFrame, tolerance: int = MERGE_LINES) -> DataFrame:
+    """Every left finding with its first overlapping right candidate, then the right ones that none took.
+
+    left: left_ord, file, classes (ordered array), line_start, line_end.
+    right: right_ord, file, vuln_class, line_start, line_end.
+    A start of 0 is an unknown line and matches nothing.  Result: kind (merged, left_only,
+    right_only), left_ord, right_ord, file, vuln_class, line_start, line_end.  A right
+    candidate may serve many left findings.
+    """
+    probes = left.select("left_ord", "file", F.col("line_start").alias("l0"), F.col("line_end").alias("l1"), F.posexplode("classes").alias("pos", "vuln_class")).filter("l0 <> 0")
+    cand = right.filter("line_start <> 0").select("right_ord", "file", "vuln_class", F.col("line_start").alias("r0"), F.col("line_end").alias("r1"))
+    near = overlaps(F.col("l0"), F.col("l1"), F.col("r0"), F.col("r1"), tolerance)
+    # The best match of a left row is an aggregate, combined before and after the shuffle.
+    best = probes.join(cand, ["file", "vuln_class"]).filter(near).groupBy("left_ord").agg(F.min(F.struct("pos", "right_ord", "vuln_class", "r0", "r1")).alias("m"))
+    joined = left.join(best, "left_ord", "left")
+    hit = F.col("m").isNotNull()
+    first = joined.select(
+        F.when(hit, "merged").otherwise("left_only").alias("kind"),
+        "left_ord",
+        F.col("m.right_ord").alias("right_ord"),
+        "file",
+        F.coalesce(F.col("m.vuln_class"), F.get("classes", 0)).alias("vuln_class"),
+        F.when(hit, F.least("line_start", "m.r0")).otherwise(F.col("line_start")).alias("line_start"),
+        F.when(hit, F.greatest("line_end", "m.r1")).otherwise(F.col("line_end")).alias("line_end"),
+    )
+    taken = best.select(F.col("m.right_ord").alias("right_ord")).distinct()
+    rest = right.join(taken, "right_ord", "left_anti").select(F.lit("right_only").alias("kind"), F.lit(None).cast(left.schema["left_ord"].dataType).alias("left_ord"), "right_ord", "file", "vuln_class", "line_start", "line_end")
+    return first.unionByName(rest)
+
+
+def truth_matches(truth: DataFrame, findings: DataFrame, tolerance: int = TRUTH_LINES) -> DataFrame:
+    """The truth rows with a finding of their file and class within some lines (semi-join)."""
+    t, f = truth.alias("t"), findings.alias("f")
+    on = (F.col("t.file") == F.col("f.file")) & (F.col("t.vuln_class") == F.col("f.vuln_class")) & overlaps(F.col("t.line_start"), F.col("t.line_end"), F.col("f.line_start"), F.col("f.line_end"), tolerance)
+    return t.join(f, on, "left_semi")
+
+
+def reject_reason(finding: dict[str, Column] | None = None) -> Column:
+    """F8: the first rule that a raw finding breaks, null if none: severity, band, id, status, scenario."""
+    c = finding or {x: F.col(x) for x in ("severity", "cvss_band", "vulnerability_id", "verification_status", "exploit_scenario", "affected_file")}
+    severity_ok = F.coalesce(c["severity"].isin(list(BANDS)), F.lit(False))
+    bands = F.create_map(*[F.lit(x) for kv in BANDS.items() for x in kv])
+    band_ok = F.coalesce(normal_band(c["cvss_band"]) == F.try_element_at(bands, c["severity"]), F.lit(False))
+    id_ok = F.coalesce(c["vulnerability_id"].rlike(FINDING_ID), F.lit(False))
+    status_ok = F.coalesce(c["verification_status"], F.lit("unverified")).isin(RAW_VERIFICATIONS)
+    return (
+        F.when(~severity_ok, "severity")
+        .when(~band_ok, "cvss_band")
+        .when(~id_ok, "vulnerability_id")
+        .when(~status_ok, "verification_status")
+        .when(~well_formed(c["exploit_scenario"], c["affected_file"]), "exploit_scenario")
+    )
+
+
+#: Words of which a scenario names one.
+SCENARIO_WORDS = ["payload", "request", "query", "parameter", "injection", "bypass", "forge"]
+
+
+def well_formed(scenario: Column, path: Column) -> Column:
+    """not blank, names the path or its base name, and has one of the words."""
+    named = scenario.contains(path) | ((basename(path) != "") & scenario.contains(basename(path)))
+    worded = reduce(or_, [F.lower(scenario).contains(w) for w in SCENARIO_WORDS])
+    return F.coalesce((F.trim(scenario) != "") & (path != "") & named & worded, F.lit(False))
+
+
+def blocks(severity: Column, confidence: Column, status: Column) -> Column:
+    """High at high confidence blocks; Critical also has to be verified; auto-triaged never does."""
+    return (status != "advisory_real") & (confidence == "High") & ((severity == "High") | ((severity == "Critical") & (status == "verified")))
+
+
+def advisory(severity: Column, confidence: Column, status: Column) -> Column:
+    """what looks like a blocker and isn't one."""
+    top = severity.isin("Critical", "High")
+    return (status == "advisory_real") | (top & confidence.isin("Medium", "Low")) | ((severity == "Critical") & (status == "conflicting"))
+
+
+def route_verdicts(candidates: DataFrame, verdicts: DataFrame, keep: list[str], advise: list[str]) -> DataFrame:
+    """V3: candidates (candidate_ord, file, ...) plus route: verified, advisory_real, unverified or dropped.
+
+    verdicts: candidate_ord, verdict (real, false_positive), confidence.  Without a verdict a
+    candidate stays unverified; risky paths keep medium confidence too; a missing confidence is low.
+    """
+    v = verdicts.select("candidate_ord", F.lower("verdict").alias("__v"), F.coalesce(F.lower("confidence"), F.lit("low")).alias("__c"))
+    j = candidates.join(v, "candidate_ord", "left")
+    kept = F.col("__c").isin(keep) | ((F.col("__c") == "medium") & risky(F.col("file"), VERIFIER_RISK_PREFIXES))
+    route = F.when(F.col("__v").isNull(), "unverified").when(F.col("__v") == "false_positive", "dropped").when(kept, "verified").when(F.col("__c").isin(advise), "advisory_real").otherwise("dropped")
+    return j.withColumn("route", route).drop("__v", "__c")
+
+
+def blind_pass(answer: Column) -> Column:
+    """V6: yes confirms; no, uncertain, errors and silence conflict."""
+    return F.when(F.lower(F.trim(answer)).startswith("yes"), "verified").otherwise("conflicting")
+
+
+def parse_verdicts(replies: DataFrame, text: str = "reply") -> DataFrame:
+    """V2: (reply's columns, candidate, verdict, confidence, reason) from lines ``VERDICT n: x``, ``CONFIDENCE n: y``, ``REASON n: z``.
+
+    Numbers count from 1, the last of duplicates wins, reasons are cut at 240 characters.
+    """
+
+    def pairs(name: str, value: str) -> Column:
+        pattern = F.lit(rf"(?im)^\s*{name}\s+(\d+)\s*:\s*({value})\s*$")
+        found = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("n"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("v"))
+        return F.aggregate(found, F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<string>")), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["n"].cast("int")), F.create_map(x["n"].cast("int"), x["v"])))
+
+    out = replies.withColumns({"__v": pairs("VERDICT", "[a-z_]+"), "__c": pairs("CONFIDENCE", "[a-z]+"), "__r": pairs("REASON", ".+?")})
+    out = out.withColumn("candidate", F.explode(F.map_keys("__v")))
+    at = lambda m: F.try_element_at(F.col(m), F.col("candidate"))
+    return out.withColumns({"verdict": F.lower(at("__v")), "confidence": F.lower(at("__c")), "reason": F.substring(at("__r"), 1, 240)}).drop("__v", "__c", "__r")
+
+
+def verdict_batches(candidates: DataFrame, keys: list[str], by: str = "vuln_class", order: str = "ord", size: int = VERDICT_BATCH) -> DataFrame:
+    """V1: candidates plus batch and homogeneous: sorted by class, cut by fives whatever the class.
+
+    ``keys`` name a scan; batches are numbered within it.
+    """
+    w = W.partitionBy(*keys).orderBy(by, order)
+    out = candidates.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+    one = W.partitionBy(*keys, "batch")
+    return out.withColumn("homogeneous", F.min(by).over(one) == F.max(by).over(one))
+
+
+def promotions(reply: Column, n: Column) -> Column:
+    """V7: the in-range numbers of a line ``PROMOTES: 1, 3``; none for fewer than two findings."""
+    listed = F.regexp_extract(reply, r"(?im)^\s*PROMOTES\s*:\s*([\d,\s]+)$", 1)
+    numbers = F.array_distinct(F.transform(F.regexp_extract_all(listed, F.lit(r"(\d+)"), F.lit(1)), lambda x: x.cast("int")))
+    return F.when(n >= 2, F.filter(numbers, lambda x: (x >= 1) & (x <= n))).otherwise(F.array().cast("array<int>"))
+
+
+def risk_points(severity: Column, verified: Column) -> Column:
+    """A14's weights."""
+    return F.when(severity == "Critical", F.when(verified, 18).otherwise(12)).when(severity == "High", F.when(verified, 8).otherwise(5)).when(severity == "Medium", F.when(verified, 3).otherwise(2)).otherwise(1)
+
+
+def risk_label(score: Column) -> Column:
+    """A15."""
+    return F.when(score >= 81, "Critical Risk").when(score >= 51, "High Risk").when(score >= 21, "Medium Risk").otherwise("Low Risk")
+
+
+def remediation_complexity(critical: Column, high: Column) -> Column:
+    """A16, from the numbers of verified Critical and High findings."""
+    return F.when(critical >= 3, "Critical").when((critical >= 1) | (high >= 3), "High").when(high >= 1, "Medium").otherwise("Low")
+
+
+def scan_summary(findings: DataFrame, keys: list[str]) -> DataFrame:
+    """A9, A14-A16, A18, A26, A27, A29 in one pass: counts by severity, score, label, decision and warnings by scan.
+
+    findings: severity, confidence, verification_status and boolean partial.
+    """
+    s, c, v = F.col("severity"), F.col("confidence"), F.col("verification_status")
+    n = lambda cond: F.count_if(F.coalesce(cond, F.lit(False)))
+    out = findings.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[n(s == x).alias(x.lower()) for x in BANDS],
+        F.least(F.lit(100), F.sum(risk_points(s, v == "verified"))).cast("long").alias("score"),
+        n((s == "Critical") & (v == "verified")).alias("critical_verified"),
+        n((s == "High") & (v == "verified")).alias("high_verified"),
+        n(blocks(s, c, v)).alias("blocking"),
+        n(advisory(s, c, v)).alias("advisory"),
+        n(v == "conflicting").alias("conflicting"),
+        n(v == "advisory_real").alias("triaged"),
+        n(s.isin("Critical", "High") & c.isin("Medium", "Low")).alias("demoted"),
+    )
+    warnings = F.array_compact(F.array(F.when(F.col("conflicting") > 0, F.lit("conflicting")), F.when(F.col("demoted") > 0, F.lit("demoted")), F.when(F.col("triaged") > 0, F.lit("auto_triaged"))))
+    return out.withColumns(
+        {
+            "label": risk_label(F.col("score")),
+            "complexity": remediation_complexity(F.col("critical_verified"), F.col("high_verified")),
+            "decision": F.when(F.col("blocking") > 0, "block").when(F.col("n") > 0, "advisory").otherwise("pass"),
+            "warnings": F.array_join(warnings, ","),
+            "exit_status": (F.col("critical") + F.col("high") > 0).cast("int"),
+        }
+    )
+
+
+def top_types(findings: DataFrame, keys: list[str], k: int = 2) -> DataFrame:
+    """The most common ids among Critical and High, ties by first sight."""
+    counts = findings.filter(F.col("severity").isin("Critical", "High")).groupBy(*keys, "vulnerability_id").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
+    w = W.partitionBy(*keys).orderBy(F.desc("n"), "first", "vulnerability_id")
+    return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def first_actions(findings: DataFrame, keys: list[str], k: int = 3) -> DataFrame:
+    """The first distinct actions by severity, then verified, then order."""
+    rank = F.struct(severity_rank(F.col("severity")).alias("s"), (F.col("verification_status") != "verified").alias("u"), F.col("ord").alias("o"))
+    best = findings.groupBy(*keys, "action").agg(F.min(rank).alias("r"))
+    w = W.partitionBy(*keys).orderBy("r", "action")
+    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("r")
+
+
+def regression(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys with state fixed, remaining or introduced."""
+    b, a = before.select(*keys).distinct(), after.select(*keys).distinct()
+    named = lambda x, s: x.withColumn("state", F.lit(s))
+    return named(b.subtract(a), "fixed").unionByName(named(b.intersect(a), "remaining")).unionByName(named(a.subtract(b), "introduced"))
+
+
+def bypass(critical: Column, justification: Column) -> Column:
+    """a Critical without a justification is not bypassed."""
+    return F.when((critical > 0) & (F.trim(F.coalesce(justification, F.lit(""))) == ""), "rejected").otherwise("bypassed")

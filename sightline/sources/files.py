@@ -1,0 +1,51 @@
+"""Files as rows: directory scans with pruning, caps and ignore patterns."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SKIPPED_DIRS = [".git", ".hg", ".svn", "node_modules", "__pycache__", ".venv", "venv", ".tox", "dist", "build"]
+MAX_FILE = 1_000_000
+
+
+def ignore_pattern(line: str) -> tuple[str, bool] | None:
+    """One line of an ignore file as (regular expression on the relative path, negated); None for blanks and comments."""
+    line = line.rstrip()
+    if not line or line.startswith("#"):
+        return None
+    negated, line = line.startswith("!"), line.lstrip("!")
+    only_dir, anchored = line.endswith("/"), "/" in line.rstrip("/")
+    body, i, line = "", 0, line.strip("/")
+    while i < len(line):
+        if line.startswith("**/", i):
+            body, i = body + "(?:.*/)?", i + 3
+        elif line.startswith("**", i):
+            body, i = body + ".*", i + 2
+        elif line[i] == "*":
+            body, i = body + "[^/]*", i + 1
+        elif line[i] == "?":
+            body, i = body + "[^/]", i + 1
+        else:
+            body, i = body + re.escape(line[i]), i + 1
+    return f"^{'' if anchored else '(?:.*/)?'}{body}{'/.*' if only_dir else '(?:/.*)?'}$", negated
+
+
+def pruned(files: DataFrame, ignore: list[str] = (), path: str = "path") -> DataFrame:
+    """The files that no ignore line drops; the last line that matches decides."""
+    dropped = F.lit(False)
+    for line in ignore:
+        if (rule := ignore_pattern(line)) is not None:
+            dropped = F.when(F.col(path).rlike(rule[0]), F.lit(not rule[1])).otherwise(dropped)
+    return files.filter(~dropped)
+
+
+def scan(spark: SparkSession, root: str, max_size: int = MAX_FILE, skip: list[str] = SKIPPED_DIRS, ignore: list[str] = ()) -> DataFrame:
+    """Path (relative), content of the UTF-8 files below a folder; skipped folders, patches, large and other files are left out."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).filter(F.col("length") <= max_size)
+    rel = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/")) + "/", "")
+    rows = raw.select(rel.alias("path"), F.try_validate_utf8(F.col("content").cast("string")).alias("content"))
+    kept = rows.filter(F.col("content").isNotNull() & ~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, skip))) & ~F.col("path").endswith(".patch"))
+    return pruned(kept, list(ignore))
