@@ -197,8 +197,11 @@ def plan(items: DataFrame, capacity: int = 4096, per_part: int = 50_000, rounds:
         packed = ws.store(dealt.groupBy("part").applyInPandas(_packer(capacity), _PLAN), f"round{k}")
         named = packed.withColumn("sequence_id", F.lit(k).cast("long") * (1 << 56) + F.col("part") * (1 << 32) + F.col("bin"))
         tops = packed.groupBy("part").agg(F.max("n_bins").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        if was_open is not None and tops >= was_open:  # the exchange won nothing: the plan before stays
-            break
+        if was_open is not None and tops >= was_open:  # the exchange won nothing: the plan before stays, another deal may win
+            ws.drop(f"round{k}")
+            if parts == 1:
+                break
+            continue
         is_full = F.col("fill") == capacity
         if old is not None:
             final[-1] = old.filter(is_full)
