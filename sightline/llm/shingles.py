@@ -6,7 +6,7 @@ from itertools import chain
 
 import numpy as np
 
-#: Words that a worker remembers before it starts afresh, and characters handled at a time.
+#: Words that a worker remembers before it starts afresh, and bytes handled at a time.
 CACHE = 400_000
 CHUNK = 1 << 20
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -43,9 +43,9 @@ class Shingler:
         self.width, self.words = width, _Words()
         self.seed = np.array([(seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF], np.uint64)
 
-    def sequences(self, texts: list[str]) -> list[np.ndarray]:
-        """Of each text the shingle hashes by position."""
-        split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    def sequences(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Of each text, in UTF-8, the shingle hashes by position."""
+        split = [t.lower().split() for t in texts]
         if len(self.words) > CACHE:
             self.words = _Words()
         counts = [len(x) for x in split]
@@ -71,12 +71,18 @@ class Shingler:
         return out
 
 
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    s = np.sort(hashes)
+    return s[np.append(True, s[1:] != s[:-1])] if len(s) > 1 else s
+
+
 def text_chunks(column):
-    """(first row, texts) of an Arrow column, about CHUNK characters at a time; null is empty."""
-    at = 0
+    """(first row, texts in UTF-8) of an Arrow column, about CHUNK bytes at a time; null is empty."""
+    column, at = column.cast("binary"), 0
     while at < len(column):
         first, some, size = at, [], 0
         while at < len(column) and size < CHUNK:
-            some.append(column[at].as_py() or "")
+            some.append(column[at].as_py() or b"")
             size, at = size + len(some[-1]), at + 1
         yield first, some
