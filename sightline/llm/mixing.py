@@ -156,3 +156,36 @@ def keep_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def query(spark, sf_dir: str) -> DataFrame:
     return pfair_mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("tid")
+
+
+ORACLE = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CAST(coalesce(length(text), 0) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+sizes AS (SELECT source, pow(CAST(sum(size) AS DOUBLE), 0.5) AS w FROM d GROUP BY 1 HAVING sum(size) > 0),
+exact AS (SELECT source, greatest(1000, 10 * count(*) OVER ()) AS total, w / sum(w) OVER () * greatest(1000, 10 * count(*) OVER ()) AS e FROM sizes),
+floors AS (SELECT source, total, e, greatest(CAST(floor(e) AS BIGINT), 1) AS f FROM exact),
+ranks AS (SELECT source, f, row_number() OVER (ORDER BY e - f DESC, source) AS r, total - sum(f) OVER () AS more FROM floors),
+shares AS (SELECT source, f + CASE WHEN r <= more THEN 1 ELSE 0 END AS share FROM ranks),
+every AS (SELECT list(CAST(share AS BIGINT) ORDER BY source) AS s, list(source ORDER BY source) AS names, CAST(sum(share) AS BIGINT) AS cycle FROM shares),
+run AS (
+  SELECT CAST(-1 AS BIGINT) AS t, list_transform(s, lambda x: CAST(0 AS BIGINT)) AS ran, CAST(0 AS BIGINT) AS pick, CAST(0 AS BIGINT) AS nth FROM every
+  UNION ALL
+  SELECT t + 1, list_transform(ran, lambda n, i: n + CASE WHEN i = p THEN 1 ELSE 0 END), p, ran[p] FROM (
+    SELECT run.t, run.ran, s, cycle,
+      list_min(list_transform(run.ran, lambda n, i: CASE WHEN n * cycle // s[i] <= run.t + 1 THEN ((n + 1) * cycle + s[i] - 1) // s[i] * 100000 + i END)) % 100000 AS p
+    FROM run, every WHERE run.t + 1 < cycle) z),
+period AS (SELECT names[pick] AS source, s[pick] AS share, cycle, nth, t AS p_slot FROM run, every WHERE t >= 0),
+placed AS (
+  SELECT *, (sum(size) OVER w - size) // 16384 AS block, row_number() OVER w - 1 AS place FROM d
+  WINDOW w AS (PARTITION BY source ORDER BY key ROWS UNBOUNDED PRECEDING)),
+per AS (SELECT DISTINCT source, share, cycle FROM period),
+slots AS (
+  SELECT p.*, q.share, q.cycle, p.block // q.share * q.cycle + r.p_slot AS slot FROM placed p LEFT JOIN per q ON p.source = q.source
+  LEFT JOIN period r ON r.source = p.source AND r.nth = p.block % q.share),
+horizon AS (
+  SELECT min((b.next // q.share) * q.cycle + r.p_slot) AS h FROM (SELECT source, max(block) + 1 AS next FROM placed GROUP BY 1) b
+  JOIN per q ON b.source = q.source JOIN period r ON r.source = b.source AND r.nth = b.next % q.share)
+SELECT doc_id, source, size, CAST(block AS BIGINT) AS block, CAST(block * cycle // share AS BIGINT) AS release,
+  CAST(((block + 1) * cycle + share - 1) // share AS BIGINT) AS deadline, CAST(slot AS BIGINT) AS slot, CAST(place AS BIGINT) AS place, coalesce(slot < h, FALSE) AS mixed
+FROM slots, horizon
+"""

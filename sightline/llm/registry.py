@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE, "op6_warc": warc.ORACLE}
+    return {"op4_exact_dedup": exact_dedup.ORACLE, "op6_warc": warc.ORACLE, "op9_pfair_mixing": mixing.ORACLE}
