@@ -8,56 +8,76 @@ label, and labels of a bounded sample train a linear scorer over hashed words an
 
 from __future__ import annotations
 
-import itertools
+import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .quality_rules import SPLIT, base_stats
+from .quality_rules import SYMBOLS
 
 #: Frequent function words of a few languages, for the vote on running text.
 FUNCTION_WORDS = "the of and to in a is that for it was with as on by der die und das ist ein nicht von mit zu den le la les de et un une est que pour dans el los las y en por con una para se del".split()
 
 
-def votes() -> dict[str, Column]:
-    """Heuristics over :func:`base_stats`, ``n_function``, ``n_distinct``, ``n_upper``, ``n_marks`` and ``n_runs``: 1 good, -1 bad, 0 nothing.  They overlap on purpose."""
-    words, lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
-    length, symbols = F.col("word_chars") / words, F.col("n_symbols") / words
-    repeat, dup, function = F.col("n_repeat_words") / words, F.col("n_dup_lines") / lines, F.col("n_function") / words
-
-    def vote(good: Column, bad: Column) -> Column:
-        return F.when(bad, -1).when(good, 1).otherwise(0)
-
-    return {
-        "symbols": vote(symbols < 0.02, symbols > 0.2),
-        "word_length": vote((length > 3.5) & (length < 8), (length < 2.5) | (length > 12)),
-        "repeats": vote(repeat < 0.15, repeat > 0.5),
-        "lines": vote(dup < 0.05, dup > 0.3),
-        "size": vote((F.col("n_words") >= 50) & (F.col("n_words") <= 50_000), F.col("n_words") < 10),
-        "shouting": vote(F.col("n_upper") < 0.25 * F.col("word_chars"), F.col("n_upper") > 0.5 * F.col("word_chars")),
-        "marks": vote(F.col("n_marks") < 0.1 * words, F.col("n_marks") > 0.5 * words),
-        "variety": vote(F.col("n_distinct") > 0.2 * words, (F.col("n_distinct") < 0.1 * words) & (F.col("n_words") >= 50)),
-        "runs": vote(F.col("n_runs") < 0.01 * words, F.col("n_runs") > 0.1 * words),
-        "running": vote(function > 0.06, (function < 0.01) & (F.col("n_words") >= 30)),
-    }
-
-
-def _featured(docs: DataFrame, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    counted = F.size(F.filter(F.split(F.lower(text), "[^\\p{L}]+"), lambda w: w.isin(FUNCTION_WORDS)))
-    more = {
-        "n_function": counted,
-        "n_upper": F.length(text) - F.length(F.regexp_replace(text, "\\p{Lu}", "")),
-        "n_distinct": F.size(F.array_distinct(F.split(text, SPLIT))),
-        "n_runs": F.regexp_count(text, F.lit("([^\\p{L}\\p{N}\\s])\\1\\1")),
-        "n_marks": F.length(text) - F.length(F.translate(text, "!?|", "")),
-    }
-    return base_stats(docs.withColumns({k: v.cast("long") for k, v in more.items()}), text_col)
+#: The heuristics, in the order of their votes.
+NAMES = ["symbols", "word_length", "repeats", "lines", "size", "shouting", "marks", "variety", "runs", "running"]
+_LETTERS = re.compile(r"[^\W\d_]+")
+_RUNS = re.compile(r"([^\w\s])\1\1")
+_BLANKS = re.compile("[\x20\x09-\x0D]+")
+
+
+def ballot(text: str) -> list[int]:
+    """Votes on a text: 1 good, -1 bad, 0 nothing.  The heuristics overlap on purpose."""
+    words = [w for w in _BLANKS.split(text) if w]
+    n, chars = max(len(words), 1), sum(map(len, words))
+    counts = Counter(words)
+    windows = list(zip(words, words[1:], words[2:]))
+    seen, repeated, last = Counter(windows), 0, -3
+    if len(seen) < len(windows):
+        for i, w in enumerate(windows):
+            if seen[w] > 1:
+                repeated, last = repeated + min(3, i - last), i
+    lines = [x for x in text.split("\n") if _BLANKS.sub("", x)]
+    letters = Counter(_LETTERS.findall(text.lower()))
+    function = sum(letters[w] for w in FUNCTION_WORDS)
+    upper = sum(map(str.isupper, text))
+    symbols, marks = sum(map(text.count, SYMBOLS)), sum(map(text.count, "!?|"))
+    runs = sum(1 for _ in _RUNS.finditer(text))
+    length, duplicate = chars / n, 1 - len(set(lines)) / max(len(lines), 1)
+    tests = [
+        (symbols < 0.02 * n, symbols > 0.2 * n),
+        (3.5 < length < 8, length < 2.5 or length > 12),
+        (repeated < 0.15 * n, repeated > 0.5 * n),
+        (not lines or duplicate < 0.05, bool(lines) and duplicate > 0.3),
+        (50 <= len(words) <= 50_000, len(words) < 10),
+        (upper < 0.25 * chars, upper > 0.5 * chars),
+        (marks < 0.1 * n, marks > 0.5 * n),
+        (len(counts) > 0.2 * n, len(counts) < 0.1 * n and len(words) >= 50),
+        (runs < 0.01 * n, runs > 0.1 * n),
+        (function > 0.06 * n, function < 0.01 * n and len(words) >= 30),
+    ]
+    return [-1 if bad else 1 if good else 0 for good, bad in tests]
+
+
+def _vote_batches(batches):
+    for batch in batches:
+        patterns = [",".join(map(str, ballot(x or ""))) for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(patterns, pa.string())], names=["doc_id", "text", "pattern"])
+
+
+def _tally_batches(batches):
+    """Votes counted inside a task: a row a pattern."""
+    tally: Counter = Counter()
+    for batch in batches:
+        for x in batch.column(0).to_pylist():
+            tally[",".join(map(str, ballot(x or "")))] += 1
+    yield pa.RecordBatch.from_arrays([pa.array(list(tally.keys()), pa.string()), pa.array(list(tally.values()), pa.int64())], names=["pattern", "n"])
 
 
 #: What a heuristic is taken to do before any vote is seen, for (bad, good) documents: shares of -1, 0, 1.
@@ -99,35 +119,42 @@ class Scorer:
     bits: int
 
 
-def _features(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed words and word shapes of a whole text with log frequencies, scaled to length one; the last weight is the bias."""
-    words = text.split()
-    shapes = {}
-    for w in words:
-        shapes[w] = shapes.get(w, 0) + 1
-    bag: dict[int, float] = {}
-    shape_counts: dict[str, int] = {}
-    for w, n in shapes.items():
-        at = zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) & ((1 << bits) - 1)
-        bag[at] = bag.get(at, 0) + n
-        tail = "".join(sorted({c for c in w if not c.isalnum()}))[:4]
-        shape = f"{min(len(w), 12)}{tail}"
-        shape_counts[shape] = shape_counts.get(shape, 0) + n
-    total = max(len(words), 1)
-    values = {k: np.log1p(v) for k, v in bag.items()}
-    norm = np.sqrt(sum(v * v for v in values.values())) or 1.0
-    out = {k: v / norm for k, v in values.items()}
-    for shape, n in shape_counts.items():
-        at = zlib.crc32(b"\0" + shape.encode("utf-8", "surrogatepass")) & ((1 << bits) - 1)
-        out[at] = out.get(at, 0.0) + 3.0 * n / total
-    at = zlib.crc32(b"\1distinct") & ((1 << bits) - 1)
-    out[at] = out.get(at, 0.0) + 3.0 * len(shapes) / total
-    return np.fromiter(out.keys(), np.int64, len(out)), np.fromiter(out.values(), np.float64, len(out))
+class Hasher:
+    """Hashed words and word shapes of whole texts with log frequencies, scaled to length one; what words hash to is remembered."""
+
+    def __init__(self, bits: int):
+        self.mask, self.known = (1 << bits) - 1, {}
+
+    def _word(self, w: str) -> tuple[int, int]:
+        marks = "" if w.isalnum() else "".join(sorted({c for c in w if not c.isalnum()}))[:4]
+        shape = f"\0{min(len(w), 12)}{marks}"
+        return tuple(zlib.crc32(x.encode("utf-8", "surrogatepass")) & self.mask for x in (w.lower(), shape))
+
+    def features(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        words = text.split()
+        counts, total = Counter(words), max(len(words), 1)
+        if len(self.known) > 300_000:
+            self.known = {}
+        bag: dict[int, float] = {}
+        shapes: dict[int, float] = {}
+        for w, n in counts.items():
+            at = self.known.get(w)
+            if at is None:
+                at = self.known[w] = self._word(w)
+            bag[at[0]] = bag.get(at[0], 0) + n
+            shapes[at[1]] = shapes.get(at[1], 0) + n
+        distinct = zlib.crc32(b"\1distinct") & self.mask
+        shapes[distinct] = shapes.get(distinct, 0) + len(counts)
+        at = np.fromiter((*bag, *shapes), np.int64, len(bag) + len(shapes))
+        logs = np.log1p(np.fromiter(bag.values(), np.float64, len(bag)))
+        norm = np.sqrt(logs @ logs) or 1.0
+        return at, np.concatenate([logs / norm, np.fromiter(shapes.values(), np.float64, len(shapes)) * (3.0 / total)])
 
 
 def _feature_batches(batches, bits: int):
+    hasher = Hasher(bits)
     for batch in batches:
-        made = [_features(x or "", bits) for x in batch.column(0).to_pylist()]
+        made = [hasher.features(x or "") for x in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([a.astype(np.int32) for a, _ in made], pa.list_(pa.int32())), pa.array([b.astype(np.float32) for _, b in made], pa.list_(pa.float32())), batch.column(1)], names=["at", "value", "label"])
 
 
@@ -141,55 +168,63 @@ def fit_scorer(rows, bits: int, epochs: int = 20, rate: float = 0.5, decay: floa
             at, value = np.append(at, 1 << bits), np.append(value, 1.0)
             z = float(weights[at] @ value)
             g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label) * value + decay * weights[at]
-            seen[at] += g * g
-            weights[at] -= rate * g / np.sqrt(seen[at])
+            np.add.at(seen, at, g * g)
+            np.subtract.at(weights, at, rate * g / np.sqrt(seen[at]))
     return Scorer(weights, bits)
 
 
 def _score_batches(batches, held):
     scorer: Scorer = held.value
+    hasher = Hasher(scorer.bits)
     for batch in batches:
         scores = []
         for text in batch.column(1).to_pylist():
-            at, value = _features(text or "", scorer.bits)
+            at, value = hasher.features(text or "")
             z = float(scorer.weights[at] @ value + scorer.weights[-1])
             scores.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores, pa.float64())], names=["doc_id", "label", "score"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+
 
+@dataclass
+class Model:
+    """The scorer, and what the weak labels came from: posterior by vote pattern, rates[class, heuristic, vote + 1], prior of good."""
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 6_000, bits: int = 16, threshold: float = 0.5) -> DataFrame:
-    """One row per input row: doc_id, weak_label (posterior of good), score (of the scorer), kept.
+    scorer: Scorer
+    posterior: dict[str, float]
+    rates: np.ndarray
+    prior: float
 
-    Accuracies come from the votes on all rows.  The scorer is trained on a sample of
-    about ``train_rows`` rows, drawn evenly by the hash of their id.  ``kept`` is score
-    >= ``threshold``.  Null texts count as empty; repeated rows are scored alike; an
-    empty table gives an empty result.  Other columns of ``docs`` are not read.
-    """
-    spark = docs.sparkSession
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    ballot = votes()
-    names = list(ballot)
-    voted = _featured(base, "text").select("doc_id", "text", F.concat_ws(",", *[ballot[n].cast("string") for n in names]).alias("pattern"))
-    # At most 3 ** len(votes) patterns, whatever the input.
-    tally = voted.groupBy("pattern").count().collect()
-    patterns = np.array([[int(x) for x in r[0].split(",")] for r in tally]).reshape(-1, len(names))
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 6_000, bits: int = 16) -> Model:
+    """Accuracies from the votes on all rows; the scorer from about ``train_rows`` rows, drawn evenly by the hash of their id."""
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # At most 3 ** len(NAMES) patterns, whatever the input.
+    tally = base.select("text").mapInArrow(_tally_batches, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
+    patterns = np.array([[int(x) for x in r[0].split(",")] for r in tally]).reshape(-1, len(NAMES))
     counts = np.array([r[1] for r in tally], float)
-    post, _, _ = fit_labels(patterns, counts)
-    labels = spark.createDataFrame(pa.table({"pattern": pa.array([r[0] for r in tally], pa.string()), "label": pa.array(post, pa.float64())}))
-    labelled = voted.join(F.broadcast(labels), "pattern").select("doc_id", "text", "label")
+    post, rates, prior = fit_labels(patterns, counts)
+    posterior = {r[0]: float(x) for r, x in zip(tally, post)}
     share = min(1.0, train_rows / max(counts.sum(), 1))
     drawn = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * share)
-    sample = labelled.filter(drawn).select("text", "label")
-    got = sample.mapInArrow(lambda it: _feature_batches(it, bits), "at array<int>, value array<float>, label double").toArrow()
-    rows = list(zip([np.array(x) for x in got.column("at").to_pylist()], [np.array(x) for x in got.column("value").to_pylist()], got.column("label").to_pylist()))
-    held = spark.sparkContext.broadcast(fit_scorer([(a.astype(np.int64), v, y) for a, v, y in rows], bits))
-    schema = T.StructType([T.StructField("doc_id", base.schema["doc_id"].dataType), T.StructField("label", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    scored = labelled.mapInArrow(lambda it: _score_batches(it, held), schema)
-    return scored.select("doc_id", F.col("label").alias("weak_label"), "score", (F.col("score") >= threshold).alias("kept"))
+    schema = T.StructType([T.StructField("doc_id", base.schema["doc_id"].dataType), T.StructField("text", T.StringType()), T.StructField("pattern", T.StringType())])
+    sample = base.filter(drawn).mapInArrow(_vote_batches, schema).select("text", "pattern")
+    got = sample.mapInArrow(lambda it: _feature_batches(it, bits), "at array<int>, value array<float>, label string").toArrow()
+    rows = [(np.array(a, np.int64), np.array(v), posterior[p]) for a, v, p in zip(got.column("at").to_pylist(), got.column("value").to_pylist(), got.column("label").to_pylist())]
+    return Model(fit_scorer(rows, bits), posterior, rates, prior)
 
 
-def all_patterns(k: int) -> list[tuple[int, ...]]:
-    return list(itertools.product((-1, 0, 1), repeat=k))
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, model: Model | None = None, **options) -> DataFrame:
+    """One row per input row: doc_id, score (of good quality), kept (score >= ``threshold``).
+
+    Without a model one is learned from ``docs``, see :func:`learn`.  Null texts count as
+    empty; repeated rows are scored alike; an empty table gives an empty result.  Other
+    columns of ``docs`` are not read.
+    """
+    model = learn(docs, id_col, text_col, **options) if model is None else model
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    held = docs.sparkSession.sparkContext.broadcast(model.scorer)
+    schema = T.StructType([T.StructField("doc_id", base.schema["doc_id"].dataType), T.StructField("score", T.DoubleType())])
+    return base.mapInArrow(lambda it: _score_batches(it, held), schema).withColumn("kept", F.col("score") >= threshold)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
