@@ -90,14 +90,17 @@ def blocks(docs: DataFrame, block_size: int, rows_per_bucket: int = 100_000) ->
     return met.select(*docs.columns, F.floor((F.col("cum") + F.col("size0")) / block_size).alias("block"), (F.col("nth") + F.col("n0")).cast("long").alias("place"))
 
 
-def pfair_mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_size: int = 16_384, slots: int = 1000, alpha: float = 0.5) -> DataFrame:
+def pfair_mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_size: int = 16_384, slots: int = 1000, alpha: float = 0.5, strict: bool = False) -> DataFrame:
     """One row per input row: doc_id, source, size, block, release, deadline, slot, place, mixed, tid.
 
     Text size is counted in code points (null: 0).  ``weights`` are the target weights
     of the sources, scaled to sum to one (unnamed sources get none); without them they
     follow the sources' own size ** alpha.  Rows are in mixing order when sorted by
-    (slot, place).  The mixture ends at the first slot whose block the source hasn't
-    got; ``mixed`` is false for rows beyond it and for sources of no weight (slot null).
+    (slot, place).  A source that has run out leaves: its further slots hold no text, so
+    they fall to the sources that remain, which keep their shares to one another (each
+    within a block of its share of the slots) until the last has run out.  ``mixed`` is
+    false for sources of no weight (slot null); if ``strict``, the mixture ends at the
+    first slot whose block the source hasn't got, and rows beyond it aren't mixed either.
     ``tid`` is a hash of the text.  A null source is a source of its own.  Repeated rows are rows of their own; an
     empty table gives an empty result.  Other columns of ``docs`` are not read.
     """
@@ -115,7 +118,6 @@ def pfair_mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col:
     shares = target_weights(sizes, alpha, slots)
     table = ws.store(period(shares), "period")
     placed = ws.store(blocks(data, block_size).drop("key"), "blocks")
-    own = ws.store(placed.groupBy("source").agg(F.max("block").alias("last")), "own")
 
     # One row a slot of the period: slots, or ten a source where that is more.
     hint = F.broadcast if table.count() <= 200_000 else (lambda x: x)
@@ -128,7 +130,11 @@ def pfair_mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col:
         x = x.join(hint(lookup), F.col("source").eqNullSafe(F.col("p_source")) & (F.col("nth") == F.col("p_nth")), "left")
         return x.withColumn("slot", F.floor(F.col(block) / F.col("share")) * F.col("cycle") + F.col("p_slot"))
 
-    missing = with_slot(own.withColumn("next", F.col("last") + 1), "next").agg(F.min("slot")).first()[0]
+    mixed = F.col("slot").isNotNull()
+    if strict:
+        own = ws.store(placed.groupBy("source").agg(F.max("block").alias("last")), "own")
+        missing = with_slot(own.withColumn("next", F.col("last") + 1), "next").agg(F.min("slot")).first()[0]
+        mixed = F.coalesce(F.col("slot") < F.lit(missing).cast("long"), F.lit(False))
     out = with_slot(placed, "block")
     return out.select(
         "doc_id",
@@ -139,7 +145,7 @@ def pfair_mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col:
         (-F.floor(-(F.col("block") + 1) * F.col("cycle") / F.col("share"))).alias("deadline"),
         "slot",
         "place",
-        F.coalesce(F.col("slot") < F.lit(missing).cast("long"), F.lit(False)).alias("mixed"),
+        mixed.alias("mixed"),
         "tid",
     )
 
@@ -155,6 +161,12 @@ def keep_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """The strict mixture, as :data:`ORACLE` states it."""
+    return pfair_mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), strict=True).drop("tid")
+
+
+def query_whole(spark, sf_dir: str) -> DataFrame:
+    """The mixture to the end of all sources."""
     return pfair_mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("tid")
 
 
@@ -189,3 +201,6 @@ SELECT doc_id, source, size, CAST(block AS BIGINT) AS block, CAST(block * cycle
   CAST(((block + 1) * cycle + share - 1) // share AS BIGINT) AS deadline, CAST(slot AS BIGINT) AS slot, CAST(place AS BIGINT) AS place, coalesce(slot < h, FALSE) AS mixed
 FROM slots, horizon
 """
+
+#: The same schedule, in which sources leave one by one.
+ORACLE_WHOLE = ORACLE.replace("coalesce(slot < h, FALSE) AS mixed\nFROM slots, horizon", "slot IS NOT NULL AS mixed\nFROM slots")

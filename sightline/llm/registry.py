@@ -18,10 +18,11 @@ def queries() -> dict:
         "op7_best_fit_packing": packing.query,
         "op8_quality_rules": quality_rules.query,
         "op9_pfair_mixing": mixing.query,
+        "op9_pfair_mixing_whole": mixing.query_whole,
         "op10_substring_dedup": substring_dedup.query,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE, "op6_warc": warc.ORACLE, "op9_pfair_mixing": mixing.ORACLE}
+    return {"op4_exact_dedup": exact_dedup.ORACLE, "op6_warc": warc.ORACLE, "op9_pfair_mixing": mixing.ORACLE, "op9_pfair_mixing_whole": mixing.ORACLE_WHOLE}

@@ -382,3 +382,16 @@ def test_mixing(spark):
     assert mixing.pfair_mix(empty(spark)).count() == 0
     kept = mixing.keep_mixture(frame(spark), block_size=100)
     assert kept.columns == frame(spark).columns and 0 < kept.count() <= len(awkward())
+
+
+def test_mixing_goes_on_without_a_source_that_ran_out(spark):
+    rows = [(i, "x" * 100, "en", "ab"[i % 2]) for i in range(800)] + [(9000, "tiny", "en", "rare"), (9001, "null source", "en", None)]
+    df = simple(spark, rows).repartition(4)
+    got = mixing.pfair_mix(df, block_size=500, slots=20).collect()
+    assert all(r.mixed for r in got) and mixing.keep_mixture(df, block_size=500, slots=20).count() == len(rows)
+    # After the small sources have left, the others still alternate to their equal weights.
+    late = sorted({(r.slot, r.source) for r in got if r.source in ("a", "b")})
+    for n in range(len(late)):
+        assert abs(sum(s == "a" for _, s in late[:n]) - sum(s == "b" for _, s in late[:n])) <= 2
+    strict = mixing.pfair_mix(df, block_size=500, slots=20, strict=True).collect()
+    assert 0 < sum(r.mixed for r in strict) < len(rows)
