@@ -66,8 +66,8 @@ def _spans(found: Column) -> Column:
     return F.aggregate(found, empty, step, lambda a: a["out"])
 
 
-def secret_hits(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """(path, line, end_line, hint, detector), positions on the original text, one hit for a place.
+def secret_hits(files: DataFrame, path: str = "path", content: str = "content", keep: list[str] | None = None) -> DataFrame:
+    """(path, line, end_line, hint, detector) and the columns ``keep``, positions on the original text, one hit for a place.
 
     Of hits with the same lines the detector first in order wins.  The value itself is
     not part of the result.  Null contents have none.
@@ -82,10 +82,11 @@ def secret_hits(files: DataFrame, path: str = "path", content: str = "content")
     any_ = F.lit(False)
     for _, pattern, _, _ in DETECTORS:
         any_ = any_ | text.rlike(pattern)
-    found = files.filter(any_).withColumn("__sl_hits", F.concat(*kinds)).select(F.col(path).alias("path"), text.alias("text"), F.explode("__sl_hits").alias("h"))
+    found = files.filter(any_).withColumn("__sl_hits", F.concat(*kinds)).select(*(keep or []), F.col(path).alias("path"), text.alias("text"), F.explode("__sl_hits").alias("h"))
     head = F.substr("text", F.lit(1), F.col("h.start"))
     count = lambda c: (F.length(c) - F.length(F.translate(c, "\n", "")) + 1).cast("int")
     out = found.select(
+        *(keep or []),
         "path",
         count(head).alias("line"),
         count(F.substr("text", F.lit(1), F.col("h.end"))).alias("end_line"),

@@ -527,6 +527,14 @@ def secret_hits_by_detector(spark, sf_dir):
     return per.join(d.select("doc_id", "source"), "doc_id").groupBy("source", "detector").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
+@query()
+def secret_hits_all_detectors(spark, sf_dir):
+    """Lines with a credential by source and detector, of all detectors; tests hold it against a plain model."""
+    d = table(spark, sf_dir, "documents").select("source", F.col("text").alias("content")).withColumn("path", F.monotonically_increasing_id().cast("string"))
+    hits = secret_hits(d, keep=["source"])
+    return hits.select("source", "path", "line", "detector").distinct().groupBy("source", "detector").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
 @query()
 def secret_redacted_docs(spark, sf_dir):
     """Documents that redaction changes, and by how much; tests hold it against a plain model."""
