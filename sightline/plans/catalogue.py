@@ -550,6 +550,17 @@ def token_entropy(spark, sf_dir):
     return v.select("value", F.round(text.entropy(F.col("value")), 6).alias("entropy"))
 
 
+@query(r"""
+SELECT value, round(list_aggregate(string_split(value, ''), 'entropy'), 6) AS entropy FROM (
+  SELECT DISTINCT substr(m, 2, length(m) - 2) AS value FROM (SELECT unnest(regexp_extract_all(text, '''[A-Za-z0-9+/=_\-]{20,}''|"[A-Za-z0-9+/=_\-]{20,}"')) AS m FROM documents))
+""")
+def quoted_value_entropy(spark, sf_dir):
+    """A23 over the distinct quoted values of 20 or more characters in whole texts."""
+    found = F.regexp_extract_all("text", F.lit(r"""(['"])([A-Za-z0-9+/=_\-]{20,})\1"""), F.lit(2))
+    v = table(spark, sf_dir, "documents").select(F.explode(found).alias("value")).distinct()
+    return v.select("value", F.round(text.entropy(F.col("value")), 6).alias("entropy"))
+
+
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))")
 def caller_search(spark, sf_dir):
     """Benchmark passages in documents."""

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import pytest
+from compare import compare, connect
 from test_models import _model_patterns, _ok
 
 from sightline.plans import catalogue
@@ -36,3 +37,9 @@ def test_hits_of_all_detectors(spark, folder):
     want = Counter((source, name) for source, _, name, _ in want)
     got = {(r.source, r.detector): r.n_lines for r in catalogue.QUERIES["secret_hits_all_detectors"](spark, folder).collect()}
     assert got == want and got["a", "high_entropy"] == 2 and got["b", "high_entropy"] == 1
+
+
+def test_entropy_of_quoted_values(spark, folder):
+    got = catalogue.QUERIES["quoted_value_entropy"](spark, folder)
+    compare(got, catalogue.ORACLES["quoted_value_entropy"], connect(folder))
+    assert {r.value: r.entropy > 4 for r in got.collect()} == {"Zk3vP9qLm2Xw7Rt5Bn8Yc1Dz": True, "Qw8eRt5yUi2oPa9sDf4gHj": True, "aaaaaaaaaaaaaaaaaaaaaaaa": False}
