@@ -30,6 +30,7 @@ DETECTORS = [
     ("config_secret", r"(?iU)\b((?:password|passwd|pwd|pass|secret|token|api[_\-]?key|auth[_\-]?token|private[_\-]?key|client[_\-]?secret|access[_\-]?key|credential|bearer|[A-Z][A-Z0-9]*_(?:KEY|TOKEN|SECRET|PASSWORD|PWD))\s*[:=]\s*)(['\"]?)([^\s'\"()\[\]{},+]{4,})\2", [1, 2], 3),
     ("sql_credential", r"(?iU)(\b(?:password|passwd|pwd|secret|token|api[_\-]?key|md5|sha1|sha256|crypt|hash)\s*[(=]\s*['\"])([^'\"]{1,128})['\"]", [1], 2),
     ("high_entropy", r"(['\"])([A-Za-z0-9+/=_\-]{20,})\1", [1], 2),
+    ("basic_auth", r"(://[^@/\s:]+:)([^@/\s]+)@", [1], 2),
 ]
 
 
@@ -40,6 +41,8 @@ def _accepted(name: str, path: Column, quote: Column, value: Column) -> Column:
         return F.lower(path).endswith(".sql")
     if name == "high_entropy":
         return entropy(value) >= MIN_ENTROPY
+    if name == "basic_auth":  # in code, only what looks like a credential
+        return ~code_file(path) | (value.rlike(r"\p{Ll}") & value.rlike(r"\p{Nd}"))
     return F.lit(True)
 
 

@@ -131,6 +131,17 @@ def test_secret_hits_and_redaction(spark, path):
     assert red == clean
 
 
+def test_basic_auth_in_urls(spark):
+    """User:password@ in a URL; in code files only values with a small letter and a digit."""
+    url = "see\npostgres://app_user:s3cret_pw@db.example.com/prod and https://u:PLACEHOLDER@host/x?t=a:b@c"
+    df = spark.createDataFrame([("a.txt", url), ("a.py", url), ("b.txt", "https://api.example.com/v1:2/users@home /var/log:1 mailto:x@y")], "path string, content string")
+    assert {(r.path, r.line, r.detector) for r in secrets.secret_hits(df).collect()} == {("a.txt", 2, "basic_auth"), ("a.py", 2, "basic_auth")}
+    clean = {r.path: r.c for r in df.select("path", secrets.redacted(F.col("content"), F.col("path")).alias("c")).collect()}
+    assert clean["a.py"] == url.replace("s3cret_pw", secrets.MARK)
+    assert clean["a.txt"] == url.replace("s3cret_pw", secrets.MARK).replace("PLACEHOLDER", secrets.MARK)
+    assert clean["b.txt"].startswith("https://api.example.com/v1:2/users@home")
+
+
 def test_line_ranges_and_lines(spark):
     rows = ["42", "42-55", " 7 - 9 ", "9–12", "x", "", "lines 30-20", None]
     df = spark.createDataFrame([(r,) for r in rows], "s string")
