@@ -146,6 +146,24 @@ def test_compact_windows_brute_force():
         assert got == want
 
 
+def test_segments_beside_a_short_best_one():
+    dense = ([1] * 11 + [0]) * 5
+    x = np.array([1] * 45 + [0] * 30 + dense, bool)
+    assert [(i, j) for i, j in substring_dedup._segments(x, 46, 4) if i >= 75]
+    # A segment of t around a shorter one of greater sum.
+    assert list(substring_dedup._segments(np.array([0] * 30 + [1] * 45 + [0, 1] + [0] * 30, bool), 46, 4))
+    assert not list(substring_dedup._segments(np.array([1] * 36 + [0] * 60, bool), 46, 4))
+
+
+def test_regions_of_very_long_texts():
+    """A region is met again however many others have begun and ended since."""
+    rng = np.random.default_rng(4)
+    hub, other = (rng.integers(0, 2**63, 3000).astype(np.uint64) for _ in range(2))
+    other[900:1000] = hub[:100]
+    windows = [(0, 999, 0, 99, 0)] + [(10 * k + 1, 10 * k + 4, 1000 + 10 * k, 1003 + 10 * k, 0) for k in range(80)] + [(900, 999, 0, 99, 1)]
+    assert substring_dedup.passages(hub, other, windows, 46, 2, 80, 100) == [(900, 1000, 0, 100, 1.0)]
+
+
 def test_repeated_passages(spark):
     rng = random.Random(9)
     vocab = [f"t{i}" for i in range(4000)]
