@@ -11,15 +11,17 @@ documents hold (known from a sample; which ones does not affect the result).  A
 with enough other pieces leaves them out, and one that hasn't enough pairs them.  No link
 is lost to either: some sharper piece or some pair survives the largest difference.
 
-Copies share one class.  In a group that shares a piece, all are compared with its hub,
-the member in most groups.  Two members that are still apart can only link if their
-differences from the hub overlap, which a prefix and position filter on these
-differences finds without meeting all pairs.
+Copies share one class.  In a group that shares a piece, all are compared with a hub, a
+text in many groups that near copies mostly have in common.  Two members that are still
+apart can only link if their differences from the hub overlap, which a prefix and position
+filter on these differences finds without meeting all pairs, and if the Hamming distance
+of the differences' parity sketches allows it; only then are sets loaded.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ from .workspace import Workspace
 PIECE_BITS = 16
 #: Members of one hub that one verification group takes.
 HUB_MEMBERS = 500
+#: Words of 64 bits in the sketch of a difference from a hub.
+SKETCH_WORDS = 8
 
 
 class Bands:
@@ -197,21 +201,22 @@ def _set_batches(batches, width: int, seed: int):
 
 
 def _by_hub(batches):
-    """(hub, hub's set, member, member's set) of rows that come by hub, the hub itself first."""
+    """(hub, hub's set, member, member's set, member's label) of rows that come by hub, the hub itself first."""
     group, base = None, None
     for batch in batches:
-        hubs, salts, members, refs, items = (batch.column(i) for i in range(5))
-        for k, (hub, salt, member, ref) in enumerate(zip(hubs.to_pylist(), salts.to_pylist(), members.to_pylist(), refs.to_pylist())):
+        items = batch.column("items")
+        columns = [batch.column(x).to_pylist() for x in ("a", "salt", "member", "ref", "label")]
+        for k, (hub, salt, member, ref, label) in enumerate(zip(*columns)):
             own = np.frombuffer(items[k].as_buffer(), np.uint64)
             if not member:
                 group, base = (hub, salt), own.copy()
             elif group == (hub, salt):
-                yield hub, base, ref, own
+                yield hub, base, ref, own, label
 
 
 def _verify_batches(batches, num: int, den: int):
     left, right = [], []
-    for hub, base, ref, own in _by_hub(batches):
+    for hub, base, ref, own, _ in _by_hub(batches):
         merged = np.concatenate([base, own])
         merged.sort()
         common = int((merged[1:] == merged[:-1]).sum())
@@ -221,44 +226,60 @@ def _verify_batches(batches, num: int, den: int):
     yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
+def difference_sketch(items: np.ndarray) -> np.ndarray:
+    """Parity sketch of a difference from a hub: what two of them differ in is the sketch of what the two sets differ in."""
+    bit = (mix(items) >> np.uint64(32)) % np.uint64(64 * SKETCH_WORDS)
+    odd = np.bincount(bit.astype(np.int64), minlength=64 * SKETCH_WORDS) % 2 == 1
+    return np.packbits(odd).view(np.int64)
+
+
+_DIFFERENCES = [("hub", pa.int64()), ("ref", pa.int64()), ("c", pa.int64()), ("item", pa.int64()), ("at", pa.int32()), ("size", pa.int32()), ("n", pa.int32()), ("short", pa.bool_())]
+_DIFFERENCES += [(f"s{i}", pa.int64()) for i in range(SKETCH_WORDS)]
+
+
 def _difference_batches(batches, num: int, den: int):
     """Of each member's difference from the hub the first elements: those the hub lacks, then those it has alone, by hash.
 
     Linked sets x and y differ by at most k, so do their differences from the hub; if these
-    share c elements, c >= (|x| + |y| - k) / 2 >= |x| - k, and prefixes of k + 1 meet.
+    share c elements, c >= (|x| + |y| - k) / 2 >= |x| - k, and prefixes of k + 1 meet.  For
+    the smaller of two, c >= |y| - k / 2, so of its prefix k / 2 + 1 elements do (``short``).
     """
     bands = Bands(num, den)
-    columns = [[] for _ in range(6)]
+    columns = [[] for _ in _DIFFERENCES]
     rows = 0
 
     def batch():
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], k) for c, k in zip(columns, kinds)], names=["hub", "ref", "item", "at", "size", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], kind) for c, (_, kind) in zip(columns, _DIFFERENCES)], names=[name for name, _ in _DIFFERENCES])
 
-    for hub, base, ref, own in _by_hub(batches):
+    for hub, base, ref, own, label in _by_hub(batches):
         added, lost = np.setdiff1d(own, base, assume_unique=True), np.setdiff1d(base, own, assume_unique=True)
-        size, n = len(added) + len(lost), len(own)
-        first = np.concatenate([added, lost])[: bands.difference(n, bands.largest(n)) + 1]
-        for c, x in zip(columns, (np.full(len(first), hub), np.full(len(first), ref), first.view(np.int64), np.arange(len(first)), np.full(len(first), size), np.full(len(first), n))):
-            c.append(x)
+        both = np.concatenate([added, lost])
+        size, n = len(both), len(own)
+        most = bands.difference(n, bands.largest(n))
+        first = both[: most + 1]
+        at = np.arange(len(first))
+        values = [hub, ref, label, first.view(np.int64), at, size, n, at <= most // 2, *difference_sketch(both)]
+        for c, v in zip(columns, values):
+            c.append(v if isinstance(v, np.ndarray) else np.full(len(first), v))
         rows += len(first)
-        if rows > 500_000:
+        if rows > 200_000:
             yield batch()
-            columns, rows = [[] for _ in range(6)], 0
+            columns, rows = [[] for _ in _DIFFERENCES], 0
     yield batch()
 
 
 def with_hubs(pairs: DataFrame, sets: DataFrame, ws: Workspace, name: str) -> DataFrame:
-    """Rows (a, salt, member, ref, items) by hub a, the hub first; hubs with many partners are split by salt.
+    """Rows (a, salt, member, ref, label, items) by hub a, the hub first; hubs with many partners are split by salt.
 
-    Pairs and salts are written first, so that the join by hub can split a hot one.
+    ``pairs`` (a, b, and cb, the label of b, if there is one) is a written table, and salts
+    are written first, so that the join by hub can split a hot one.
     """
-    pairs = ws.store(pairs, f"{name}_pairs")
+    label = F.col("cb") if "cb" in pairs.columns else F.lit(None).cast("long")
     salts = ws.store(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB_MEMBERS).cast("int").alias("salts")), f"{name}_salts")
     salted = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-    members = salted.select("a", "salt", F.lit(1).alias("member"), F.col("b").alias("ref"))
-    hubs = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"), F.col("a").alias("ref"))
-    rows = members.unionByName(hubs).join(sets, "ref").select("a", "salt", "member", "ref", "items")
+    members = salted.select("a", "salt", F.lit(1).alias("member"), F.col("b").alias("ref"), label.alias("label"))
+    hubs = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"), F.col("a").alias("ref"), F.lit(None).cast("long").alias("label"))
+    rows = members.unionByName(hubs).join(sets, "ref").select("a", "salt", "member", "ref", "label", "items")
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "member")
 
@@ -269,8 +290,9 @@ def verify(pairs: DataFrame, sets: DataFrame, ws: Workspace, name: str, num: int
 
 
 def differences(pairs: DataFrame, sets: DataFrame, ws: Workspace, name: str, num: int, den: int) -> DataFrame:
-    """(hub, ref, item, at, size, n): the prefix of each partner's difference from its hub, and the difference's size."""
-    return with_hubs(pairs, sets, ws, name).mapInArrow(lambda it: _difference_batches(it, num, den), "hub long, ref long, item long, at int, size int, n int")
+    """(hub, ref, c, item, at, size, n, short, s0, ...): the prefix of each partner's difference from its hub, the difference's size and its sketch."""
+    schema = "hub long, ref long, c long, item long, at int, size int, n int, short boolean, " + ", ".join(f"s{i} long" for i in range(SKETCH_WORDS))
+    return with_hubs(pairs, sets, ws, name).mapInArrow(lambda it: _difference_batches(it, num, den), schema)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 85, den: int = 100, sample_rows: int = 8_000, frequent_share: float = 0.005) -> DataFrame:
@@ -313,40 +335,42 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = base.withColumn("tid", F.xxhash64("text", F.col("text").isNull())).join(first, (F.col("tid") == F.col("r_tid")) & F.col("doc_id").eqNullSafe(F.col("r_id")))
     sets = ws.store(texts.select("ref", "text").mapInArrow(lambda it: _set_batches(it, width, seed), "ref long, items binary"), "sets")
 
-    # The hub of a group is the member in most groups: of near copies, most likely what they were copied from.
-    degree = members.groupBy("ref").agg(F.count(F.lit(1)).alias("degree"))
-    ranked = members.select("key", "ref").join(degree, "ref")
-    hubs = ws.store(ranked.groupBy("key").agg(F.max(F.struct("degree", "ref")).alias("h")).select("key", "h.*"), "hubs")
-    stars = members.select("key", F.col("ref").alias("b")).join(hubs, "key").filter("b <> ref")
-    stars = ws.store(stars.groupBy(F.col("ref").alias("a"), "b").agg(F.max("degree").alias("degree")), "stars")
-    ws.drop("members", "hubs")
+    # A group's hub is its member in most groups, or what such a member has itself as hub: of
+    # near copies most likely what they were copied from, so that their groups have one hub in common.
+    degree = ws.store(members.groupBy("ref").agg(F.count(F.lit(1)).alias("degree")), "degree")
+    ranked = members.join(degree, "ref")
+    own = ranked.groupBy("key").agg(F.max(F.struct("degree", "ref")).alias("h"))
+    above = ws.store(members.join(own, "key").groupBy("ref").agg(F.max("h").alias("h")), "above")
+    hubs = ws.store(members.join(above, "ref").groupBy("key").agg(F.max("h").alias("h")).select("key", F.col("h.ref").alias("a")), "hubs")
+    stars = members.select("key", F.col("ref").alias("b")).join(hubs, "key").filter("a <> b").select("a", "b").distinct()
+    stars = ws.store(stars, "stars")
+    ws.drop("members", "degree", "above", "hubs")
 
     def labelled(x: DataFrame, col: str, to: str, label: DataFrame) -> DataFrame:
         return x.join(label.select(F.col("node").alias(col), F.col("component").alias(to)), col, "left").withColumn(to, F.coalesce(to, col))
 
-    best = stars.groupBy("b").agg(F.max(F.struct("degree", "a")).alias("h")).select(F.col("h.a").alias("a"), "b")
-    links = ws.store(verify(best, sets, ws, "best", num, den), "links1")
+    links = ws.store(verify(stars, sets, ws, "stars", num, den), "links1")
     found = ws.store(components(links, ws, "comp1_"), "components1")
-    more = labelled(labelled(stars, "a", "ca", found), "b", "cb", found).filter("ca <> cb").select("a", "b").join(best, ["a", "b"], "left_anti")
-    links = ws.store(links.unionByName(verify(more, sets, ws, "more", num, den)), "links2")
-    found = ws.store(components(links, ws, "comp2_"), "components2")
 
     # Hubs whose partners aren't all in one component, and of these partners the pairs that may link.
-    placed = labelled(stars.select("a", "b"), "b", "cb", found)
+    placed = ws.store(labelled(stars, "b", "cb", found), "placed")
     split = placed.groupBy("a").agg(F.min("cb").alias("c0"), F.max("cb").alias("c1")).filter("c0 <> c1").select("a")
-    parted = ws.store(placed.join(split, "a"), "parted")
-    apart = differences(parted.select("a", "b"), sets, ws, "parted", num, den)
-    apart = ws.store(apart.join(parted.select(F.col("a").alias("hub"), F.col("b").alias("ref"), F.col("cb").alias("c")), ["hub", "ref"]), "differences")
+    parted = ws.store(placed.join(split, "a", "left_semi"), "parted")
+    apart = ws.store(differences(parted, sets, ws, "parted", num, den), "differences")
     x, y = apart.alias("x"), apart.alias("y")
     most = F.floor((F.col("x.n") + F.col("y.n")) * (den - num) / (den + num))
     need = F.ceil((F.col("x.size") + F.col("y.size") - most) / 2)
-    left = 1 + F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) - 1
-    near = (F.col("x.c") != F.col("y.c")) & (F.col("x.ref") < F.col("y.ref")) & (F.abs(F.col("x.size") - F.col("y.size")) <= most) & (F.abs(F.col("x.n") - F.col("y.n")) <= most) & (left >= need)
+    left = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at"))
+    # The larger difference meets the smaller, whose prefix is half as long.
+    larger = (F.col("x.size") > F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.ref") < F.col("y.ref")))
+    hamming = reduce(add, [F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(SKETCH_WORDS)])
+    near = (F.col("x.c") != F.col("y.c")) & larger & F.col("y.short") & (F.col("x.size") - F.col("y.size") <= most) & (F.abs(F.col("x.n") - F.col("y.n")) <= most) & (left >= need) & (hamming <= most)
     across = x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.item") == F.col("y.item")) & near).select(F.col("x.ref").alias("a"), F.col("y.ref").alias("b")).distinct()
     across = ws.store(across, "across")
     if not across.isEmpty():
-        links = ws.store(links.unionByName(verify(across, sets, ws, "last", num, den)), "links3")
-        found = ws.store(components(links, ws, "comp3_"), "components3")
+        links = ws.store(links.unionByName(verify(across, sets, ws, "last", num, den)), "links2")
+        found = ws.store(components(links, ws, "comp2_"), "components2")
+    ws.drop("placed", "parted", "differences", "across", "stars", "sets")
 
     rows = labelled(signed, "ref", "component", found)
     least = rows.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
