@@ -38,6 +38,8 @@ from .workspace import Workspace
 PIECE_BITS = 16
 #: Members of one hub that one verification group takes.
 HUB_MEMBERS = 500
+#: Clashing class numbers that are settled by name: at 64 bits some tens among 5e10 sets.
+MAX_CLASHES = 100_000
 #: Words of 64 bits in the sketch of a difference from a hub.
 SKETCH_WORDS = 8
 
@@ -82,12 +84,43 @@ class Bands:
         return tuple(out)
 
 
-def signature(hashes: np.ndarray, seed: int) -> tuple[int, int]:
-    """Two sums over a set's hashes: the class number, and a check on it."""
-    a = int(np.add.reduce(mix(hashes ^ np.uint64(seed + 1)), dtype=np.uint64))
-    b = int(np.add.reduce(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64))
-    ref = int(mix(np.array([(a ^ (len(hashes) * 0x9E3779B97F4A7C15)) & 0xFFFFFFFFFFFFFFFF], np.uint64))[0])
-    return ref, b
+class Classes:
+    """Class numbers of sets: 64 bits of a 128-bit signature, but for the few sets whose 64 bits clash (``names``: signature to number).
+
+    ``bits`` is less than 64 only in tests.
+    """
+
+    def __init__(self, bits: int = 64, names: dict[tuple[int, int], int] | None = None):
+        self.mask, self.names = (1 << bits) - 1, names or {}
+
+    def signature(self, hashes: np.ndarray) -> tuple[int, int]:
+        """Two sums over a set's hashes, as signed numbers."""
+        a = int(np.add.reduce(mix(hashes ^ np.uint64(1)), dtype=np.uint64))
+        b = int(np.add.reduce(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64))
+        a = int(mix(np.array([(a ^ (len(hashes) * 0x9E3779B97F4A7C15)) & 0xFFFFFFFFFFFFFFFF], np.uint64))[0]) & self.mask
+        return tuple(x - (1 << 64) if x >> 63 else x for x in (a, b))
+
+    def number(self, hashes: np.ndarray) -> int:
+        pair = self.signature(hashes)
+        return self.names.get(pair, pair[0]) if self.names else pair[0]
+
+
+def clash_names(signed: DataFrame) -> dict[tuple[int, int], int]:
+    """Numbers for all but the first of the signatures (ref, check) that have a ref in common; no other set has them."""
+    clash = signed.groupBy("ref").agg(F.min("check").alias("c0"), F.max("check").alias("c1")).filter("c0 <> c1").select("ref")
+    found = signed.join(clash, "ref", "left_semi").select("ref", "check").distinct().limit(MAX_CLASHES + 1).collect()
+    if len(found) > MAX_CLASHES:
+        raise RuntimeError(f"more than {MAX_CLASHES} sets with clashing class numbers")
+    kept, names = set(), {}
+    for ref, check in sorted(found):
+        if ref in kept:
+            names[ref, check] = int(mix(np.array([ref ^ check ^ 0x2545F4914F6CDD1D], np.int64).view(np.uint64)).view(np.int64)[0])
+        kept.add(ref)
+    if names:
+        taken = signed.join(F.broadcast(signed.sparkSession.createDataFrame([(x,) for x in names.values()], "ref long")), "ref", "left_semi")
+        if len(set(names.values())) < len(names) or not taken.isEmpty():
+            raise RuntimeError("class numbers clash")
+    return names
 
 
 def sketch_keys(hashes: np.ndarray, bands: Bands, frequent: np.ndarray) -> np.ndarray:
@@ -127,49 +160,49 @@ def sketch_keys(hashes: np.ndarray, bands: Bands, frequent: np.ndarray) -> np.nd
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
-def _signature_batches(batches, width: int, seed: int):
-    shingler = Shingler(width, seed)
+def _signature_batches(batches, width: int, bits: int):
+    shingler, classes = Shingler(width), Classes(bits)
     for batch in batches:
         n, refs, checks = [], [], []
         for _, texts in text_chunks(batch.column(2)):
             for s in shingler.sequences(texts):
                 u = distinct(s)
-                ref, check = signature(u, seed)
+                ref, check = classes.signature(u)
                 n.append(len(u))
                 refs.append(ref)
                 checks.append(check)
-        as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), as_long(refs), as_long(checks)], names=["doc_id", "tid", "n", "ref", "check"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(x, pa.int64()) for x in (n, refs, checks)]], names=["doc_id", "tid", "n", "ref", "check"])
 
 
-def _shingle_batches(batches, width: int, seed: int):
-    shingler = Shingler(width, seed)
+def _shingle_batches(batches, width: int):
+    shingler = Shingler(width)
     for batch in batches:
         for _, texts in text_chunks(batch.column(0)):
             sets = [distinct(s) for s in shingler.sequences(texts)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["shingle"])
 
 
-def frequent_shingles(base: DataFrame, width: int, seed: int, rows: int, share: float) -> np.ndarray:
+def frequent_shingles(base: DataFrame, width: int, rows: int, share: float) -> np.ndarray:
     """Shingles in at least ``share`` of about ``rows`` texts drawn by hash: a bounded, sorted table.
 
     At most the mean number of shingles over ``share``, whatever the input.
     """
     total = max(base.count(), 1)
     drawn = base.select("text").filter(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1_000_000)) < min(1_000_000, 1_000_000 * rows // total))
-    counts = drawn.mapInArrow(lambda it: _shingle_batches(it, width, seed), "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    counts = drawn.mapInArrow(lambda it: _shingle_batches(it, width), "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
     found = counts.filter(F.col("n") >= max(20, int(share * min(rows, total)))).select("shingle").toArrow().column(0).to_numpy()
     return np.sort(found.astype(np.int64).view(np.uint64))
 
 
-def _key_batches(batches, width: int, seed: int, num: int, den: int, held):
-    shingler, bands, done, frequent = Shingler(width, seed), Bands(num, den), set(), held.value
+def _key_batches(batches, width: int, num: int, den: int, held):
+    shingler, bands, done = Shingler(width), Bands(num, den), set()
+    frequent, classes = held.value
     for batch in batches:
         for _, texts in text_chunks(batch.column(0)):
             keys, refs, sizes = [], [], []
             for s in shingler.sequences(texts):
                 u = distinct(s)
-                ref, _ = signature(u, seed)
+                ref = classes.number(u)
                 if ref in done:  # a copy in this task
                     continue
                 done.add(ref)
@@ -181,20 +214,20 @@ def _key_batches(batches, width: int, seed: int, num: int, den: int, held):
             if keys:
                 spans = [len(x) for x in keys]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(refs, np.uint64), spans).view(np.int64)), pa.array(np.repeat(np.array(sizes, np.int32), spans))],
+                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(refs, np.int64), spans)), pa.array(np.repeat(np.array(sizes, np.int32), spans))],
                     names=["key", "ref", "n"],
                 )
 
 
-def _set_batches(batches, width: int, seed: int):
-    shingler = Shingler(width, seed)
+def _set_batches(batches, width: int, held):
+    shingler, classes = Shingler(width), held.value[1]
     for batch in batches:
         for first, texts in text_chunks(batch.column(1)):
             refs, sets = [], []
             wanted = batch.column(0)[first : first + len(texts)].to_pylist()
             for want, s in zip(wanted, shingler.sequences(texts)):
                 u = distinct(s)
-                if np.uint64(signature(u, seed)[0]).astype(np.int64) == want:
+                if classes.number(u) == want:
                     refs.append(want)
                     sets.append(u.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(refs, pa.int64()), pa.array(sets, pa.binary())], names=["ref", "items"])
@@ -295,7 +328,7 @@ def differences(pairs: DataFrame, sets: DataFrame, ws: Workspace, name: str, num
     return with_hubs(pairs, sets, ws, name).mapInArrow(lambda it: _difference_batches(it, num, den), schema)
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 85, den: int = 100, sample_rows: int = 8_000, frequent_share: float = 0.005) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 85, den: int = 100, sample_rows: int = 8_000, frequent_share: float = 0.005, class_bits: int = 64) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, class_id, linked, tid, component.
 
     Two documents link when den * |A & B| >= num * |A | B| over their shingle sets;
@@ -306,23 +339,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A null text is empty; a text without words has no shingles and is linked with
     nothing.  Rows with a null id take part; a component's id is null only if it has no
     other id.  Repeated rows are copies of each other.  An empty table gives an empty
-    result.  Other columns of ``docs`` are not read.  Shingles and classes are known by
-    64-bit hashes; colliding class numbers are detected and the job reseeds.
+    result.  Other columns of ``docs`` are not read.  Shingles are known by 64-bit hashes;
+    sets are equal when 128 bits are, and class numbers of 64 bits that clash are told
+    apart (more than ``MAX_CLASHES`` raise an error).  ``class_bits`` is for tests.
     ``sample_rows`` and ``frequent_share`` steer only how much work is done.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "jaccard_join")
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([T.StructField("doc_id", base.schema["doc_id"].dataType), *[T.StructField(x, T.LongType()) for x in ("tid", "n", "ref", "check")]])
-    for seed in range(8):
-        signed = base.select("doc_id", F.xxhash64("text", F.col("text").isNull()).alias("tid"), "text").mapInArrow(lambda it, s=seed: _signature_batches(it, width, s), schema)
-        signed = ws.store(signed, f"signatures{seed}")
-        clash = signed.groupBy("ref").agg(F.min("check").alias("c0"), F.max("check").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1")).filter("c0 <> c1 OR n0 <> n1")
-        if clash.isEmpty():
-            break
-    # Bounded by shingles a text over the share; see frequent_shingles.
-    held = spark.sparkContext.broadcast(frequent_shingles(base, width, seed, sample_rows, frequent_share))
-    emitted = base.select("text").filter("text IS NOT NULL").mapInArrow(lambda it: _key_batches(it, width, seed, num, den, held), "key long, ref long, n int")
+    tid = F.xxhash64("text", F.col("text").isNull())
+    signed = base.select("doc_id", tid.alias("tid"), "text").mapInArrow(lambda it: _signature_batches(it, width, class_bits), schema)
+    signed = ws.store(signed, "signatures")
+    names = clash_names(signed)
+    if names:
+        renamed = spark.createDataFrame([(*k, v) for k, v in names.items()], "r long, c long, named long")
+        signed = signed.join(F.broadcast(renamed), (F.col("ref") == F.col("r")) & (F.col("check") == F.col("c")), "left").withColumn("ref", F.coalesce("named", "ref")).select("doc_id", "tid", "n", "ref", "check")
+    # Bounded by shingles a text over the share, see frequent_shingles, and by MAX_CLASHES.
+    held = spark.sparkContext.broadcast((frequent_shingles(base, width, sample_rows, frequent_share), Classes(class_bits, names)))
+    emitted = base.select("text").filter("text IS NOT NULL").mapInArrow(lambda it: _key_batches(it, width, num, den, held), "key long, ref long, n int")
     emitted = ws.store(emitted, "emitted")
     shared = emitted.groupBy("key").agg(F.min("ref").alias("r0"), F.max("ref").alias("r1")).filter("r0 <> r1").select("key")
     shared = ws.store(shared, "shared_keys")
@@ -332,8 +367,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     wanted = members.select("ref").distinct()
     first = signed.join(wanted, "ref").groupBy("ref").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id"), F.col("tid"))).alias("r")).select("ref", F.col("r.doc_id").alias("r_id"), F.col("r.tid").alias("r_tid"))
-    texts = base.withColumn("tid", F.xxhash64("text", F.col("text").isNull())).join(first, (F.col("tid") == F.col("r_tid")) & F.col("doc_id").eqNullSafe(F.col("r_id")))
-    sets = ws.store(texts.select("ref", "text").mapInArrow(lambda it: _set_batches(it, width, seed), "ref long, items binary"), "sets")
+    texts = base.withColumn("tid", tid).join(first, (F.col("tid") == F.col("r_tid")) & F.col("doc_id").eqNullSafe(F.col("r_id")))
+    sets = ws.store(texts.select("ref", "text").mapInArrow(lambda it: _set_batches(it, width, held), "ref long, items binary"), "sets")
 
     # A group's hub is its member in most groups, or what such a member has itself as hub: of
     # near copies most likely what they were copied from, so that their groups have one hub in common.
