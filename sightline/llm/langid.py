@@ -48,6 +48,11 @@ def _letters() -> np.ndarray:
     return table
 
 
+def _is_letter() -> np.ndarray:
+    """Whether a code point of the Basic Multilingual Plane is a letter (category L)."""
+    return np.array([chr(c).isalpha() for c in range(65536)])
+
+
 def _chunks(texts: list[str]):
     """Slices of the list with about CHUNK characters each."""
     at, size = 0, 0
@@ -60,8 +65,8 @@ def _chunks(texts: list[str]):
         yield at, len(texts)
 
 
-def _ngrams(texts: list[str], table: np.ndarray, orders, bits: int):
-    """(for each order the buckets by position, document starts, whether each document has a letter)."""
+def _ngrams(texts: list[str], table: np.ndarray, orders, bits: int, letter: np.ndarray | None = None):
+    """(for each order the buckets by position, document starts, whether each document has a letter by the table ``letter``)."""
     joined = "\0 " + " \0 ".join(t.replace("\0", " ") if "\0" in t else t for t in texts) + " \0"
     c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     high = c > 65535
@@ -77,7 +82,8 @@ def _ngrams(texts: list[str], table: np.ndarray, orders, bits: int):
     c = c[keep]
     ends = np.flatnonzero(c == 0)
     starts = ends[:-1]
-    lettered = (ends[1:] - starts) > 2  # more than the mark and one space
+    # Of characters beyond the table only letters are left.
+    lettered = None if letter is None else np.logical_or.reduceat(letter[np.where(c > 65535, ord("a"), c)], starts) if len(starts) else np.zeros(0, bool)
     void, out = 1 << bits, []
     is_end = c == 0
     for n in orders:
@@ -118,13 +124,18 @@ def _count_batches(batches, orders, bits: int):
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some.astype(np.int32)), pa.array(own[some])], names=["lang", "bucket", "n"])
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", orders=(2, 3), bits: int = 16, alpha: float = 0.5) -> Model:
-    """Learn from every row whose label is not null.  The model has a column a language, ``2 ** bits`` buckets each."""
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", orders=(2, 3), bits: int = 16, alpha: float = 0.5, max_langs: int = 500) -> Model:
+    """Learn from every row whose label is not null.  The model has a column a language, ``2 ** bits`` buckets each.
+
+    More than ``max_langs`` distinct labels are an error: the model is held by every task.
+    """
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang IS NOT NULL")
     sums = rows.mapInArrow(lambda it: _count_batches(it, orders, bits), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    priors = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(max_langs + 1).collect()}
+    if len(priors) > max_langs:
+        raise ValueError(f"more than {max_langs} languages")
     # One row a language, of at most 2 ** bits counters: the model itself, whatever the input.
     learned = sums.groupBy("lang").agg(F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n")).toArrow().to_pydict()
-    priors = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(priors)
     size = 1 << bits
     matrix = np.full((len(langs), size + 1), alpha)
@@ -141,12 +152,12 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", orders=
 
 def _score_batches(batches, held, column: str):
     model: Model = held.value
-    table = _letters()
+    table, letter = _letters(), _is_letter()
     for batch in batches:
         texts = [x or "" for x in batch.column(column).to_pylist()]
         names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         for a, b in _chunks(texts) if model.langs else ():
-            grams, starts, lettered = _ngrams(texts[a:b], table, model.orders, model.bits)
+            grams, starts, lettered = _ngrams(texts[a:b], table, model.orders, model.bits, letter)
             logs = np.repeat(model.prior[:, None], b - a, 1)
             for h in grams:
                 own = np.minimum(starts, len(h) - 1)
@@ -162,8 +173,8 @@ def _score_batches(batches, held, column: str):
 def predict(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """``docs`` with the predicted language and its posterior probability.
 
-    ``und`` and 0.0 where the text is null, empty or without a letter, or where the
-    model has learned no language.  Whole texts count, however long.  Ties go to the
+    ``und`` and 0.0 where the text is null, empty or without a letter (category L; marks
+    and digits alone are none), or where the model has learned no language.  Whole texts count, however long.  Ties go to the
     first language in order.  Columns of ``docs`` already named so are replaced.
     """
     docs = docs.drop(pred_col, score_col)

@@ -35,6 +35,15 @@ def test_langid_awkward(spark):
     assert langid.predict(empty(spark), model).count() == 0
 
 
+def test_langid_needs_a_letter(spark):
+    texts = ["\u0301\u0301", "a\u0301", "\u0661\u0662", "\u20e3", "\U0001f600", "\U00010400", "\u4e2d", "_", "\u00aa"]
+    model = langid.fit(frame(spark))
+    got = {r.text: r.lang_pred for r in langid.predict(simple(spark, list(enumerate(texts))), model).collect()}
+    assert {t for t, x in got.items() if x == "und"} == {t for t in texts if not any(c.isalpha() for c in t)}
+    with pytest.raises(ValueError):
+        langid.fit(frame(spark), max_langs=1)
+
+
 def test_langid_scores_are_naive_bayes(spark):
     docs = [(i, (PROSE if i % 2 else FRENCH)[i : i + 40], "en" if i % 2 else "fr") for i in range(40)]
     df = simple(spark, docs)
