@@ -3,8 +3,9 @@
 Documents become token ids and pieces of at most ``capacity`` ids.  The pieces
 shorter than that are dealt to partitions, each of which runs best-fit
 decreasing and compares its bin count with dual-feasible-function lower bounds.
-While the whole count is above the whole bound, the documents of bins that are
-not full are exchanged (dealt anew, to fewer partitions) and packed again.
+A partition that reaches its bound is certified and done; the documents of the
+others' bins that are not full are exchanged (dealt anew, to fewer partitions)
+and packed again, with the least filled bin of each certified partition.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import json
 import math
 import os
 import re
+import struct
 
 import numpy as np
 import pandas as pd
@@ -59,18 +61,20 @@ class WordEncoder:
         self.spelling = {c: 256 + i for i, c in enumerate(shapeless)}
 
     def _run(self, run: str) -> bytes:
-        if (ids := self.runs.get(run)) is None:
-            spelled = run if run.isascii() else run.encode().decode("latin-1").translate(self.spelling)
-            ids = self.runs[run] = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u4").tobytes()
+        spelled = run if run.isascii() else run.encode().decode("latin-1").translate(self.spelling)
+        ids = self.runs[run] = struct.pack(f"<{len(found := self.tokenizer.model.tokenize(spelled))}I", *[t.id for t in found])
         return ids
 
     def learn(self, words: set[str]) -> None:
         if len(self.known) + len(words) > CACHE:
             self.known, self.runs = {"": b""}, {"": b""}
-        rest = []
-        for w in words - self.known.keys():
-            if self.plain and (m := PLAIN_WORD.fullmatch(w)):
-                self.known[w] = self._run(m[1].lower()) + self._run(m[2])
+        rest, known, run_ids, fits = [], self.known, self.runs.get, PLAIN_WORD.fullmatch
+        for w in words - known.keys():
+            if self.plain and (m := fits(w)):
+                letters, marks = m.groups()
+                letters = letters.lower()
+                ids = run_ids(letters) or self._run(letters)
+                known[w] = ids + (run_ids(marks) or self._run(marks)) if marks else ids
             else:
                 rest.append(w)
         for i in range(0, len(rest), 5000):
@@ -163,7 +167,7 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
     return bins, offsets, used
 
 
-_PLAN = "uid long, length long, part long, bin long, offset long, fill long, n_bins long, bound long"
+_PLAN = "uid long, length long, part long, bin long, offset long, n_bins long, bound long, open boolean"
 
 
 def _packer(capacity: int):
@@ -173,7 +177,8 @@ def _packer(capacity: int):
         bins, offsets, n = best_fit_decreasing(sizes, capacity)
         fill = np.bincount(bins, weights=sizes, minlength=n).astype(np.int64)
         bound = lower_bound(*np.unique(sizes, return_counts=True), capacity)
-        return frame.assign(bin=bins, offset=offsets, fill=fill[bins], n_bins=n, bound=bound)[["uid", "length", "part", "bin", "offset", "fill", "n_bins", "bound"]]
+        given = fill < capacity if n > bound else np.arange(n) == fill.argmin()
+        return frame.assign(bin=bins, offset=offsets, n_bins=n, bound=bound, open=(given & (fill < capacity))[bins])[[x.split()[0] for x in _PLAN.split(", ")]]
 
     return pack_one
 
@@ -181,8 +186,13 @@ def _packer(capacity: int):
 def plan(items: DataFrame, capacity: int = 4096, per_part: int = 50_000, rounds: int = 8) -> DataFrame:
     """(uid, sequence_id, offset, certified) for items (unique uid, length <= capacity).
 
-    ``per_part`` bounds the items of one packing task.  ``certified`` tells that the
-    item's last partition reached its own lower bound.  No rows give no rows.
+    ``per_part`` bounds the items of one packing task.  A partition whose number of bins
+    equals its lower bound is certified: its bins are final, but for the least filled one.
+    Partitions with a gap give back all bins that aren't full.  What was given back is
+    dealt anew to fewer partitions and packed again, until the bound of the whole is
+    reached, an exchange on one partition wins nothing, or ``rounds`` deals were made; the
+    plan is whole after each of them.  ``certified`` tells that the item's last partition
+    reached its own bound.  No rows give no rows.
     """
     spark = items.sparkSession
     ws = Workspace(spark, "packing_plan")
@@ -202,13 +212,12 @@ def plan(items: DataFrame, capacity: int = 4096, per_part: int = 50_000, rounds:
             if parts == 1:
                 break
             continue
-        is_full = F.col("fill") == capacity
         if old is not None:
-            final[-1] = old.filter(is_full)
+            final[-1] = old.filter(~F.col("open"))
         final.append(named)
-        stats = packed.filter(~is_full).agg(F.count(F.lit(1)), F.count_distinct("part", "bin")).first()
+        stats = packed.filter("open").agg(F.count(F.lit(1)), F.count_distinct("part", "bin")).first()
         closed += tops - stats[1]
-        old, n, was_open, pool = named, stats[0], stats[1], packed.filter(~is_full).select("uid", "length")
+        old, n, was_open, pool = named, stats[0], stats[1], packed.filter("open").select("uid", "length")
         if closed + was_open <= goal or was_open < 2:
             break
     out = final[0]
