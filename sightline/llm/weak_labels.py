@@ -28,55 +28,86 @@ FUNCTION_WORDS = "the of and to in a is that for it was with as on by der die un
 #: The heuristics, in the order of their votes.
 NAMES = ["symbols", "word_length", "repeats", "lines", "size", "shouting", "marks", "variety", "runs", "running"]
 _LETTERS = re.compile(r"[^\W\d_]+")
-_RUNS = re.compile(r"([^\w\s])\1\1")
 _BLANKS = re.compile("[\x20\x09-\x0D]+")
+#: Kinds of a code point, as bits.
+UPPER, SYMBOL, MARK, OTHER = 1, 2, 4, 8
 
 
-def ballot(text: str) -> list[int]:
-    """Votes on a text: 1 good, -1 bad, 0 nothing.  The heuristics overlap on purpose."""
-    words = [w for w in _BLANKS.split(text) if w]
-    n, chars = max(len(words), 1), sum(map(len, words))
-    counts = Counter(words)
-    windows = list(zip(words, words[1:], words[2:]))
-    seen, repeated, last = Counter(windows), 0, -3
-    if len(seen) < len(windows):
-        for i, w in enumerate(windows):
-            if seen[w] > 1:
-                repeated, last = repeated + min(3, i - last), i
-    lines = [x for x in text.split("\n") if _BLANKS.sub("", x)]
-    letters = Counter(_LETTERS.findall(text.lower()))
-    function = sum(letters[w] for w in FUNCTION_WORDS)
-    upper = sum(map(str.isupper, text))
-    symbols, marks = sum(map(text.count, SYMBOLS)), sum(map(text.count, "!?|"))
-    runs = sum(1 for _ in _RUNS.finditer(text))
-    length, duplicate = chars / n, 1 - len(set(lines)) / max(len(lines), 1)
-    tests = [
-        (symbols < 0.02 * n, symbols > 0.2 * n),
-        (3.5 < length < 8, length < 2.5 or length > 12),
-        (repeated < 0.15 * n, repeated > 0.5 * n),
-        (not lines or duplicate < 0.05, bool(lines) and duplicate > 0.3),
-        (50 <= len(words) <= 50_000, len(words) < 10),
-        (upper < 0.25 * chars, upper > 0.5 * chars),
-        (marks < 0.1 * n, marks > 0.5 * n),
-        (len(counts) > 0.2 * n, len(counts) < 0.1 * n and len(words) >= 50),
-        (runs < 0.01 * n, runs > 0.1 * n),
-        (function > 0.06 * n, function < 0.01 * n and len(words) >= 30),
-    ]
-    return [-1 if bad else 1 if good else 0 for good, bad in tests]
+def _kind(c: str) -> int:
+    return (UPPER if c.isupper() else 0) | (SYMBOL if c in SYMBOLS else 0) | (MARK if c in "!?|" else 0) | (0 if c.isalnum() or c == "_" or c.isspace() else OTHER)
+
+
+class Ballots:
+    """Votes on texts: 1 good, -1 bad, 0 nothing.  The heuristics overlap on purpose.
+
+    Characters are counted by a table of their kinds, words and windows of three by
+    their hashes.
+    """
+
+    def __init__(self):
+        self.kinds = np.array([_kind(chr(c)) for c in range(65536)], np.uint8)
+        self.function = set(FUNCTION_WORDS)
+
+    def votes(self, text: str) -> list[int]:
+        words = [w for w in _BLANKS.split(text) if w]
+        n, chars = max(len(words), 1), sum(map(len, words))
+        h = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+        distinct, repeated = len(np.unique(h)), 0
+        if len(h) >= 3:
+            three = h[:-2] * np.uint64(0x9E3779B97F4A7C15) + h[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:] * np.uint64(0x165667B19E3779F9)
+            order = np.argsort(three, kind="stable")
+            equal = three[order][1:] == three[order][:-1]
+            if equal.any():
+                covered = np.zeros(len(h), bool)
+                for side in (order[1:][equal], order[:-1][equal]):
+                    covered[side] = covered[side + 1] = covered[side + 2] = True
+                repeated = int(covered.sum())
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        if len(c) and c.max() > 65535:
+            kinds = self.kinds[np.where(c > 65535, 0, c)]
+            kinds[c > 65535] = [_kind(chr(x)) for x in c[c > 65535].tolist()]
+        else:
+            kinds = self.kinds[c]
+        tally = np.bincount(kinds, minlength=16)
+        upper, symbols, marks = (int(sum(tally[k] for k in range(16) if k & bit)) for bit in (UPPER, SYMBOL, MARK))
+        # Runs of an equal character that is neither word nor space: each three of it count once.
+        triple = (c[2:] == c[1:-1]) & (c[1:-1] == c[:-2]) & (kinds[2:] & OTHER > 0)
+        runs = 0
+        if triple.any():
+            at = np.flatnonzero(triple)
+            length = np.diff(np.append(np.flatnonzero(np.append(True, np.diff(at) > 1)), len(at))) + 2
+            runs = int((length // 3).sum())
+        lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+        function = sum(map(self.function.__contains__, _LETTERS.findall(text.lower())))
+        length, duplicate = chars / n, 1 - len(set(lines)) / max(len(lines), 1)
+        tests = [
+            (symbols < 0.02 * n, symbols > 0.2 * n),
+            (3.5 < length < 8, length < 2.5 or length > 12),
+            (repeated < 0.15 * n, repeated > 0.5 * n),
+            (not lines or duplicate < 0.05, bool(lines) and duplicate > 0.3),
+            (50 <= len(words) <= 50_000, len(words) < 10),
+            (upper < 0.25 * chars, upper > 0.5 * chars),
+            (marks < 0.1 * n, marks > 0.5 * n),
+            (distinct > 0.2 * n, distinct < 0.1 * n and len(words) >= 50),
+            (runs < 0.01 * n, runs > 0.1 * n),
+            (function > 0.06 * n, function < 0.01 * n and len(words) >= 30),
+        ]
+        return [-1 if bad else 1 if good else 0 for good, bad in tests]
 
 
 def _vote_batches(batches):
+    ballots = Ballots()
     for batch in batches:
-        patterns = [",".join(map(str, ballot(x or ""))) for x in batch.column(1).to_pylist()]
+        patterns = [",".join(map(str, ballots.votes(x or ""))) for x in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(patterns, pa.string())], names=["doc_id", "text", "pattern"])
 
 
 def _tally_batches(batches):
     """Votes counted inside a task: a row a pattern."""
-    tally: Counter = Counter()
+    tally, ballots = Counter(), Ballots()
     for batch in batches:
         for x in batch.column(0).to_pylist():
-            tally[",".join(map(str, ballot(x or "")))] += 1
+            tally[",".join(map(str, ballots.votes(x or "")))] += 1
     yield pa.RecordBatch.from_arrays([pa.array(list(tally.keys()), pa.string()), pa.array(list(tally.values()), pa.int64())], names=["pattern", "n"])
 
 
@@ -196,7 +227,12 @@ class Model:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 6_000, bits: int = 16) -> Model:
-    """Accuracies from the votes on all rows; the scorer from about ``train_rows`` rows, drawn evenly by the hash of their id."""
+    """Accuracies from the votes on all rows; the scorer from about ``train_rows`` rows.
+
+    Those are drawn by a hash of row, id and text against a threshold of 64 bits, so null
+    and repeated ids are drawn like any other, at any number of rows; twice ``train_rows``
+    is the most that the driver takes.
+    """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # At most 3 ** len(NAMES) patterns, whatever the input.
     tally = base.select("text").mapInArrow(_tally_batches, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
@@ -205,10 +241,11 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     post, rates, prior = fit_labels(patterns, counts)
     posterior = {r[0]: float(x) for r, x in zip(tally, post)}
     share = min(1.0, train_rows / max(counts.sum(), 1))
-    drawn = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * share)
+    draw = F.xxhash64(F.monotonically_increasing_id(), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")), F.lit(11))
+    drawn = draw <= F.lit(min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63)))
     schema = T.StructType([T.StructField("doc_id", base.schema["doc_id"].dataType), T.StructField("text", T.StringType()), T.StructField("pattern", T.StringType())])
     sample = base.filter(drawn).mapInArrow(_vote_batches, schema).select("text", "pattern")
-    got = sample.mapInArrow(lambda it: _feature_batches(it, bits), "at array<int>, value array<float>, label string").toArrow()
+    got = sample.mapInArrow(lambda it: _feature_batches(it, bits), "at array<int>, value array<float>, label string").limit(2 * train_rows).toArrow()
     rows = [(np.array(a, np.int64), np.array(v), posterior[p]) for a, v, p in zip(got.column("at").to_pylist(), got.column("value").to_pylist(), got.column("label").to_pylist())]
     return Model(fit_scorer(rows, bits), posterior, rates, prior)
 
