@@ -17,6 +17,7 @@ def queries() -> dict:
         "op6_warc": warc.query,
         "op7_best_fit_packing": packing.query,
         "op8_quality_rules": quality_rules.query,
+        "op8_quality_base_counts": quality_rules.query_base,
         "op9_pfair_mixing": mixing.query,
         "op9_pfair_mixing_whole": mixing.query_whole,
         "op10_substring_dedup": substring_dedup.query,
@@ -25,4 +26,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE, "op6_warc": warc.ORACLE, "op9_pfair_mixing": mixing.ORACLE, "op9_pfair_mixing_whole": mixing.ORACLE_WHOLE}
+    return {"op3_license_scan": licenses.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op6_warc": warc.ORACLE, "op8_quality_base_counts": quality_rules.ORACLE_BASE, "op9_pfair_mixing": mixing.ORACLE, "op9_pfair_mixing_whole": mixing.ORACLE_WHOLE}
