@@ -165,7 +165,7 @@ def test_compact_windows_brute_force():
         h = rng.integers(0, 12 if trial % 2 else 10**6, size=lens.sum()).astype(np.uint64) << np.uint64(40)
         ends = np.cumsum(lens)
         starts = np.append(0, ends[:-1])
-        got = set(zip(*[x.tolist() for x in substring_dedup.compact_windows(h, starts, ends, t)]))
+        got = set(zip(*[x.tolist() for x in substring_dedup.compact_windows(h, starts, ends, t)[:4]]))
         want = set()
         for k, (a, b) in enumerate(zip(starts.tolist(), ends.tolist())):
             for c in range(a, b):
