@@ -132,9 +132,9 @@ def fenced_code(value: Column) -> Column:
 
 
 def quick_fix_label(fix: Column) -> Column:
-    """Size of a fix by its lines that are not blank."""
-    n = F.size(F.filter(F.split(fix, "\n"), lambda x: F.trim(x) != ""))
-    return F.when(n <= 3, "quick").when(n <= 15, "moderate").otherwise("involved")
+    """How small a fix is by its lines that are not blank; empty if there is none or it is longer than three."""
+    n = F.size(F.filter(split_lines(fix), lambda x: x.rlike(r"\S")))
+    return F.when(F.coalesce(F.length(fix), F.lit(0)) == 0, "").when(n <= 1, "1-line fix").when(n <= 3, "quick fix").otherwise("")
 
 
 def defanged(value: Column, tag: str) -> Column:

@@ -18,15 +18,22 @@ DEFINITIONS = {
 }
 CALL = r"(?U)\b(\w+)\s*\("
 
-#: Own rules for routes: (framework, suffixes, pattern, group of the path, group of the method or methods).
+#: The shapes of routes that are known. (framework, suffixes, pattern, groups of path, method and handler).
+#: Method 0: GET or as listed, -1: ANY.  Handler 0: the next function below, -1: the first argument that is a name.
+PY, JS = [".py"], [".js", ".ts", ".jsx", ".tsx", ".mjs", ".cjs"]
 ROUTES = [
-    ("flask", [".py"], r"@\w+\.route\(\s*['\"]([^'\"]+)['\"](?:.*?methods\s*=\s*[\[(]([^\])]*)[\])])?", 1, 2),
-    ("fastapi", [".py"], r"@\w+\.(get|post|put|patch|delete|head|options)\(\s*['\"]([^'\"]+)['\"]", 2, 1),
-    ("aiohttp", [".py"], r"\.add_(get|post|put|patch|delete|head|options)\(\s*['\"]([^'\"]+)['\"]", 2, 1),
-    ("django", [".py"], r"^\s*(?:re_)?path\(\s*r?['\"]([^'\"]*)['\"]", 1, 0),
-    ("express", [".js", ".ts", ".jsx", ".tsx"], r"\b(?:app|router)\.(get|post|put|patch|delete|all)\(\s*['\"`]([^'\"`]+)['\"`]", 2, 1),
-    ("gin", [".go"], r"\.(GET|POST|PUT|PATCH|DELETE|Any)\(\s*\"([^\"]+)\"", 2, 1),
+    ("flask", PY, r"(?i)@(?:\w+\.)?route\s*\(\s*['\"]([^'\"]+)['\"]", 1, 0, 0),
+    ("fastapi", PY, r"(?i)@(?:\w+\.)?(get|post|put|delete|patch|head|options|trace)\s*\(\s*['\"]([^'\"]+)['\"]", 2, 1, 0),
+    ("aiohttp", PY, r"(?i)\.add_route\s*\(\s*['\"](\w+)['\"]\s*,\s*['\"]([^'\"]+)['\"]\s*,\s*(\w+)", 2, 1, 3),
+    ("aiohttp", PY, r"(?i)\.add_(get|post|put|delete|patch|head)\s*\(\s*['\"]([^'\"]+)['\"]\s*,\s*(\w+)", 2, 1, 3),
+    ("aiohttp", PY, r"(?i)@routes\.(get|post|put|delete|patch|head)\s*\(\s*['\"]([^'\"]+)['\"]", 2, 1, 0),
+    ("django", PY, r"(?i)(?:re_)?path\s*\(\s*r?['\"]([^'\"]+)['\"]\s*,\s*(\w[\w.]*)", 1, -1, 2),
+    ("express", JS, r"(?i)(?:app|router)\.(get|post|put|delete|patch|head|options|all)\s*\(\s*['\"`]([^'\"`]+)['\"`]", 2, 1, -1),
+    ("gin", [".go"], r"(?i)\w+\.(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS|Any)\s*\(\s*\"([^\"]+)\"\s*,\s*(\w+)", 2, 1, 3),
 ]
+LISTED_METHODS = r"(?i)methods\s*=\s*\[([^\]]+)\]"
+NEXT_FUNCTION = r"(?:async\s+)?def\s+(\w+)\s*\("
+NAMED_ARGUMENT = r",\s*(?:async\s+)?(?:function\s+)?(\w+)\s*[,)\n{]"
 #: Own rules for guards: (kind, pattern).
 GUARDS = [
     ("decorator", r"^\s*@(\w*(?:login|auth|permission|admin|jwt)\w*)"),
@@ -98,17 +105,27 @@ def contained_passages(needles: DataFrame, texts: DataFrame, needle_id: str, nee
     return found.unionByName(rest)
 
 
-def routes(lines: DataFrame) -> DataFrame:
-    """Path, line, framework, route, method; the first rule that fits a line, GET where none is named."""
-    out = None
-    for i, (name, ends, pattern, route, method) in enumerate(ROUTES):
-        found = lines.filter(suffix(F.col("path")).isin(ends) & F.col("text").rlike(pattern))
-        named = F.regexp_extract("text", pattern, method) if method else F.lit("")
-        methods = F.filter(F.transform(F.split(F.upper(named), r"[\s,'\"]+"), F.trim), lambda m: m != "")
-        one = found.select("path", "line", F.lit(i).alias("rule"), F.lit(name).alias("framework"), F.regexp_extract("text", pattern, route).alias("route"), F.explode(F.when(F.size(methods) > 0, methods).otherwise(F.array(F.lit("GET")))).alias("method"))
-        out = one if out is None else out.unionByName(one)
-    best = F.min("rule").over(W.partitionBy("path", "line"))
-    return out.withColumn("best", best).filter("rule = best").drop("best", "rule")
+def routes(lines: DataFrame, below: int = 6) -> DataFrame:
+    """Path, line, framework, route, method, handler.
+
+    One row for each framework whose shape a line has and each method it lists; of the
+    shapes of one framework the first counts.  A handler is the one named, else the first
+    function in the ``below`` lines under it (``<unknown>`` if none), for inline functions
+    ``<anonymous>``.
+    """
+    w = W.partitionBy("path").orderBy("line")
+    name = F.nullif(F.regexp_extract("text", NEXT_FUNCTION, 1), F.lit(""))
+    found = lines.withColumn("__f", name).withColumn("__next", F.coalesce(F.first("__f", True).over(w.rowsBetween(1, below)), F.lit("<unknown>")))
+    text, shapes = F.col("text"), {}
+    for framework, ends, pattern, route, method, handler in ROUTES:
+        listed = F.filter(F.transform(F.split(F.regexp_extract(text, LISTED_METHODS, 1), ","), lambda m: F.upper(F.regexp_replace(m, r"^[\s'\"]+|[\s'\"]+$", ""))), lambda m: m != "")
+        methods = F.array(F.upper(F.regexp_extract(text, pattern, method))) if method > 0 else F.array(F.lit("ANY")) if method else F.when(F.size(listed) > 0, listed).otherwise(F.array(F.lit("GET")))
+        rest = F.regexp_replace(text, "^.*?" + pattern, "")
+        by = F.regexp_extract(text, pattern, handler) if handler > 0 else F.col("__next") if not handler else F.coalesce(F.nullif(F.regexp_extract(rest, NAMED_ARGUMENT, 1), F.lit("")), F.lit("<anonymous>"))
+        hit = F.when(suffix(F.col("path")).isin(ends) & text.rlike(pattern), F.struct(F.lit(framework).alias("framework"), F.regexp_extract(text, pattern, route).alias("route"), methods.alias("methods"), by.alias("handler")))
+        shapes[framework] = F.coalesce(shapes[framework], hit) if framework in shapes else hit
+    one = found.select("path", "line", F.explode(F.array_compact(F.array(*shapes.values()))).alias("r"))
+    return one.select("path", "line", "r.framework", "r.route", F.explode("r.methods").alias("method"), "r.handler")
 
 
 def guards(lines: DataFrame) -> DataFrame:

@@ -189,21 +189,26 @@ def blind_pass(answer: Column) -> Column:
     return F.when(F.lower(F.trim(answer)).startswith("yes"), "verified").otherwise("conflicting")
 
 
-def parse_verdicts(replies: DataFrame, text: str = "reply") -> DataFrame:
-    """V2: (reply's columns, candidate, verdict, confidence, reason) from lines ``VERDICT n: x``, ``CONFIDENCE n: y``, ``REASON n: z``.
+def parse_verdicts(replies: DataFrame, text: str = "reply", size: int = VERDICT_BATCH) -> DataFrame:
+    """V2: (reply's columns, candidate, verdict, confidence, reason) from lines ``VERDICT #n: x``, ``CONFIDENCE #n: y``, ``REASON #n: z``.
 
-    Numbers count from 1, the last of duplicates wins, reasons are cut at 240 characters.
+    The mark before the number may be missing and text may follow the word.  Verdicts are
+    real and false_positive; numbers count from 1 to ``size``, others are passed over; the
+    last of duplicates wins.  Without a known confidence it is low, without a reason the
+    reason is empty; reasons are cut at 240 characters.
     """
 
     def pairs(name: str, value: str) -> Column:
-        pattern = F.lit(rf"(?im)^\s*{name}\s+(\d+)\s*:\s*({value})\s*$")
+        pattern = F.lit(rf"(?im)^\s*{name}\s*#?\s*(\d+)\s*:\s*({value})")
         found = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("n"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("v"))
-        return F.aggregate(found, F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<string>")), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["n"].cast("int")), F.create_map(x["n"].cast("int"), x["v"])))
+        found = F.filter(F.transform(found, lambda x: F.struct(x["n"].try_cast("int").alias("n"), x["v"].alias("v"))), lambda x: x["n"].between(1, size))
+        return F.aggregate(found, F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<string>")), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["n"]), F.create_map(x["n"], x["v"])))
 
-    out = replies.withColumns({"__v": pairs("VERDICT", "[a-z_]+"), "__c": pairs("CONFIDENCE", "[a-z]+"), "__r": pairs("REASON", ".+?")})
+    out = replies.withColumns({"__v": pairs("VERDICT", r"real\b|false_positive\b"), "__c": pairs("CONFIDENCE", r"high\b|medium\b|low\b"), "__r": pairs("REASON", ".+")})
     out = out.withColumn("candidate", F.explode(F.map_keys("__v")))
     at = lambda m: F.try_element_at(F.col(m), F.col("candidate"))
-    return out.withColumns({"verdict": F.lower(at("__v")), "confidence": F.lower(at("__c")), "reason": F.substring(at("__r"), 1, 240)}).drop("__v", "__c", "__r")
+    reason = F.coalesce(F.substring(F.regexp_replace(at("__r"), r"^\s+|\s+$", ""), 1, 240), F.lit(""))
+    return out.withColumns({"verdict": F.lower(at("__v")), "confidence": F.coalesce(F.lower(at("__c")), F.lit("low")), "reason": reason}).drop("__v", "__c", "__r")
 
 
 def verdict_batches(candidates: DataFrame, keys: list[str], by: str = "vuln_class", order: str = "ord", size: int = VERDICT_BATCH) -> DataFrame:
@@ -240,9 +245,10 @@ def remediation_complexity(critical: Column, high: Column) -> Column:
 
 
 def scan_summary(findings: DataFrame, keys: list[str]) -> DataFrame:
-    """A9, A14-A16, A18, A26, A27, A29 in one pass: counts by severity, score, label, decision and warnings by scan.
+    """A9, A14-A16, A18, A26, A29 in one pass: counts by severity, score, label, decision and warnings by scan.
 
-    findings: severity, confidence, verification_status and boolean partial.
+    findings: severity, confidence, verification_status and, if there is one, a boolean
+    partial that tells of a scan that was cut short.
     """
     s, c, v = F.col("severity"), F.col("confidence"), F.col("verification_status")
     n = lambda cond: F.count_if(F.coalesce(cond, F.lit(False)))
@@ -257,8 +263,10 @@ def scan_summary(findings: DataFrame, keys: list[str]) -> DataFrame:
         n(v == "conflicting").alias("conflicting"),
         n(v == "advisory_real").alias("triaged"),
         n(s.isin("Critical", "High") & c.isin("Medium", "Low")).alias("demoted"),
+        *([F.coalesce(F.bool_or("partial"), F.lit(False)).alias("__partial")] if "partial" in findings.columns else []),
     )
-    warnings = F.array_compact(F.array(F.when(F.col("conflicting") > 0, F.lit("conflicting")), F.when(F.col("demoted") > 0, F.lit("demoted")), F.when(F.col("triaged") > 0, F.lit("auto_triaged"))))
+    cut = "partial" in findings.columns
+    warnings = F.array_compact(F.array(F.when(F.col("__partial"), F.lit("partial")) if cut else F.lit(None).cast("string"), F.when(F.col("conflicting") > 0, F.lit("conflicting")), F.when(F.col("demoted") > 0, F.lit("demoted")), F.when(F.col("triaged") > 0, F.lit("auto_triaged"))))
     return out.withColumns(
         {
             "label": risk_label(F.col("score")),
@@ -267,7 +275,7 @@ def scan_summary(findings: DataFrame, keys: list[str]) -> DataFrame:
             "warnings": F.array_join(warnings, ","),
             "exit_status": (F.col("critical") + F.col("high") > 0).cast("int"),
         }
-    )
+    ).drop("__partial")
 
 
 def top_types(findings: DataFrame, keys: list[str], k: int = 2) -> DataFrame:

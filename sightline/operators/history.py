@@ -22,6 +22,12 @@ def dashboard(scans: DataFrame, cutoff: Column, failed: str = "failed") -> DataF
     )
 
 
+def repos_at_risk(portal: DataFrame, ci: DataFrame, repo: str = "repo_url") -> DataFrame:
+    """A4, F16: repositories with a critical or high finding, counted by channel and added (one in both counts twice)."""
+    counts = [x.agg(F.count_distinct(F.when((F.col("critical") > 0) | (F.col("high") > 0), F.col(repo))).alias("n")) for x in (portal, ci)]
+    return counts[0].unionByName(counts[1]).agg(F.sum("n").alias("repos_at_risk"))
+
+
 def monthly_rollup(usage: DataFrame, keys: list[str], at: str, sums: list[str]) -> DataFrame:
     """By keys and month ("YYYY-MM"): sums, scan_count, last_updated."""
     month = F.date_format(at, "yyyy-MM").alias("year_month")

@@ -123,6 +123,17 @@ def dashboard_kpis(spark, sf_dir):
     return history.dashboard(scans, F.lit("1998-01-01").cast("timestamp_ntz"), failed="F")
 
 
+@query("""
+WITH s AS (SELECT o_custkey, o_custkey % 97 AS repo, CAST(floor(o_totalprice) AS BIGINT) % 11 = 0 AS critical, CAST(floor(o_totalprice) AS BIGINT) % 13 = 0 AS high FROM orders)
+SELECT CAST(count(DISTINCT CASE WHEN o_custkey % 3 = 0 AND (critical OR high) THEN repo END) + count(DISTINCT CASE WHEN o_custkey % 3 <> 0 AND (critical OR high) THEN repo END) AS BIGINT) AS repos_at_risk FROM s
+""")
+def repos_at_risk(spark, sf_dir):
+    """A4, F16: two channels' counts added."""
+    o, n = table(spark, sf_dir, "orders"), F.floor("o_totalprice")
+    scans = o.select("o_custkey", (F.col("o_custkey") % 97).alias("repo_url"), (n % 11 == 0).cast("int").alias("critical"), (n % 13 == 0).cast("int").alias("high"))
+    return history.repos_at_risk(scans.filter("o_custkey % 3 = 0"), scans.filter("o_custkey % 3 <> 0"))
+
+
 @query("""
 SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors, max(ts) AS last_seen
 FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1
@@ -597,3 +608,39 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
+
+
+REPLY = """
+r AS (SELECT doc_id, 'VERDICT #' || (doc_id % 7) || ': ' || CASE doc_id % 3 WHEN 0 THEN 'real - because' WHEN 1 THEN 'FALSE_POSITIVE' ELSE 'maybe' END || chr(10)
+  || '  verdict ' || (doc_id % 5 + 1) || ' : real' || chr(10) || 'CONFIDENCE 1: ' || CASE doc_id % 4 WHEN 0 THEN 'High, surely' WHEN 1 THEN 'low' WHEN 2 THEN 'medium' ELSE 'unknown' END || chr(10)
+  || 'REASON #1:  ' || n_chars || ' chars of ' || source AS reply FROM documents)
+"""
+
+
+@query(f"""
+WITH {REPLY},
+p AS (SELECT *, list_reverse(list_transform(regexp_extract_all(reply, '(?im)^\\s*VERDICT\\s*#?\\s*(\\d+)\\s*:\\s*(real|false_positive)\\b', 1), lambda x: CAST(x AS INTEGER))) AS vn,
+  list_reverse(regexp_extract_all(reply, '(?im)^\\s*VERDICT\\s*#?\\s*(\\d+)\\s*:\\s*(real|false_positive)\\b', 2)) AS vv,
+  regexp_extract(reply, '(?im)^\\s*CONFIDENCE\\s*#?\\s*1\\s*:\\s*(high|medium|low)\\b', 1) AS c,
+  regexp_extract(reply, '(?im)^\\s*REASON\\s*#?\\s*1\\s*:\\s*(.+)$', 1) AS why FROM r)
+SELECT doc_id, CAST(k AS INTEGER) AS candidate, lower(vv[list_position(vn, k)]) AS verdict,
+  CASE WHEN k = 1 AND c <> '' THEN lower(c) ELSE 'low' END AS confidence, CASE WHEN k = 1 THEN left(trim(why), 240) ELSE '' END AS reason
+FROM p, unnest(range(1, 6)) AS u(k) WHERE list_contains(vn, k)
+""")
+def verdict_parsing(spark, sf_dir):
+    """V2: replies of several shapes, with numbers out of range and words that are no verdict."""
+    d = table(spark, sf_dir, "documents")
+    word = F.when(F.col("doc_id") % 3 == 0, "real - because").when(F.col("doc_id") % 3 == 1, "FALSE_POSITIVE").otherwise("maybe")
+    sure = F.when(F.col("doc_id") % 4 == 0, "High, surely").when(F.col("doc_id") % 4 == 1, "low").when(F.col("doc_id") % 4 == 2, "medium").otherwise("unknown")
+    text_ = lambda c: c.cast("string")
+    reply = F.concat(F.lit("VERDICT #"), text_(F.col("doc_id") % 7), F.lit(": "), word, F.lit("\n  verdict "), text_(F.col("doc_id") % 5 + 1), F.lit(" : real\nCONFIDENCE 1: "), sure, F.lit("\nREASON #1:  "), text_(F.col("n_chars")), F.lit(" chars of "), F.col("source"))
+    return findings.parse_verdicts(d.select("doc_id", reply.alias("reply"))).drop("reply")
+
+
+@query("""
+SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN '' WHEN n <= 1 THEN '1-line fix' WHEN n <= 3 THEN 'quick fix' ELSE '' END AS label
+FROM (SELECT doc_id, text, len(list_filter(regexp_split_to_array(text, '\\r\\n|\\n|\\r'), lambda x: regexp_matches(x, '\\S'))) AS n FROM documents)
+""")
+def fix_labels(spark, sf_dir):
+    """X24."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.quick_fix_label(F.col("text")).alias("label"))

@@ -184,7 +184,7 @@ def test_tool_sources(spark):
 def test_verdict_parsing(spark):
     reply = "VERDICT 1: real\nCONFIDENCE 1: High\nREASON 1: because\nVERDICT 2: real\nVERDICT 2: false_positive\n"
     got = {r.candidate: (r.verdict, r.confidence, r.reason) for r in findings.parse_verdicts(spark.createDataFrame([(reply,)], "reply string")).collect()}
-    assert got == {1: ("real", "high", "because"), 2: ("false_positive", None, None)}
+    assert got == {1: ("real", "high", "because"), 2: ("false_positive", "low", "")}
     p = spark.createDataFrame([("PROMOTES: 1, 3, 9", 3), ("PROMOTES: 1", 1), ("none", 4)], "r string, n int").select(findings.promotions(F.col("r"), F.col("n"))).collect()
     assert [r[0] for r in p] == [[1, 3], [], []]
 
@@ -233,3 +233,48 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     got = {(r.event_type, r.year_month): r.n for r in spark.table("monthly").collect()}
     want = {(r.event_type, r.year_month): r["count"] for r in events.groupBy("event_type", F.date_format("ts", "yyyy-MM").alias("year_month")).count().collect()}
     assert got == want
+
+
+def test_verdict_shapes(spark):
+    reply = "VERDICT #1: real\nVERDICT 2: real - because x\nVERDICT 3: false_positive\nVERDICT 9: real\nVERDICT 4: maybe\nCONFIDENCE #2: High.\nREASON #2:  spaced  \nVERDICT 0: real"
+    got = {r.candidate: (r.verdict, r.confidence, r.reason) for r in findings.parse_verdicts(spark.createDataFrame([(reply,)], "reply string")).collect()}
+    assert got == {1: ("real", "low", ""), 2: ("real", "high", "spaced"), 3: ("false_positive", "low", "")}
+
+
+def test_route_shapes(spark):
+    files = {
+        "a.py": [
+            "@routes.get('/x')",
+            "@login_required",
+            "async def show(request):",
+            "app.router.add_route('POST', '/y', make)",
+            "app.router.add_delete('/z', drop)",
+            "urlpatterns = [re_path(r'^p/$', views.page, name='p')]",
+            "@bp.route('/m', methods=['PUT', 'patch'])",
+        ],
+        "b.js": ["router.all(`/j`, auth, handler)", "app.get('/k', (req) => 1)"],
+        "c.go": ['  r.Any("/g", Serve)'],
+        "d.txt": ["@app.route('/no')"],
+    }
+    rows = [(p, i, t) for p, ls in files.items() for i, t in enumerate(ls, 1)]
+    got = {tuple(r) for r in context.routes(spark.createDataFrame(rows, "path string, line int, text string")).collect()}
+    assert got == {
+        ("a.py", 1, "fastapi", "/x", "GET", "show"),
+        ("a.py", 1, "aiohttp", "/x", "GET", "show"),
+        ("a.py", 4, "aiohttp", "/y", "POST", "make"),
+        ("a.py", 5, "aiohttp", "/z", "DELETE", "drop"),
+        ("a.py", 6, "django", "^p/$", "ANY", "views.page"),
+        ("a.py", 7, "flask", "/m", "PUT", "<unknown>"),
+        ("a.py", 7, "flask", "/m", "PATCH", "<unknown>"),
+        ("b.js", 1, "express", "/j", "ALL", "auth"),
+        ("b.js", 2, "express", "/k", "GET", "<anonymous>"),
+        ("c.go", 1, "gin", "/g", "ANY", "Serve"),
+    }
+
+
+def test_fix_labels_and_partial_scans(spark):
+    rows = [("",), (None,), ("one\n\n",), ("a\nb\r\nc",), ("a\nb\nc\nd",), (" \n",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(text.quick_fix_label(F.col("t"))).collect()]
+    assert got == ["", "", "1-line fix", "quick fix", "", "1-line fix"]
+    scans = spark.createDataFrame([("s", "Low", "High", "verified", True), ("u", "Low", "High", "verified", None)], "scan string, severity string, confidence string, verification_status string, partial boolean")
+    assert {r.scan: r.warnings for r in findings.scan_summary(scans, ["scan"]).collect()} == {"s": "partial", "u": ""}
