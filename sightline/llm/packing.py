@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from .workspace import Workspace
 
 #: Token strings that a worker remembers before it starts afresh.
-CACHE = 300_000
+CACHE = 500_000
 
 
 #: Characters of text that a task holds as separate words at a time, unless one text is longer.
@@ -55,26 +55,34 @@ class WordEncoder:
         normalizers = [x["type"] for x in (setup.get("normalizer") or {}).get("normalizers", [])]
         steps = (setup.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         self.plain = normalizers == PLAIN_NORMALIZERS and steps[0].get("pattern") == {"Regex": PLAIN_PATTERN} and [x["type"] for x in steps] == ["Split", "ByteLevel"] and not steps[1].get("add_prefix_space", True)
-        self.known, self.runs = {"": b""}, {"": b""}
+        self.known, self.marks = {"": b""}, {}
+        self.packs = [struct.Struct(f"<{n}I").pack for n in range(63)]
         # Byte-level models spell a byte as the character of its code, or of 256 and up for those without a shape.
         shapeless = [c for c in range(256) if not (33 <= c <= 126 or 161 <= c <= 172 or c >= 174)]
         self.spelling = {c: 256 + i for i, c in enumerate(shapeless)}
 
     def _run(self, run: str) -> bytes:
         spelled = run if run.isascii() else run.encode().decode("latin-1").translate(self.spelling)
-        ids = self.runs[run] = struct.pack(f"<{len(found := self.tokenizer.model.tokenize(spelled))}I", *[t.id for t in found])
-        return ids
+        found = [t.id for t in self.tokenizer.model.tokenize(spelled)]
+        return self.packs[len(found)](*found) if len(found) < 63 else np.array(found, "<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
         if len(self.known) + len(words) > CACHE:
-            self.known, self.runs = {"": b""}, {"": b""}
-        rest, known, run_ids, fits = [], self.known, self.runs.get, PLAIN_WORD.fullmatch
+            self.known, self.marks = {"": b""}, {}
+        rest, known, ends, fits = [], self.known, self.marks, PLAIN_WORD.fullmatch
         for w in words - known.keys():
             if self.plain and (m := fits(w)):
                 letters, marks = m.groups()
                 letters = letters.lower()
-                ids = run_ids(letters) or self._run(letters)
-                known[w] = ids + (run_ids(marks) or self._run(marks)) if marks else ids
+                # A run of small letters is a word of its own.
+                if (ids := known.get(letters)) is None:
+                    ids = known[letters] = self._run(letters)
+                if marks:
+                    if (end := ends.get(marks)) is None:
+                        end = ends[marks] = self._run(marks)
+                    known[w] = ids + end
+                else:
+                    known[w] = ids
             else:
                 rest.append(w)
         for i in range(0, len(rest), 5000):
