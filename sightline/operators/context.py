@@ -150,3 +150,89 @@ def upload_handlers(lines: DataFrame, cap: int = 200) -> DataFrame:
 def upload_signals(block: Column) -> Column:
     """Names of the signals in the text around a handler."""
     return F.array_compact(F.array(*[F.when(block.rlike(p), F.lit(k)) for k, p in SIGNALS.items()]))
+
+
+#: Calls of interest by kind, first kind counts, and words that look like calls.
+CALLEES = [
+    ("auth_check", r"(?iU)\b(has_permission|can_\w+|require_\w+|check_permission|is_authorized|is_owner|verify_\w+|assert_permission|authorize)\s*\("),
+    ("ownership_helper", r"(?iU)\b(get_user|find_\w+_by_id|get_\w+_by_id|current_user|get_current_user|get_owner|get_resource_owner|get_tenant)\s*\("),
+    ("db_query", r"(?iU)\b(execute|query|fetchone|fetchall|cursor|find_by|get_or_404|get_object_or_404|filter_by|select|insert|update|delete|raw|execute_query)\s*\("),
+    ("other", r"(?U)\b(\w{3,})\s*\("),
+]
+NOT_CALLED = ["if", "for", "while", "def", "class", "return", "import", "from", "with", "not", "and", "or", "in", "is", "str", "int", "len", "print", "True", "False", "None"]
+#: Names of decorators that guard.
+GUARD_NAMES = r"(?i)login_required|require_admin|require_staff|permission_required|admin_required|auth_required|authenticated|requires_auth|jwt_required|token_required|verify_jwt|check_permission|authorize|secured|protected"
+DECORATOR = r"^\s*@([\w.]+(?:\([^)]*\))?)\s*$"
+FUNCTION_LINE = r"^\s*(?:async\s+)?def\s+\w+"
+MAX_CALLERS, MAX_CALLEES, MAX_ROUTES, MAX_GUARDS, MAX_OWNERSHIP, MAX_SNIPPET = 5, 10, 5, 10, 10, 30
+
+
+def callees(snippet: Column, cap: int | None = MAX_CALLEES) -> Column:
+    """array<struct<name, kind>> of what a snippet calls, each name under its first kind, by kind and then name."""
+    none = F.array().cast("array<string>")
+    taken, parts = none, []
+    for kind, pattern in CALLEES:
+        names = F.array_except(F.array_sort(F.array_distinct(F.regexp_extract_all(snippet, F.lit(pattern), F.lit(1)))), taken)
+        if kind == "other":
+            names = F.filter(names, lambda n: ~n.isin(NOT_CALLED))
+        parts.append(F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(kind).alias("kind"))))  # noqa: B023
+        taken = F.concat(taken, names)
+    out = F.coalesce(F.concat(*parts), F.array().cast("array<struct<name:string,kind:string>>"))
+    return F.slice(out, 1, cap) if cap else out
+
+
+def guarding_decorators(lines: DataFrame) -> DataFrame:
+    """(path, line, name) of the guards among the decorators stacked right above a function; any other line between breaks the stack."""
+    w = W.partitionBy("path").orderBy("line")
+    decorator = F.col("text").rlike("(?U)" + DECORATOR)
+    below = F.first(F.when(~decorator, F.col("text").rlike("(?U)" + FUNCTION_LINE)), True).over(w.rowsBetween(1, W.unboundedFollowing))
+    name = F.regexp_extract("text", "(?U)" + DECORATOR, 1)
+    return lines.withColumn("__sl_def", below).filter(decorator & F.col("__sl_def") & name.rlike(GUARD_NAMES)).select("path", "line", name.alias("name"))
+
+
+def snippet(lines: Column, start: Column, end: Column, scanner_only: Column) -> Column:
+    """The lines around a finding: 8 on each side, 14 for scanners' own, at most 30; without a start the first 30."""
+    wide = F.when(scanner_only, F.lit(14)).otherwise(F.lit(8))
+    first = F.greatest(start - wide + 1, F.lit(1))
+    last = F.coalesce(F.nullif(end, F.lit(0)), start) + wide
+    n = F.least(last - first + 1, F.lit(MAX_SNIPPET))
+    part = F.when(F.coalesce(start, F.lit(0)) != 0, F.slice(lines, first.cast("int"), F.greatest(n, F.lit(0)).cast("int"))).otherwise(F.slice(lines, 1, MAX_SNIPPET))
+    return F.array_join(part, "\n")
+
+
+def _capped(rows: DataFrame, key: str, cap: int, columns: list[str], name: str) -> DataFrame:
+    """By key the first rows in line order as one array; the cap is applied before rows meet."""
+    w = W.partitionBy(key).orderBy(*columns)
+    top = rows.withColumn("__sl_rn", F.row_number().over(w)).filter(F.col("__sl_rn") <= cap)
+    return top.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+
+
+def bundles(candidates: DataFrame, files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """Candidates (candidate_ord, file, line_start, line_end, sources) with snippet, callees, routes, guards and ownership of their file.
+
+    A file without routes gets the first routes of the snapshot, by path and line (a list
+    of fixed length).  A candidate whose file is missing has an empty bundle.  A path is
+    once in ``files``.
+    """
+    lines = lines_of(files, path, content)
+    found = routes(lines)
+    own = _capped(found, "path", MAX_ROUTES, ["line", "framework", "method", "route", "handler"], "own")
+    tagged = found.select("path", "line", "framework", "method", "route", "handler").orderBy("path", "line", "framework", "method").limit(MAX_ROUTES)
+    others = tagged.agg(F.array_sort(F.collect_list(F.struct(*tagged.columns))).alias("others"))  # at most MAX_ROUTES rows
+    g = _capped(guards(lines), "path", MAX_GUARDS, ["line", "kind", "name"], "guards")
+    o = _capped(ownership_checks(lines), "path", MAX_OWNERSHIP, ["line", "field", "source"], "ownership")
+    text = files.select(F.col(path).alias("path"), split_lines(F.col(content)).alias("__sl_lines"))
+    j = candidates.withColumn("path", F.col("file"))
+    for part in (text, own, g, o):
+        j = j.join(part, "path", "left")
+    cut = snippet(F.col("__sl_lines"), F.col("line_start"), F.col("line_end"), ~F.array_contains("sources", "llm"))
+    j = j.withColumn("snippet", F.coalesce(cut, F.lit("")))
+    with_path = F.transform("own", lambda r: F.struct(F.col("path").alias("path"), r["line"].alias("line"), r["framework"].alias("framework"), r["method"].alias("method"), r["route"].alias("route"), r["handler"].alias("handler")))
+    return j.withColumns(
+        {
+            "callees": callees(F.col("snippet")),
+            "routes": F.when(F.col("__sl_lines").isNull(), F.array().cast("array<struct<path:string,line:int,framework:string,method:string,route:string,handler:string>>")).otherwise(F.coalesce(with_path, others.scalar())),
+            "guards": F.coalesce("guards", F.array().cast("array<struct<line:int,kind:string,name:string>>")),
+            "ownership": F.coalesce("ownership", F.array().cast("array<struct<line:int,field:string,source:string>>")),
+        }
+    ).drop("path", "__sl_lines", "own")

@@ -189,3 +189,74 @@ def id_list(value: Column) -> Column:
     """``source:uuid`` items of a comma-separated list; malformed items are left out."""
     items = F.transform(F.split(value, ","), F.trim)
     return F.filter(items, lambda x: x.rlike("(?i)^[a-z]+:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"))
+
+
+def token_list(tokens: DataFrame, status: str | None = None, active_only: bool = False, email_part: str | None = None, cap: int = 500) -> DataFrame:
+    """The newest ``cap`` tokens, active, revoked or all; an unknown status is none, the older flag means active."""
+    active = active_only or status == "active"
+    out = tokens
+    if active:
+        out = out.filter(F.col("revoked_at").isNull())
+    elif status == "revoked":
+        out = out.filter(F.col("revoked_at").isNotNull())
+    if email_part:
+        out = out.filter(F.col("user_email").ilike(f"%{email_part}%"))
+    return out.orderBy(F.desc("issued_at"), F.desc("token_id")).limit(cap)
+
+
+def resolved_flags(scopes: DataFrame, configs: DataFrame, keys: list[str], by: str, environment: dict[str, bool], defaults: dict[str, bool]) -> DataFrame:
+    """scopes with each flag of ``defaults``: of the scope's latest config row, else of the environment, else the default.
+
+    A config row decides all its flags; one that is null there is off.
+    """
+    last = latest(configs, keys, by).select(*keys, F.lit(True).alias("__sl_row"), *[F.coalesce(F.col(f), F.lit(False)).alias(f) for f in defaults])
+    j = scopes.join(last, keys, "left")
+    return j.withColumns({f: F.when(F.col("__sl_row"), F.col(f)).otherwise(F.lit(environment.get(f, d))) for f, d in defaults.items()}).drop("__sl_row")
+
+
+def report_rows(portal: DataFrame, ci: DataFrame) -> DataFrame:
+    """Both channels' rows (scan_id, started_at, html_report) with source and has_report, for :func:`page`."""
+    both = [x.select(F.lit(name).alias("source"), "scan_id", "started_at", (F.coalesce("html_report", F.lit("")) != "").alias("has_report")) for name, x in (("portal", portal), ("ci", ci))]
+    return both[0].unionByName(both[1])
+
+
+def audit_rows(events: DataFrame, metadata: list[str], now: Column) -> DataFrame:
+    """Rows to append: (event_type, user_email, actor_email, at, metadata); the metadata columns as JSON, without nulls, null if nothing is left."""
+    json = F.to_json(F.struct(*metadata))
+    return events.select("event_type", "user_email", "actor_email", now.alias("at"), F.nullif(json, F.lit("{}")).alias("metadata"))
+
+
+def run_rows(runs: DataFrame, now: Column, ci: bool = False) -> dict[str, DataFrame]:
+    """What finished runs add to the history: scans, monthly and, but for CI, usage and audit.
+
+    runs: scan_id, user_email, finished_at, status, provider, model, input_tokens,
+    output_tokens, findings.  Runs without a user leave nothing.  CI runs are always ok.
+    ``monthly`` holds increments, to be added by :func:`upsert_add`.
+    """
+    runs = runs.filter(F.coalesce("user_email", F.lit("")) != "")
+    status = F.lit("ok") if ci else F.col("status")
+    rows = {"scans": runs.select("scan_id", "user_email", "finished_at", status.alias("status"), "findings")}
+    rows["monthly"] = monthly_rollup(runs, ["user_email", "provider", "model"], "finished_at", USAGE)
+    if not ci:
+        rows["usage"] = runs.select("scan_id", "provider", "model", *USAGE)
+        done = runs.select(F.lit("scan_ok").alias("event_type"), "user_email", F.lit(None).cast("string").alias("actor_email"), "scan_id", "status", "findings")
+        rows["audit"] = audit_rows(done, ["scan_id", "status", "findings"], now)
+    return rows
+
+
+def publish(rows: dict[str, DataFrame], folder: str, batch: str) -> None:
+    """Append frames as one batch of the shared folder: tables first, the batch's line of the manifest last.
+
+    A batch that broke off is never read; the same batch written again replaces its files.
+    """
+    for name, frame in rows.items():
+        frame.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
+    spark = next(iter(rows.values())).sparkSession
+    spark.createDataFrame([(n,) for n in rows], "name string").write.mode("overwrite").parquet(f"{folder}/manifest/batch={batch}")
+
+
+def published(spark, folder: str, name: str) -> DataFrame:
+    """The rows of a table from the batches whose manifest is written; batch is a column."""
+    done = spark.read.parquet(f"{folder}/manifest").filter(F.col("name") == name).select(F.col("batch").cast("string"))
+    rows = spark.read.parquet(f"{folder}/{name}").withColumn("batch", F.col("batch").cast("string"))
+    return rows.join(done, "batch", "left_semi")
