@@ -69,21 +69,25 @@ def _spans(found: Column) -> Column:
     return F.aggregate(found, empty, step, lambda a: a["out"])
 
 
-def secret_hits(files: DataFrame, path: str = "path", content: str = "content", keep: list[str] | None = None) -> DataFrame:
+def secret_hits(files: DataFrame, path: str = "path", content: str = "content", keep: list[str] | None = None, without: tuple[str, ...] = ()) -> DataFrame:
     """(path, line, end_line, hint, detector) and the columns ``keep``, positions on the original text, one hit for a place.
 
     Of hits with the same lines the detector first in order wins.  The value itself is
-    not part of the result.  Null contents have none.
+    not part of the result.  Null contents have none.  The detectors named in ``without``
+    are left out.
     """
     text = F.col(content)
+    detectors = [d for d in DETECTORS if d[0] not in without]
+
     def kind(i: int, name: str, pattern: str, before: list[int], group: int) -> Column:
         good = F.filter(_spans(_matches(text, pattern, before, group)), lambda s: _accepted(name, F.col(path), s["quote"], s["value"]))
-        return F.transform(good, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(i).alias("ord"), F.lit(name).alias("detector")))
+        hits = F.transform(good, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(i).alias("ord"), F.lit(name).alias("detector")))
+        return F.when(text.rlike(pattern), hits).otherwise(F.array().cast("array<struct<start:int,end:int,ord:int,detector:string>>"))
 
-    kinds = [kind(i, *detector) for i, detector in enumerate(DETECTORS)]
+    kinds = [kind(i, *detector) for i, detector in enumerate(detectors)]
     # A cheap test first: most files have no match at all.
     any_ = F.lit(False)
-    for _, pattern, _, _ in DETECTORS:
+    for _, pattern, _, _ in detectors:
         any_ = any_ | text.rlike(pattern)
     found = files.filter(any_).withColumn("__sl_hits", F.concat(*kinds)).select(*(keep or []), F.col(path).alias("path"), text.alias("text"), F.explode("__sl_hits").alias("h"))
     head = F.substr("text", F.lit(1), F.col("h.start"))

@@ -169,15 +169,20 @@ MAX_CALLERS, MAX_CALLEES, MAX_ROUTES, MAX_GUARDS, MAX_OWNERSHIP, MAX_SNIPPET = 5
 
 def callees(snippet: Column, cap: int | None = MAX_CALLEES) -> Column:
     """array<struct<name, kind>> of what a snippet calls, each name under its first kind, by kind and then name."""
-    none = F.array().cast("array<string>")
-    taken, parts = none, []
-    for kind, pattern in CALLEES:
-        names = F.array_except(F.array_sort(F.array_distinct(F.regexp_extract_all(snippet, F.lit(pattern), F.lit(1)))), taken)
-        if kind == "other":
-            names = F.filter(names, lambda n: ~n.isin(NOT_CALLED))
-        parts.append(F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(kind).alias("kind"))))  # noqa: B023
-        taken = F.concat(taken, names)
-    out = F.coalesce(F.concat(*parts), F.array().cast("array<struct<name:string,kind:string>>"))
+    raw = F.struct(*[F.array_sort(F.array_distinct(F.regexp_extract_all(snippet, F.lit(pattern), F.lit(1)))).alias(kind) for kind, pattern in CALLEES])
+
+    def by_kind(found):
+        kinds = [kind for kind, _ in CALLEES]
+        parts = []
+        for i, kind in enumerate(kinds):
+            names = F.array_except(found[kind], F.concat(*[found[k] for k in kinds[:i]])) if i else found[kind]
+            names = F.filter(names, lambda n: ~n.isin(NOT_CALLED)) if kind == "other" else names
+            parts.append(F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(kind).alias("kind"))))  # noqa: B023
+        return F.concat(*parts)
+
+    # Bound once, so that each pattern runs once; a text without a parenthesis calls nothing.
+    bound = F.when(snippet.contains("("), F.get(F.transform(F.array(raw), by_kind), 0))
+    out = F.coalesce(bound, F.array().cast("array<struct<name:string,kind:string>>"))
     return F.slice(out, 1, cap) if cap else out
 
 

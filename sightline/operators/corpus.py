@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.paths import BUDGET_RISK_PREFIXES, risky
 from ..functions.text import total_lines
@@ -37,12 +41,26 @@ def take_while_fits(items: Column, cap: Column | int) -> Column:
 def trim_to_budget(files: DataFrame, snapshot: str = "snapshot_id", path: str = "path", size: Column | None = None, priority: Column | None = None, budget: int = TOKEN_BUDGET) -> DataFrame:
     """B2: (snapshot, path, size, kept): risky paths first, then by path; a file that doesn't fit is skipped and smaller ones still tried.
 
-    Only paths and sizes of a snapshot meet in one row, never contents.
+    Only paths and sizes are shuffled, never contents; a snapshot's are sorted and stream
+    through one task that holds a running total, so it may have any number of files.  A
+    null size counts as 0.
     """
     size = F.length("content") if size is None else size
     first = risky(F.col(path), BUDGET_RISK_PREFIXES) if priority is None else priority
-    listed = files.select(F.col(snapshot).alias("snapshot"), F.struct((~first).alias("last"), F.col(path).alias("path"), size.cast("long").alias("size")).alias("f"))
-    ordered = listed.groupBy("snapshot").agg(F.sort_array(F.collect_list("f")).alias("fs"))
-    ordered = ordered.withColumn("taken", take_while_fits(F.transform("fs", lambda f: F.struct(f["size"].alias("size"))), budget * CHARS_PER_TOKEN))
-    zipped = ordered.select("snapshot", F.explode(F.arrays_zip("fs", "taken")).alias("z"))
-    return zipped.select("snapshot", F.col("z.fs.path").alias("path"), F.col("z.fs.size").alias("size"), F.col("z.taken").alias("kept"))
+    listed = files.select(F.col(snapshot).alias("snapshot"), (~first).alias("last"), F.col(path).alias("path"), F.coalesce(size.cast("long"), F.lit(0)).alias("size"))
+    ordered = listed.repartition("snapshot").sortWithinPartitions("snapshot", "last", "path", "size")
+    cap = budget * CHARS_PER_TOKEN
+    return ordered.mapInArrow(lambda batches: _fitting(batches, cap), T.StructType([*ordered.schema, T.StructField("kept", T.BooleanType())])).select("snapshot", "path", "size", "kept")
+
+
+def _fitting(batches: Iterator[pa.RecordBatch], cap: int) -> Iterator[pa.RecordBatch]:
+    """The batches with kept: whether a row still fits under its snapshot's total; a snapshot's rows come one after another."""
+    at, total = object(), 0
+    for batch in batches:
+        out = []
+        for snapshot, size in zip(batch.column("snapshot").to_pylist(), batch.column("size").to_pylist()):
+            if snapshot != at:
+                at, total = snapshot, 0
+            out.append(total + size <= cap)
+            total += size if out[-1] else 0
+        yield batch.append_column("kept", pa.array(out, pa.bool_()))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.paths import VERIFIER_RISK_PREFIXES, risky
 from ..functions.text import basename, normal_band, overlaps, severity_rank
@@ -45,56 +48,94 @@ def consensus(candidates: DataFrame, tolerance: int = CONSENSUS_LINES) -> DataFr
     tolerance; clusters never merge afterwards, so the order (``ord``) matters.  The
     result has the first voter's message and severity, the tools in order of first vote,
     their number and all rule ids.  A group is the candidates of one class in one file.
+
+    Candidates of different islands of lines can't meet, so each island is folded on its
+    own: sorted rows stream through a task that holds nothing but the ranges of one
+    island's clusters.  A candidate without lines is a cluster of its own.
     """
-    member = F.struct("ord", "line_start", "line_end", "tool", "message", "raw_rule_id", "severity_hint")
-    groups = candidates.groupBy("file", "vuln_class").agg(F.sort_array(F.collect_list(member)).alias("ms"))
-    kind = "array<struct<lo:int,hi:int,members:array<int>>>"
-
-    def step(clusters, m, i):
-        fits = F.transform(clusters, lambda c: overlaps(m["line_start"], m["line_end"], c["lo"], c["hi"], tolerance))
-        at = F.array_position(fits, True)
-        grown = F.transform(
-            clusters,
-            lambda c, k: F.when(
-                k + 1 == at,
-                F.struct(F.least(c["lo"], m["line_start"]).alias("lo"), F.greatest(c["hi"], m["line_end"]).alias("hi"), F.concat(c["members"], F.array(i)).alias("members")),
-            ).otherwise(c),
-        )
-        own = F.struct(m["line_start"].alias("lo"), m["line_end"].alias("hi"), F.array(i).alias("members"))
-        return F.when(at > 0, grown).otherwise(F.concat(clusters, F.array(own))).cast(kind)
-
-    indexed = F.transform("ms", lambda m, i: F.struct(m.alias("m"), i.alias("i")))
-    clusters = groups.withColumn("cs", F.aggregate(indexed, F.array().cast(kind), lambda a, x: step(a, x["m"], x["i"])))
-    one = clusters.select("file", "vuln_class", "ms", F.explode("cs").alias("c"))
-    pick = one.withColumn("own", F.transform("c.members", lambda i: F.get(F.col("ms"), i)))
-    first = F.get("own", 0)
-    tools = F.array_distinct(F.transform("own", lambda m: m["tool"]))
-    return pick.select(
+    names = ["file", "vuln_class", "ord", "line_start", "line_end", "tool", "message", "raw_rule_id", "severity_hint"]
+    keys = ["file", "vuln_class", "island"]
+    placed = numbered_islands(candidates.select(*names), keys[:2], "line_start", "line_end", tolerance)
+    # The window has them by file and class already; within that, islands in turn and in them input order.
+    ordered = placed.sortWithinPartitions(*keys, *names[2:])
+    fold = lambda batches: _first_fit(batches, keys, tolerance)
+    numbered = ordered.mapInArrow(fold, T.StructType([*ordered.schema, T.StructField("cluster", T.LongType())]))
+    first = F.min(F.struct("ord", "line_start", "line_end", "tool", "message", "raw_rule_id", "severity_hint"))
+    votes = F.array_sort(F.collect_list(F.struct("ord", "line_start", "line_end", "tool", "message", "raw_rule_id")))
+    one = numbered.groupBy(*keys, "cluster").agg(F.min("line_start").alias("line_start"), F.max("line_end").alias("line_end"), first.alias("f"), votes.alias("v"))
+    tools = F.array_distinct(F.transform("v", lambda m: m["tool"]))
+    return one.select(
         "file",
         "vuln_class",
-        F.col("c.lo").alias("line_start"),
-        F.col("c.hi").alias("line_end"),
-        first["message"].alias("message"),
+        "line_start",
+        "line_end",
+        F.col("f.message").alias("message"),
         tools.alias("sources"),
         F.size(tools).alias("consensus_score"),
-        F.transform("own", lambda m: m["raw_rule_id"]).alias("raw_rule_ids"),
-        first["severity_hint"].alias("severity_hint"),
-        first["ord"].alias("ord"),
+        F.transform("v", lambda m: m["raw_rule_id"]).alias("raw_rule_ids"),
+        F.col("f.severity_hint").alias("severity_hint"),
+        F.col("f.ord").alias("ord"),
     )
 
 
+def _first_fit(batches: Iterator[pa.RecordBatch], keys: list[str], tolerance: int) -> Iterator[pa.RecordBatch]:
+    """The batches with the number of each row's cluster, counted by island; rows of an island come one after another."""
+    at, ranges = None, []
+    for batch in batches:
+        out = []
+        columns = (batch.column(c).to_pylist() for c in (*keys, "line_start", "line_end"))
+        for *key, lo, hi in zip(*columns):
+            if key != at:
+                at, ranges = key, []
+            known = lo is not None and hi is not None
+            n = next((i for i, r in enumerate(ranges) if known and r and max(lo, r[0]) <= min(hi, r[1]) + tolerance), len(ranges))
+            if n == len(ranges):
+                ranges.append([lo, hi] if known else None)
+            else:
+                ranges[n] = [min(lo, ranges[n][0]), max(hi, ranges[n][1])]
+            out.append(n)
+        yield batch.append_column("cluster", pa.array(out, pa.int64()))
+
+
+def numbered_islands(rows: DataFrame, keys: list[str], start: str, end: str, tolerance: int) -> DataFrame:
+    """Rows with island: a new one where a range begins beyond the reach of all before it in line order."""
+    w = W.partitionBy(*keys).orderBy(start, end)
+    reach = F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1))
+    marked = rows.withColumn("__sl_new", (F.coalesce(F.col(start) > reach + tolerance, F.lit(True))).cast("int"))
+    return marked.withColumn("island", F.sum("__sl_new").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("long")).drop("__sl_new")
+
+
 def islands(rows: DataFrame, keys: list[str], start: str, end: str, tolerance: int) -> DataFrame:
     """B1 for input in line order, where it is gaps and islands: keys, island, lo, hi, n.
 
     Runs in a window, so a key may have any number of rows.
     """
-    w = W.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1))
-    marked = rows.withColumn("new", (F.coalesce(F.col(start) > reach + tolerance, F.lit(True))).cast("int"))
-    numbered = marked.withColumn("island", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("long"))
+    numbered = numbered_islands(rows, keys, start, end, tolerance)
     return numbered.groupBy(*keys, "island").agg(F.min(start).alias("lo"), F.max(end).alias("hi"), F.count(F.lit(1)).alias("n"))
 
 
+#: Cells of lines in which ranges meet: the narrowest width, the factor from level to level, the number of levels.
+CELL_LINES, CELL_FACTOR, CELL_LEVELS = 64, 32, 4
+
+
+def _in_cells(rows: DataFrame, lo: Column, hi: Column, own: str, other: str) -> DataFrame:
+    """Rows by level, cell and side: a range in the cells of its own level (the first whose cells are no shorter than it), and in those of that and all coarser ones for the other side.
+
+    Two ranges that meet share a cell at the coarser one's level, and short ranges never
+    meet others just because a cell is large.  A range has two cells a level at most (but
+    beyond the coarsest level, whose cells have two million lines).
+    """
+    level = F.lit(CELL_LEVELS - 1)
+    for k in reversed(range(CELL_LEVELS - 1)):
+        level = F.when(hi - lo + 1 <= CELL_LINES * CELL_FACTOR**k, F.lit(k)).otherwise(level)
+    width = F.get(F.array(*[F.lit(CELL_LINES * CELL_FACTOR**k).cast("long") for k in range(CELL_LEVELS)]), F.col("level"))
+    out = rows.withColumns({"__sl_lo": lo.cast("long"), "__sl_hi": hi.cast("long"), "__sl_own": level})
+    out = out.withColumn("level", F.explode(F.sequence("__sl_own", F.lit(CELL_LEVELS - 1))))
+    out = out.withColumn("cell", F.explode(F.sequence(F.floor(F.col("__sl_lo") / width), F.floor(F.col("__sl_hi") / width))))
+    sides = F.when(F.col("level") == F.col("__sl_own"), F.array(F.lit(own), F.lit(other))).otherwise(F.array(F.lit(other)))
+    return out.withColumn("side", F.explode(sides)).drop("__sl_lo", "__sl_hi", "__sl_own")
+
+
 def merge_sources(left: DataFrame, right: DataFrame, tolerance: int = MERGE_LINES) -> DataFrame:
     """Every left finding with its first overlapping right candidate, then the right ones that none took.
 
@@ -107,8 +148,12 @@ def merge_sources(left: DataFrame, right: DataFrame, tolerance: int = MERGE_LINE
     probes = left.select("left_ord", "file", F.col("line_start").alias("l0"), F.col("line_end").alias("l1"), F.posexplode("classes").alias("pos", "vuln_class")).filter("l0 <> 0")
     cand = right.filter("line_start <> 0").select("right_ord", "file", "vuln_class", F.col("line_start").alias("r0"), F.col("line_end").alias("r1"))
     near = overlaps(F.col("l0"), F.col("l1"), F.col("r0"), F.col("r1"), tolerance)
+    # Ranges meet in cells of lines, so a file with very many findings is no single group.
+    mine = _in_cells(probes, F.least("l0", "l1") - tolerance, F.greatest("l0", "l1") + tolerance, "l", "r")
+    theirs = _in_cells(cand, F.least("r0", "r1"), F.greatest("r0", "r1"), "r", "l")
+    met = mine.join(theirs, ["file", "vuln_class", "level", "cell", "side"])
     # The best match of a left row is an aggregate, combined before and after the shuffle.
-    best = probes.join(cand, ["file", "vuln_class"]).filter(near).groupBy("left_ord").agg(F.min(F.struct("pos", "right_ord", "vuln_class", "r0", "r1")).alias("m"))
+    best = met.filter(near).groupBy("left_ord").agg(F.min(F.struct("pos", "right_ord", "vuln_class", "r0", "r1")).alias("m"))
     joined = left.join(best, "left_ord", "left")
     hit = F.col("m").isNotNull()
     first = joined.select(

@@ -466,7 +466,7 @@ SELECT source, detector, count(*) AS n_lines FROM k WHERE detector IS NOT NULL G
 def secret_hits_by_detector(spark, sf_dir):
     """Lines with a credential by source and first detector (quoted random strings alone are left out, SQL can't match their quotes)."""
     d = table(spark, sf_dir, "documents")
-    hits = secret_hits(d.select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))).filter("detector <> 'high_entropy'")
+    hits = secret_hits(d.select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content")), without=("high_entropy",))
     per = hits.select(F.col("path").cast("long").alias("doc_id"), "line", "detector").groupBy("doc_id", "line").agg(F.first("detector").alias("detector"))
     return per.join(d.select("doc_id", "source"), "doc_id").groupBy("source", "detector").agg(F.count(F.lit(1)).alias("n_lines"))
 

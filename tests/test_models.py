@@ -278,3 +278,28 @@ def test_fix_labels_and_partial_scans(spark):
     assert got == ["", "", "1-line fix", "quick fix", "", "1-line fix"]
     scans = spark.createDataFrame([("s", "Low", "High", "verified", True), ("u", "Low", "High", "verified", None)], "scan string, severity string, confidence string, verification_status string, partial boolean")
     assert {r.scan: r.warnings for r in findings.scan_summary(scans, ["scan"]).collect()} == {"s": "partial", "u": ""}
+
+
+def test_cells_find_every_overlap(spark):
+    rng = random.Random(3)
+    span = lambda: (s := rng.randrange(1, 6000), s + int(rng.choice([0, 1, 60, 64, 65, 600, 5000]) * rng.random()))
+    a, b = [(i, *span()) for i in range(300)], [(i, *span()) for i in range(300)]
+    left = spark.createDataFrame([(i, "f", ["c"], s, e) for i, s, e in a], "left_ord long, file string, classes array<string>, line_start int, line_end int")
+    right = spark.createDataFrame([(i, "f", "c", s, e) for i, s, e in b], "right_ord long, file string, vuln_class string, line_start int, line_end int")
+    got = {r.left_ord: r.right_ord for r in findings.merge_sources(left, right).filter("left_ord IS NOT NULL").collect()}
+    assert got == {i: min((j for j, x, y in b if max(s, x) <= min(e, y) + 5), default=None) for i, s, e in a}
+
+
+def test_consensus_without_lines_and_budget_of_many_batches(spark):
+    rows = [("f", "c", i, None, None, "t", "m", "r", "high") for i in range(3)] + [("f", "c", 9, 1, 1, "t", "m", "r", "high")]
+    df = spark.createDataFrame(rows, "file string, vuln_class string, ord long, line_start int, line_end int, tool string, message string, raw_rule_id string, severity_hint string")
+    assert findings.consensus(df).count() == 4
+    assert findings.consensus(df.limit(0)).count() == 0
+    sizes = [(i * 7919) % 100 for i in range(25_000)]
+    files = spark.createDataFrame([("s", f"{i:06d}", n) for i, n in enumerate(sizes)], "snapshot_id string, path string, n long")
+    got = [r.kept for r in corpus.trim_to_budget(files, size=F.col("n"), budget=10_000).orderBy("path").collect()]
+    total, want = 0, []
+    for n in sizes:
+        want.append(total + n <= 40_000)
+        total += n if want[-1] else 0
+    assert got == want
