@@ -23,15 +23,19 @@ CONSENSUS_LINES = 2
 MERGE_LINES = 5
 TRUTH_LINES = 3
 VERDICT_BATCH = 5
+MAX_RULES = 2000
 
 
 def normalize_rules(raw: DataFrame, rules: DataFrame, raw_id: str = "raw_rule_id", longest: bool = False) -> DataFrame:
     """``raw`` plus vuln_class: the rule of that very key, else the first (or longest) rule whose key the id contains, else the id cleaned up.
 
-    ``rules`` (key, vuln_class, rule_ord) is a rule table of fixed size and goes into the
-    expression as a literal array, so no join is needed.
+    ``rules`` (key, vuln_class, rule_ord) is a rule table of at most ``MAX_RULES`` rows,
+    more are an error; it goes into the expression as a literal array, so no join is needed.
     """
-    table = sorted((r.rule_ord, r.key, r.vuln_class) for r in rules.collect())
+    listed = rules.select("rule_ord", "key", "vuln_class").limit(MAX_RULES + 1).collect()
+    if len(listed) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    table = sorted((r.rule_ord, r.key, r.vuln_class) for r in listed)
     exact = F.create_map(*[F.lit(x) for _, k, c in reversed(table) for x in (k, c)])
     if longest:
         table.sort(key=lambda r: (-len(r[1]), r[0]))

@@ -45,7 +45,7 @@ def upsert_add(state: DataFrame, delta: DataFrame, keys: list[str], adds: list[s
 
 def priced(usage: DataFrame, prices: DataFrame, keys: list[str], digits: int = 6) -> DataFrame:
     """Cost by a price list (keys, input_price, output_price per million); unknown models cost 0."""
-    j = usage.join(F.broadcast(prices), keys, "left")  # a price list of fixed size
+    j = usage.join(prices, keys, "left")  # broadcast by Spark if its size allows
     cost = F.col("input_tokens") * F.coalesce("input_price", F.lit(0.0)) + F.col("output_tokens") * F.coalesce("output_price", F.lit(0.0))
     return j.withColumn("cost", F.round(cost / 1_000_000, digits)).drop("input_price", "output_price")
 
