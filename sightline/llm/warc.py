@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections import deque
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +23,8 @@ from .workspace import Workspace
 DICTIONARY_MAGIC = 0x184D2A5D
 #: An empty skippable frame (0x184D2A50, length 0), all ASCII: the line separator.
 SEPARATOR = "P*M\x18\x00\x00\x00\x00"
+#: Rows of the text writer in one archive; the writer begins a file after as many.
+ARCHIVE_ROWS = 32
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
 
@@ -48,47 +52,67 @@ def _record(page: str | None, url: str | None, payload: bytes, digest: str, refe
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def _frames(batches, dictionary_bytes: int, train_bytes: int, level: int):
-    """Rows of the text writer: the dictionary's frame, then the records' frames, in order."""
+def _frames(batches, dictionary_bytes: int, train_bytes: int, level: int, archive_bytes: int):
+    """Rows of the text writer, ``ARCHIVE_ROWS`` an archive: the dictionary's frame, then the records' frames, in order.
+
+    A row holds the frames of 1/``ARCHIVE_ROWS`` of an archive or more; a full archive with
+    fewer rows is filled up with empty ones, of which only the separators are written.
+    """
     import zstandard
 
-    def start(held: list[bytes]):
+    def start(held):
         try:
-            trained = zstandard.train_dictionary(dictionary_bytes, held, k=1024, d=8, f=18, accel=4)
+            trained = zstandard.train_dictionary(dictionary_bytes, list(held), k=1024, d=8, f=18, accel=4)
         except zstandard.ZstdError:  # too few records to train on: no dictionary, as the convention allows
             return zstandard.ZstdCompressor(level=level, write_content_size=True), []
         raw = trained.as_bytes()
         return zstandard.ZstdCompressor(level=level, dict_data=trained, write_content_size=True), [DICTIONARY_MAGIC.to_bytes(4, "little") + len(raw).to_bytes(4, "little") + raw]
 
-    def rows(frames):
-        return pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
-
-    compressor, held, size = None, [], 0
-    for batch in batches:
-        out = []
-        for page, url, html, digest, refers_to in zip(*[c.to_pylist() for c in batch.columns]):
-            record = _record(page, url, html or b"", digest, refers_to)
-            if compressor is None:
-                held.append(record)
-                size += len(record)
-                if size >= train_bytes:
-                    compressor, out = start(held)
-                    out += map(compressor.compress, held)
-                    held = []
-            else:
-                out.append(compressor.compress(record))
-            if len(out) >= 2000:
-                yield rows(out)
-                out = []
-        if out:
-            yield rows(out)
-    if held:
-        compressor, out = start(held)
-        yield rows(out + [compressor.compress(x) for x in held])
-
-
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = 1000, dictionary_bytes: int = 65536, train_bytes: int = 64 << 20, level: int = 3) -> None:
-    """Write one record a row below ``path``, one archive a partition.
+    def records():
+        for batch in batches:
+            for page, url, html, digest, refers_to in zip(*[c.to_pylist() for c in batch.columns]):
+                yield _record(page, url, html or b"", digest, refers_to)
+
+    def taken(held):
+        while held:
+            yield held.popleft()
+
+    def row(parts):
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["frame"])
+
+    stream = records()
+    while True:
+        held, size = deque(), 0
+        while size < train_bytes and (record := next(stream, None)) is not None:
+            held.append(record)
+            size += len(record)
+        if not held:
+            return
+        compressor, head = start(held)
+        parts, size, written, left = head, 0, 0, ARCHIVE_ROWS
+        for frame in map(compressor.compress, chain(taken(held), stream)):
+            parts.append(frame)
+            size += len(frame)
+            if size * ARCHIVE_ROWS >= archive_bytes:
+                yield row(parts)
+                parts, size, written, left = [], 0, written + size, left - 1
+                if written >= archive_bytes:
+                    break
+        else:
+            if parts:
+                yield row(parts)
+            return
+        for _ in range(left):
+            yield row([])
+        stream = chain(held, stream)
+
+
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = 1000, dictionary_bytes: int = 65536, train_bytes: int = 64 << 20, level: int = 3, archive_bytes: int = 128 << 20) -> None:
+    """Write one record a row below ``path``, one or more archives a partition.
+
+    An archive ends with the record that fills ``archive_bytes`` (compressed); the next
+    one has a dictionary of its own.  So a reader's task never holds more than that and
+    one record, however large a partition is.
 
     Of rows with equal payloads of at least ``revisit_bytes`` bytes the one with the
     largest id becomes a response and the others revisits of it; smaller payloads are
@@ -104,8 +128,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     marked = base.join(equal, "same", "left")
     other = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     rows = marked.select(F.col("page_id").cast("string"), "url", F.col("html"), F.sha1("html").alias("digest"), F.when(other, F.col("keeper").cast("string")).alias("refers_to"))
-    frames = rows.mapInArrow(lambda it: _frames(it, dictionary_bytes, train_bytes, level), "frame binary")
-    frames.select(F.col("frame").cast("string")).write.option("lineSep", SEPARATOR).text(path)
+    frames = rows.mapInArrow(lambda it: _frames(it, dictionary_bytes, train_bytes, level, archive_bytes), "frame binary")
+    frames.select(F.col("frame").cast("string")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", ARCHIVE_ROWS).text(path)
 
 
 def _split(content: bytes):
@@ -158,7 +182,7 @@ def _read_batches(batches):
     for contents in batches:
         for content in contents.column(0):
             rows, size = [], 0
-            for raw in _split(content.as_py()):
+            for raw in _split(content.as_buffer()):
                 x = parse_record(raw)
                 http, _, body = x[""].partition(b"\r\n\r\n")
                 revisit = x["warc-type"] == "revisit"

@@ -281,6 +281,21 @@ def test_warc_round_trip(spark):
         assert r.warc_type == ("revisit" if revisit else "response") and (r.refers_to_page == "9" if revisit else r.refers_to_page is None)
         assert r.payload is None if revisit else bytes(r.payload).decode() == html
         seen[r.record_id] += 1
+    # Archives end at their size: more of them, each with its dictionary or none, all rows as before.
+    for size in (1, 3000):
+        cut = Workspace(spark, "test").path(f"cut{size}")
+        many = pages.crossJoin(spark.range(8).select(F.col("id").alias("k"))).withColumn("page_id", F.col("page_id") * 100 + F.col("k")).withColumn("html", F.concat("html", F.sha2(F.concat("k", F.lit("x")), 512))).coalesce(2)
+        warc.write_archives(many, cut, train_bytes=4000, archive_bytes=size)
+        files = spark.read.format("binaryFile").load(cut).filter("path LIKE '%part-%'").collect()
+        assert len(files) == 8 * len(rows) if size == 1 else len(files) > 2
+        for f in files:
+            found, head = list(warc._split(f.content)), bytes(f.content[:4])
+            assert found and head in (warc.DICTIONARY_MAGIC.to_bytes(4, "little"), b"\x28\xb5\x2f\xfd")
+            assert size > 1 or len(found) == 1
+        whole = Workspace(spark, "test").path(f"whole{size}")
+        warc.write_archives(many, whole)
+        kept = ["warc_type", "record_id", "page_id", "refers_to", "digest", "payload_bytes", "payload"]
+        assert Counter(map(tuple, warc.read_archives(spark, cut).select(*kept).collect())) == Counter(map(tuple, warc.read_archives(spark, whole).select(*kept).collect()))
     none = Workspace(spark, "test").path("warc0")
     warc.write_archives(pages.limit(0), none)
     assert warc.read_archives(spark, none).count() == 0
