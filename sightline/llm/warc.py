@@ -38,10 +38,10 @@ def _clean(value: str) -> str:
     return "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in value)
 
 
-def _record(page: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
+def _record(page: str | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: str | None) -> bytes:
     page = "" if page is None else page
     revisit = refers_to is not None
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if revisit else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_record_id(page, digest)}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Page-ID: {page}"]
     if url is not None:
@@ -70,8 +70,9 @@ def _frames(batches, dictionary_bytes: int, train_bytes: int, level: int, archiv
 
     def records():
         for batch in batches:
-            for page, url, html, digest, refers_to in zip(*[c.to_pylist() for c in batch.columns]):
-                yield _record(page, url, html or b"", digest, refers_to)
+            for at in range(0, batch.num_rows, 64):  # few rows at once as Python objects
+                for page, url, html, size, digest, refers_to in zip(*[c.to_pylist() for c in batch.slice(at, 64).columns]):
+                    yield _record(page, url, html or b"", size, digest, refers_to)
 
     def taken(held):
         while held:
@@ -127,7 +128,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     equal = base.filter(F.octet_length("html") >= revisit_bytes).groupBy("same").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND keeper IS NOT NULL").drop("n")
     marked = base.join(equal, "same", "left")
     other = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
-    rows = marked.select(F.col("page_id").cast("string"), "url", F.col("html"), F.sha1("html").alias("digest"), F.when(other, F.col("keeper").cast("string")).alias("refers_to"))
+    body = F.when(~other, F.col("html"))  # a revisit has no payload, only its size and digest
+    rows = marked.select(F.col("page_id").cast("string"), "url", body.alias("html"), F.octet_length("html").alias("size"), F.sha1("html").alias("digest"), F.when(other, F.col("keeper").cast("string")).alias("refers_to"))
     frames = rows.mapInArrow(lambda it: _frames(it, dictionary_bytes, train_bytes, level, archive_bytes), "frame binary")
     frames.select(F.col("frame").cast("string")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", ARCHIVE_ROWS).text(path)
 
