@@ -41,7 +41,7 @@ def suffix(path: Column) -> Column:
 
 def csv_list(value: Column) -> Column:
     """Comma-separated text to trimmed, non-empty items."""
-    return F.filter(F.transform(F.split(value, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(value, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def entropy(value: Column) -> Column:

@@ -93,17 +93,22 @@ def insert_absent(rows: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame
     return rows.unionByName(new.dropDuplicates(keys).join(rows.select(*keys), keys, "left_anti").select(*rows.columns))
 
 
-def promote_users(users: DataFrame, seen: DataFrame) -> DataFrame:
-    """Users (email, role, groups) after a login (email, is_admin, groups): promoted, never demoted; groups replaced where given."""
-    s = seen.select("email", "is_admin", F.col("groups").alias("new_groups"))
+def promote_users(users: DataFrame, seen: DataFrame, by: str | None = None) -> DataFrame:
+    """Users (email, role, groups) after logins (email, is_admin, groups): promoted, never demoted; groups replaced where given.
+
+    Of one e-mail's logins any may promote; the groups are the last given in order of
+    ``by``, without that column the greatest given.
+    """
+    groups = F.max_by("groups", F.when(F.col("groups").isNotNull(), F.col(by))) if by else F.max("groups")
+    s = seen.groupBy("email").agg(F.bool_or(F.coalesce("is_admin", F.lit(False))).alias("is_admin"), groups.alias("new_groups"))
     old = users.join(s, "email", "left").select("email", F.when(F.coalesce("is_admin", F.lit(False)), "admin").otherwise(F.col("role")).alias("role"), F.coalesce("new_groups", "groups").alias("groups"))
     new = s.join(users.select("email"), "email", "left_anti").select("email", F.when(F.col("is_admin"), "admin").otherwise("user").alias("role"), F.col("new_groups").alias("groups"))
     return old.unionByName(new)
 
 
 def rotate(tokens: DataFrame, rotated: DataFrame, now: Column) -> DataFrame:
-    """Active tokens of the users listed (user, new_token) are closed and new ones added."""
-    r = rotated.select("user", "new_token")
+    """Active tokens of the users listed (user, new_token) are closed and new ones added; of a user's new tokens the greatest."""
+    r = rotated.groupBy("user").agg(F.max("new_token").alias("new_token"))
     closed = tokens.join(r, "user", "left").withColumn("revoked_at", F.when(F.col("new_token").isNotNull() & F.col("revoked_at").isNull(), now).otherwise(F.col("revoked_at"))).drop("new_token")
     new = r.select("user", F.col("new_token").alias("token"), now.alias("issued_at"), F.lit(None).cast("timestamp").alias("revoked_at"))
     return closed.unionByName(new.select(*closed.columns))
@@ -187,7 +192,7 @@ def settings_row(raw: DataFrame) -> DataFrame:
 
 def id_list(value: Column) -> Column:
     """``source:uuid`` items of a comma-separated list; malformed items are left out."""
-    items = F.transform(F.split(value, ","), F.trim)
+    items = F.transform(F.split(value, ","), lambda x: F.trim(x))
     return F.filter(items, lambda x: x.rlike("(?i)^[a-z]+:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"))
 
 

@@ -303,3 +303,22 @@ def test_consensus_without_lines_and_budget_of_many_batches(spark):
         want.append(total + n <= 40_000)
         total += n if want[-1] else 0
     assert got == want
+
+
+def test_lists_are_trimmed_of_blanks_alone(spark):
+    df = spark.createDataFrame([("1a , 0b1,, c2 ",), ("",), (None,)], "v string")
+    assert [r.x for r in df.select(text.csv_list(F.col("v")).alias("x")).collect()] == [["1a", "0b1", "c2"], [], None]
+    good = "portal:cfcd2084-95d5-65ef-66e7-dff9f98764d1"
+    ids = spark.createDataFrame([(f"x, {good} ,{good}1",)], "v string").select(history.id_list(F.col("v")).alias("x")).first().x
+    assert ids == [good]
+
+
+def test_repeated_logins_and_rotations_count_once(spark):
+    users = spark.createDataFrame([("a", "user", ["g"]), ("b", "admin", None)], "email string, role string, groups array<string>")
+    seen = spark.createDataFrame([("a", False, ["h"], 1), ("a", True, None, 2), ("b", None, None, 3), ("c", False, None, 4), ("c", False, ["k"], 5)], "email string, is_admin boolean, groups array<string>, at int")
+    got = {r.email: (r.role, r.groups) for r in history.promote_users(users, seen, "at").collect()}
+    assert got == {"a": ("admin", ["h"]), "b": ("admin", None), "c": ("user", ["k"])} and history.promote_users(users, seen).count() == 3
+    tokens = spark.createDataFrame([("a", "t1", None, None), ("b", "t2", None, None)], "user string, token string, issued_at timestamp, revoked_at timestamp")
+    asked = spark.createDataFrame([("a", "n1"), ("a", "n2")], "user string, new_token string")
+    out = [(r.user, r.token, r.revoked_at is None) for r in history.rotate(tokens, asked, F.current_timestamp()).collect()]
+    assert sorted(out) == [("a", "n2", True), ("a", "t1", False), ("b", "t2", True)]
