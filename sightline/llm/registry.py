@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, hard_negatives, jaccard_join, langid, licenses, mixing, packing, quality_rules, substring_dedup, warc, weak_labels
+from . import exact_dedup, hard_negatives, jaccard_join, langid, licenses, mixing, packing, prefix_trie, quality_rules, substring_dedup, warc, weak_labels
 
 
 def queries() -> dict:
@@ -22,9 +22,10 @@ def queries() -> dict:
         "op9_pfair_mixing_whole": mixing.query_whole,
         "op10_substring_dedup": substring_dedup.query,
         "op11_hard_negatives": hard_negatives.query,
+        "op13_prefix_trie": prefix_trie.query,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": licenses.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op6_warc": warc.ORACLE, "op8_quality_base_counts": quality_rules.ORACLE_BASE, "op9_pfair_mixing": mixing.ORACLE, "op9_pfair_mixing_whole": mixing.ORACLE_WHOLE, "op11_hard_negatives": hard_negatives.ORACLE}
+    return {"op3_license_scan": licenses.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op6_warc": warc.ORACLE, "op8_quality_base_counts": quality_rules.ORACLE_BASE, "op9_pfair_mixing": mixing.ORACLE, "op9_pfair_mixing_whole": mixing.ORACLE_WHOLE, "op11_hard_negatives": hard_negatives.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE}
