@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, hard_negatives, jaccard_join, langid, licenses, mixing, packing, prefix_trie, quality_rules, substring_dedup, warc, weak_labels
+from . import exact_dedup, hard_negatives, jaccard_join, langid, licenses, mixing, packing, pii, prefix_trie, quality_rules, substring_dedup, warc, weak_labels
 
 
 def queries() -> dict:
@@ -22,6 +22,7 @@ def queries() -> dict:
         "op9_pfair_mixing_whole": mixing.query_whole,
         "op10_substring_dedup": substring_dedup.query,
         "op11_hard_negatives": hard_negatives.query,
+        "op12_pii_sanitisation": pii.query,
         "op13_prefix_trie": prefix_trie.query,
         "pipeline": corpus_pipeline.run,
     }
