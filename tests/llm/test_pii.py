@@ -7,12 +7,13 @@ import re
 from collections import defaultdict
 
 import pytest
-from common import SCHEMA, awkward, empty, frame, simple
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from sightline.llm import pii
 
+from .common import SCHEMA, awkward, empty, frame, simple
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -101,8 +102,10 @@ def corpus(seed):
             words.insert(rng.randint(0, len(words)), "write to Zora.Quill@mail.example.org, Zora Quill of Marlow")
         elif i % 6 == 1:
             words.insert(rng.randint(0, len(words)), rng.choice(["Marlow", "other@mail.example.org", "call +49 151 2345678 Brandt", "host 10.1.2.3 gateway7"]))
-        elif i % 17 == 0:
-            words.insert(0, "Quill")
+        elif i % 6 < 4:
+            words.append(f"u{i}@mail.example.org")
+        elif i % 6 == 4 or i % 12 == 5:
+            words.insert(0, "Zora")
         texts.append(" ".join(words))
     return texts + texts[:20] + [None, "", "4111 1111 1111 1111"] * 2
 
