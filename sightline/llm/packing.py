@@ -1,7 +1,7 @@
 """Best-fit packing with bound-certified repacking.
 
 Documents become token ids and pieces of at most ``capacity`` ids.  The pieces
-shorter than that are dealt to partitions, each of which runs best-fit
+shorter than that are dealt to partitions, to all the same mix of lengths, each of which runs best-fit
 decreasing and compares its bin count with dual-feasible-function lower bounds.
 A partition that reaches its bound is certified and done; the documents of the
 others' bins that are not full are exchanged (dealt anew, to fewer partitions)
@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -191,6 +192,35 @@ def _packer(capacity: int):
     return pack_one
 
 
+#: Items of one length that one task may number.
+PER_BUCKET = 100_000
+
+
+def _histogram(items: DataFrame) -> list:
+    """(length, count) in order of length, at most one row for every length below a sequence's."""
+    return sorted(tuple(r) for r in items.groupBy("length").count().collect())
+
+
+def deal(pool: DataFrame, histogram: list, parts: int, k: int) -> DataFrame:
+    """``pool`` with part: items in order of length are dealt in turn, so all parts get the same mix of lengths.
+
+    Items of one length are numbered in buckets of about PER_BUCKET, in an order that ``k`` changes.
+    """
+    if parts == 1:
+        return pool.withColumn("part", F.lit(0).cast("long"))
+    rows, at = [], 0
+    for length, n in histogram:
+        rows.append((length, at, -(-n // PER_BUCKET)))
+        at += n
+    # One row for every length below a sequence's.
+    of = F.broadcast(pool.sparkSession.createDataFrame(rows, "of_length long, first long, buckets long"))
+    marked = pool.withColumn("key", F.xxhash64("uid", F.lit(k))).join(of, F.col("length") == F.col("of_length")).withColumn("bucket", F.pmod("key", "buckets"))
+    rank = F.row_number().over(W.partitionBy("length", "bucket").orderBy("key", "uid"))
+    # Buckets of one length start apart from each other by a hash, lengths where the one before ended.
+    start = F.col("first") + F.when(F.col("bucket") > 0, F.pmod(F.xxhash64("length", "bucket"), F.lit(parts))).otherwise(0)
+    return marked.select("uid", "length", F.pmod(start + rank, F.lit(parts)).cast("long").alias("part"))
+
+
 def plan(items: DataFrame, capacity: int = 4096, per_part: int = 50_000, rounds: int = 8) -> DataFrame:
     """(uid, sequence_id, offset, certified) for items (unique uid, length <= capacity).
 
@@ -206,13 +236,12 @@ def plan(items: DataFrame, capacity: int = 4096, per_part: int = 50_000, rounds:
     ws = Workspace(spark, "packing_plan")
     full = items.filter(F.col("length") >= capacity).select("uid", (-F.col("uid") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))
     pool, final = items.filter(F.col("length") < capacity).select("uid", "length"), [full]
-    histogram = pool.groupBy("length").count().collect()  # at most capacity - 1 rows
+    histogram = _histogram(pool)
     goal = lower_bound(np.array([r[0] for r in histogram], np.int64), np.array([r[1] for r in histogram], np.int64), capacity)
     n, closed, old, was_open = sum(r[1] for r in histogram), 0, None, None
     for k in range(rounds):
         parts = max(1, math.ceil(n / per_part))
-        dealt = pool.withColumn("part", F.pmod(F.xxhash64("uid", F.lit(k)), F.lit(parts)).cast("long"))
-        packed = ws.store(dealt.groupBy("part").applyInPandas(_packer(capacity), _PLAN), f"round{k}")
+        packed = ws.store(deal(pool, histogram, parts, k).groupBy("part").applyInPandas(_packer(capacity), _PLAN), f"round{k}")
         named = packed.withColumn("sequence_id", F.lit(k).cast("long") * (1 << 56) + F.col("part") * (1 << 32) + F.col("bin"))
         tops = packed.groupBy("part").agg(F.max("n_bins").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         if was_open is not None and tops >= was_open:  # the exchange won nothing: the plan before stays, another deal may win
@@ -226,6 +255,7 @@ def plan(items: DataFrame, capacity: int = 4096, per_part: int = 50_000, rounds:
         stats = packed.filter("open").agg(F.count(F.lit(1)), F.count_distinct("part", "bin")).first()
         closed += tops - stats[1]
         old, n, was_open, pool = named, stats[0], stats[1], packed.filter("open").select("uid", "length")
+        histogram = _histogram(pool)
         if closed + was_open <= goal or was_open < 2:
             break
     out = final[0]
