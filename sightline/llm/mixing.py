@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .rows import keep_chosen
+from .rows import identity
 from .workspace import Workspace
 
 
@@ -151,13 +151,21 @@ def pfair_mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col:
 
 
 def keep_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, that :func:`pfair_mix` takes into the mixture.
+    """The rows of ``docs``, all columns, that :func:`pfair_mix` takes into the mixture, in its order.
 
-    Rows equal in id and text are taken or left together.
+    Partitions follow one another by slot and place and are sorted within, so a written table
+    holds the mixture from its first file to its last.  Rows equal in id and text are taken or
+    left together, at the first one's place.
     """
-    found = pfair_mix(docs, id_col=id_col, text_col=text_col, **options)
-    chosen = found.groupBy(F.col("doc_id").alias("id"), "tid").agg(F.bool_or("mixed").alias("mixed")).filter("mixed").select("id", "tid", F.lit(1).alias("times"))
-    return keep_chosen(docs, chosen, id_col, text_col)
+    ws = Workspace(docs.sparkSession, "mixture")
+    found = pfair_mix(docs, id_col=id_col, text_col=text_col, **options).filter("mixed")
+    first = found.groupBy(F.col("doc_id").alias("__sl_i"), F.col("tid").alias("__sl_t")).agg(F.min(F.struct("slot", "place")).alias("__sl_at"))
+    rows = identity(docs, id_col, text_col)
+    met = rows.join(first, (F.col("__sl_tid") == F.col("__sl_t")) & F.col(id_col).eqNullSafe(F.col("__sl_i")))
+    # Written first: the ranges are found by a sample of it.
+    placed = ws.store(met.select(*[F.col(f"`{c}`") for c in docs.columns], "__sl_at"), "placed")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartitionByRange(parts, "__sl_at").sortWithinPartitions("__sl_at").drop("__sl_at")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import struct
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,7 +47,7 @@ class WordEncoder:
     tokenizer's model directly, as its two runs; all other words take the whole way.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -56,7 +56,7 @@ class WordEncoder:
         normalizers = [x["type"] for x in (setup.get("normalizer") or {}).get("normalizers", [])]
         steps = (setup.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         self.plain = normalizers == PLAIN_NORMALIZERS and steps[0].get("pattern") == {"Regex": PLAIN_PATTERN} and [x["type"] for x in steps] == ["Split", "ByteLevel"] and not steps[1].get("add_prefix_space", True)
-        self.known, self.marks = {"": b""}, {}
+        self.cache, self.known, self.marks = cache, {"": b""}, {}
         self.packs = [struct.Struct(f"<{n}I").pack for n in range(63)]
         # Byte-level models spell a byte as the character of its code, or of 256 and up for those without a shape.
         shapeless = [c for c in range(256) if not (33 <= c <= 126 or 161 <= c <= 172 or c >= 174)]
@@ -68,7 +68,7 @@ class WordEncoder:
         return self.packs[len(found)](*found) if len(found) < 63 else np.array(found, "<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > CACHE:
+        if len(self.known) + len(words) > self.cache:
             self.known, self.marks = {"": b""}, {}
         rest, known, ends, fits = [], self.known, self.marks, PLAIN_WORD.fullmatch
         for w in words - known.keys():
@@ -97,11 +97,11 @@ class WordEncoder:
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
-def _piece_batches(batches, path: str, capacity: int, end_id: int):
+def _piece_batches(batches, path: str, capacity: int, end_id: int, cache: int):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    encoder, end = WordEncoder(path), np.array([end_id], "<u4").tobytes()
+    encoder, end = WordEncoder(path, cache), np.array([end_id], "<u4").tobytes()
     for batch in batches:
-        texts = batch.column(1)
+        texts = batch.column(2)
         at = 0
         while at < len(texts):
             first, some, size = at, [], 0
@@ -117,21 +117,31 @@ def _piece_batches(batches, path: str, capacity: int, end_id: int):
                     starts.append(start // 4)
                     ids.append(whole[start : start + 4 * capacity])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(starts, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                names=["doc_id", "piece", "start", "length", "ids"],
+                [*(batch.column(i).take(pa.array(rows, pa.int64())) for i in (0, 1)), pa.array(numbers, pa.int32()), pa.array(starts, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                names=["doc_id", "seq", "piece", "start", "length", "ids"],
             )
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids (little-endian unsigned 32-bit) of every document, cut at ``capacity`` ids.
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE, order: Column | None = None) -> DataFrame:
+    """doc_id, seq, piece, start, length, ids (little-endian unsigned 32-bit) of every document, cut at ``capacity`` ids.
 
     A null or empty text has the end id alone.  ``tokenizer_path`` is a file of
-    the ``tokenizers`` library whose pre-tokenizer drops white space.
+    the ``tokenizers`` library whose pre-tokenizer drops white space; ``cache`` is how
+    many words a task remembers.  ``seq`` is the document's place by ``order``, null without.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    seq = F.lit(None) if order is None else order
+    base = docs.select(F.col(id_col).alias("doc_id"), seq.cast("long").alias("seq"), F.col(text_col).cast("string").alias("text"))
     kind = base.schema["doc_id"].dataType
-    schema = T.StructType().add("doc_id", kind).add("piece", "integer").add("start", "long").add("length", "long").add("ids", "binary")
-    return base.mapInArrow(lambda it: _piece_batches(it, tokenizer_path, capacity, end_id), schema)
+    schema = T.StructType().add("doc_id", kind).add("seq", "long").add("piece", "integer").add("start", "long").add("length", "long").add("ids", "binary")
+    return base.mapInArrow(lambda it: _piece_batches(it, tokenizer_path, capacity, end_id, cache), schema)
+
+
+def stored_order(docs: DataFrame) -> Column | None:
+    """The place of a row in the table that ``docs`` reads: number of its file, then row; None if it reads no Spark-written files."""
+    if not any("/part-" in f for f in docs.inputFiles()[:1]):
+        return None
+    file = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
+    return file * (1 << 40) + F.col("_metadata.row_index")
 
 
 def lower_bound(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> int:
@@ -176,7 +186,7 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
     return bins, offsets, used
 
 
-_PLAN = "uid long, length long, part long, bin long, offset long, n_bins long, bound long, open boolean"
+_PLAN = "uid long, length long, seq long, part long, bin long, offset long, n_bins long, bound long, open boolean"
 
 
 def _packer(capacity: int):
@@ -201,13 +211,15 @@ def _histogram(items: DataFrame) -> list:
     return sorted(tuple(r) for r in items.groupBy("length").count().collect())
 
 
-def deal(pool: DataFrame, histogram: list, parts: int, k: int) -> DataFrame:
+def deal(pool: DataFrame, histogram: list, parts: int, k: int, ordered: bool = False) -> DataFrame:
     """``pool`` with part: items in order of length are dealt in turn, so all parts get the same mix of lengths.
 
-    Items of one length are numbered in buckets of about PER_BUCKET, in an order that ``k`` changes.
+    ``ordered``: a part is a range of ``seq`` instead.  Items of one length are numbered in buckets of about PER_BUCKET, in an order that ``k`` changes.
     """
     if parts == 1:
         return pool.withColumn("part", F.lit(0).cast("long"))
+    if ordered:
+        return pool.repartitionByRange(parts, "seq", "uid").withColumn("part", F.spark_partition_id().cast("long"))
     rows, at = [], 0
     for length, n in histogram:
         rows.append((length, at, -(-n // PER_BUCKET)))
@@ -218,11 +230,14 @@ def deal(pool: DataFrame, histogram: list, parts: int, k: int) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("length", "bucket").orderBy("key", "uid"))
     # Buckets of one length start apart from each other by a hash, lengths where the one before ended.
     start = F.col("first") + F.when(F.col("bucket") > 0, F.pmod(F.xxhash64("length", "bucket"), F.lit(parts))).otherwise(0)
-    return marked.select("uid", "length", F.pmod(start + rank, F.lit(parts)).cast("long").alias("part"))
+    return marked.select("uid", "length", "seq", F.pmod(start + rank, F.lit(parts)).cast("long").alias("part"))
+
 
+def plan(items: DataFrame, capacity: int = 4096, per_part: int = 50_000, rounds: int = 8, ordered: bool = False) -> DataFrame:
+    """(uid, sequence_id, offset, certified) for items (unique uid, length <= capacity, seq).
 
-def plan(items: DataFrame, capacity: int = 4096, per_part: int = 50_000, rounds: int = 8) -> DataFrame:
-    """(uid, sequence_id, offset, certified) for items (unique uid, length <= capacity).
+    ``ordered``: a packing task gets a range of ``seq``, and its sequences are numbered after
+    those of earlier ranges; what an exchange deals anew comes last.
 
     ``per_part`` bounds the items of one packing task.  A partition whose number of bins
     equals its lower bound is certified: its bins are final, but for the least filled one.
@@ -235,13 +250,14 @@ def plan(items: DataFrame, capacity: int = 4096, per_part: int = 50_000, rounds:
     spark = items.sparkSession
     ws = Workspace(spark, "packing_plan")
     full = items.filter(F.col("length") >= capacity).select("uid", (-F.col("uid") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))
-    pool, final = items.filter(F.col("length") < capacity).select("uid", "length"), [full]
+    items = items if "seq" in items.columns else items.withColumn("seq", F.lit(None).cast("long"))
+    pool, final = items.filter(F.col("length") < capacity).select("uid", "length", "seq"), [full]
     histogram = _histogram(pool)
     goal = lower_bound(np.array([r[0] for r in histogram], np.int64), np.array([r[1] for r in histogram], np.int64), capacity)
     n, closed, old, was_open = sum(r[1] for r in histogram), 0, None, None
     for k in range(rounds):
         parts = max(1, math.ceil(n / per_part))
-        packed = ws.store(deal(pool, histogram, parts, k).groupBy("part").applyInPandas(_packer(capacity), _PLAN), f"round{k}")
+        packed = ws.store(deal(pool, histogram, parts, k, ordered).groupBy("part").applyInPandas(_packer(capacity), _PLAN), f"round{k}")
         named = packed.withColumn("sequence_id", F.lit(k).cast("long") * (1 << 56) + F.col("part") * (1 << 32) + F.col("bin"))
         tops = packed.groupBy("part").agg(F.max("n_bins").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         if was_open is not None and tops >= was_open:  # the exchange won nothing: the plan before stays, another deal may win
@@ -254,7 +270,7 @@ def plan(items: DataFrame, capacity: int = 4096, per_part: int = 50_000, rounds:
         final.append(named)
         stats = packed.filter("open").agg(F.count(F.lit(1)), F.count_distinct("part", "bin")).first()
         closed += tops - stats[1]
-        old, n, was_open, pool = named, stats[0], stats[1], packed.filter("open").select("uid", "length")
+        old, n, was_open, pool = named, stats[0], stats[1], packed.filter("open").select("uid", "length", "seq")
         histogram = _histogram(pool)
         if closed + was_open <= goal or was_open < 2:
             break
@@ -273,17 +289,21 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
     Other columns of ``docs`` are not read.
     """
     ws = Workspace(docs.sparkSession, "packing")
-    cut = ws.store(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()), "pieces")
+    cut = ws.store(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col).drop("seq").withColumn("uid", F.monotonically_increasing_id()), "pieces")
     return cut.join(plan(cut.select("uid", "length"), capacity, per_part), "uid")
 
 
 def digest(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:
-    """:func:`pack` with ids_crc32 in place of the ids, which stay in the table of pieces."""
+    """:func:`pack` with ids_crc32 in place of the ids, which stay in the table of pieces.
+
+    With ``order``, a column of the documents' order, sequences follow it by ranges of ``per_part`` pieces.
+    """
     capacity, per_part = options.pop("capacity", 4096), options.pop("per_part", 50_000)
     ws = Workspace(docs.sparkSession, "packing")
     cut = ws.store(pieces(docs, tokenizer_path, capacity, **options).withColumn("uid", F.monotonically_increasing_id()), "pieces")
     narrow = cut.select("uid", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return narrow.join(plan(cut.select("uid", "length"), capacity, per_part), "uid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    ordered = options.get("order") is not None
+    return narrow.join(plan(cut.select("uid", "length", "seq"), capacity, per_part, ordered=ordered), "uid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def default_tokenizer() -> str:

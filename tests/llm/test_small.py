@@ -538,3 +538,20 @@ def test_mixing_goes_on_without_a_source_that_ran_out(spark):
         assert abs(sum(s == "a" for _, s in late[:n]) - sum(s == "b" for _, s in late[:n])) <= 2
     strict = mixing.pfair_mix(df, block_size=500, slots=20, strict=True).collect()
     assert 0 < sum(r.mixed for r in strict) < len(rows)
+
+
+def test_sequences_follow_the_mixture(spark):
+    from sightline.llm.workspace import Workspace
+
+    rows = [(i, f"word{i % 50} " * 30, "en", "ab"[i % 2]) for i in range(600)]
+    source, ws, share = {r[0]: r[3] for r in rows}, Workspace(spark, "test_mixture"), {}
+    for a in (0.9, 0.1):
+        kept = mixing.keep_mixture(simple(spark, rows), weights={"a": a, "b": 1 - a}, block_size=400, slots=20)
+        docs = ws.store(kept, f"kept{int(10 * a)}")
+        assert docs.count() == len(rows)
+        stored = docs.select("doc_id", packing.stored_order(docs).alias("at")).orderBy("at").collect()
+        got = packing.digest(docs, packing.default_tokenizer(), capacity=512, per_part=100, order=packing.stored_order(docs)).collect()
+        assert {r.doc_id for r in got} == set(source)
+        for at in ([r.doc_id for r in stored[:200]], [r.doc_id for r in sorted(got, key=lambda r: (r.sequence_id, r.offset))[:100]]):
+            share.setdefault(a, []).append(sum(source[i] == "a" for i in at) / len(at))
+    assert min(share[0.9]) > 0.7 and max(share[0.1]) < 0.3, share
