@@ -15,6 +15,10 @@ from sightline.llm.workspace import Workspace
 
 #: Least posterior of the predicted language.
 MIN_LANGUAGE_SCORE = 0.5
+#: Pieces of the mixture that are packed together.
+PACKED_TOGETHER = 10_000
+#: Words that a packing task remembers: fewer than by default, as executors still hold what earlier stages took.
+PACKING_WORDS = 200_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,13 +45,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: the mixture of sources, weighted by the square root of their size; a source that has run out leaves it to the others."""
+    """Operator 9: the mixture of sources, weighted by the square root of their size; a source that has run out leaves it to the others.
+
+    The rows are stored in the order of the mixture, which the next stage packs by.
+    """
     return mixing.keep_mixture(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: pieces of at most 4096 tokens and their places in as few sequences as it finds."""
-    return packing.digest(docs, packing.default_tokenizer())
+    """Operator 7: pieces of at most 4096 tokens and their places in as few sequences as it finds.
+
+    Ranges of the stored mixture are packed one by one, so sequences follow its schedule.
+    """
+    return packing.digest(docs, packing.default_tokenizer(), per_part=PACKED_TOGETHER, cache=PACKING_WORDS, order=packing.stored_order(docs))
 
 
 STAGES = [
