@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions import paths, secrets, text
 from sightline.operators import context, corpus, findings, history
-from sightline.sources import files, tools
+from sightline.sources import folder, tools
 
 
 def test_consensus_is_order_dependent(spark):
@@ -193,7 +193,7 @@ def test_directory_scan(spark, tmp_path):
     for name, data in {"a.py": b"x = 1\n", "node_modules/b.js": b"1", "c.bin": b"\xff\xfe", "logs/d.txt": b"1", "keep/logs/e.txt": b"2", "f.patch": b"1"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(data)
-    got = {r.path for r in files.scan(spark, str(tmp_path), ignore=["logs/", "!keep/logs/"]).collect()}
+    got = {r.path for r in folder.scan(spark, str(tmp_path), ignore=["logs/", "!keep/logs/"]).collect()}
     assert got == {"a.py", "keep/logs/e.txt"}
 
 
