@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ast
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -152,3 +156,62 @@ def review_sections(classified: DataFrame, keys: list[str]) -> DataFrame:
     place = F.concat(F.col("affected_file"), F.lit(":"), F.coalesce("affected_lines", F.lit("")), F.lit(" ("), F.coalesce("vulnerability_id", F.lit("")), F.lit(")"))
     told = lambda kind, extra: F.array_sort(F.collect_list(F.when(F.col("outcome") == kind, F.concat_ws(" — ", place, extra))))
     return classified.groupBy(*keys).agg(told("edit", F.col("risk_note")).alias("applied"), told("manual", F.col("reason")).alias("manual"), F.array_sort(F.collect_set(F.when(F.col("outcome") == "secret", F.col("affected_file")))).alias("secret_files"))
+
+
+OVERLAPS, OUT_OF_BOUNDS, BREAKS_SYNTAX = "overlaps another edit", "out of bounds", "syntax error after the fix"
+_SPLICED = "path string, content string, decided array<struct<ord:bigint,reason:string>>"
+
+
+def splice(content: str, edits: list[tuple[int, int, str, int]], parsed: bool) -> tuple[str, list[dict]]:
+    """The text with its edits (start, end, code, ord), and of each the reason why it wasn't made, null for those made.
+
+    From the bottom up, so line numbers hold; of edits that overlap the one that starts lower
+    is made, then the one of lower ord.  Where ``parsed``, an edit after which the text is no
+    Python is taken back.
+    """
+    lines, low, decided = content.splitlines(keepends=True), None, []
+    n, below = len(lines), []  # what stands from line ``low`` on, last piece first
+    low = n + 1
+    for start, end, code, ord_ in sorted(edits, key=lambda e: (-e[0], e[3])):
+        reason = OUT_OF_BOUNDS if not 1 <= start <= end <= n else OVERLAPS if end >= low else None
+        if reason is None:
+            piece = "".join(lines[end : low - 1])
+            new = code if code.endswith("\n") else code + "\n"
+            if parsed and not is_python("".join(lines[: start - 1]) + new + piece + "".join(reversed(below))):
+                reason = BREAKS_SYNTAX
+            else:
+                below += [piece, new]
+                low = start
+        decided.append({"ord": ord_, "reason": reason})
+    return "".join(lines[: low - 1]) + "".join(reversed(below)), decided
+
+
+def is_python(text: str) -> bool:
+    try:
+        ast.parse(text)
+    except (SyntaxError, ValueError):
+        return False
+    return True
+
+
+def spliced(edits: DataFrame, files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """X21, gate 8: path, content, decided of every file that has edits; decided: (ord, reason), null where the edit was made.
+
+    edits: affected_file, start, end (lines), code, ord (unique in a file).  Python files are
+    parsed after each edit, others are not.  A file's edits meet in one row; edits of files that
+    aren't there give no row.
+    """
+    one = edits.groupBy(F.col("affected_file").alias("__sl_file")).agg(F.collect_list(F.struct(*[F.col(c).cast("long").alias(c) for c in ("start", "end", "ord")], "code")).alias("edits"))
+    met = files.select(F.col(path).alias("path"), F.col(content).alias("content")).join(one, F.col("path") == F.col("__sl_file")).select("path", "content", "edits")
+    return met.mapInArrow(_splice_batches, _SPLICED)
+
+
+def _splice_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("ord", pa.int64()), ("reason", pa.string())]))
+    for b in batches:
+        texts, told = [], []
+        for p, text, edits in zip(*(b.column(i).to_pylist() for i in range(3))):
+            new, decided = splice(text or "", [(e["start"], e["end"], e["code"], e["ord"]) for e in edits], p.endswith(".py"))
+            texts.append(new)
+            told.append(decided)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(told, kind)], ["path", "content", "decided"])
