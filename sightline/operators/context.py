@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -85,24 +88,67 @@ def callers(functions: DataFrame, lines: DataFrame, cap: int = 5) -> DataFrame:
     return calls.join(functions.select("name").distinct(), "name").withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= cap).drop("rn")
 
 
-def contained_passages(needles: DataFrame, texts: DataFrame, needle_id: str, needle: str, text_id: str, text: str, words: int = 5) -> DataFrame:
+#: Characters of needles that a task searches for at once: what one automaton may hold.
+PASS_CHARS = 2_000_000
+
+
+def contained_passages(needles: DataFrame, texts: DataFrame, needle_id: str, needle: str, text_id: str, text: str, pass_chars: int = PASS_CHARS) -> DataFrame:
     """J11's containment: (needle_id, text_id) where the text contains the needle, both lower-cased.
 
-    The first words of a needle are an equi-join key against the texts' word windows, so
-    no text meets a needle that it doesn't share a window with; needles with fewer words
-    than that meet every text by a nested loop, which only they need.
+    One automaton finds all needles, of any length, while it reads a text once.  Needles are
+    gathered for it up to ``pass_chars`` characters, which bounds what is broadcast and what a
+    task holds; more needles are searched for in further passes over the texts.  Empty and null
+    needles and texts contain nothing and are nowhere; equal needles are told by their ids.
     """
-    clean = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
-    n = needles.select(F.col(needle_id), F.lower(needle).alias("needle"), clean(F.col(needle)).alias("w")).filter("needle <> ''")
-    long = n.filter(F.size("w") >= words + 2).withColumn("key", F.array_join(F.slice("w", 2, words), " "))  # the first word may be part of one
-    short = n.filter(F.size("w") < words + 2)
-    t = texts.select(F.col(text_id), F.lower(text).alias("body"), clean(F.col(text)).alias("tw"))
-    windows = F.when(F.size("tw") >= words, F.transform(F.sequence(F.lit(1), F.size("tw") - words + 1), lambda i: F.array_join(F.slice("tw", i, words), " ")))
-    keyed = t.select(text_id, F.explode(F.array_distinct(windows)).alias("key"))
-    pairs = keyed.join(long.select(needle_id, "key"), "key").select(needle_id, text_id).distinct()
-    found = pairs.join(t.select(text_id, "body"), text_id).join(long.select(needle_id, "needle"), needle_id).filter(F.col("body").contains(F.col("needle"))).select(needle_id, text_id)
-    rest = short.join(t, F.col("body").contains(F.col("needle"))).select(needle_id, text_id)
-    return found.unionByName(rest)
+    n = needles.select(F.col(needle_id).alias("id"), F.lower(needle).alias("needle")).filter("needle <> ''")
+    forms = n.select("needle").distinct()
+    chars = forms.agg(F.sum(F.length("needle"))).first()[0] or 0
+    t = texts.select(F.col(text_id), F.lower(text).alias("body"))
+    kind = t.schema[0].dataType.simpleString()
+    passes = max(1, -(-chars // pass_chars))
+    found = None
+    for k in range(passes):
+        # Each pass has its part of the needles by hash; a part is checked again before it is sent.
+        part = [r.needle for r in forms.filter(F.pmod(F.xxhash64("needle"), F.lit(passes)) == k).toLocalIterator()] if passes > 1 else [r.needle for r in forms.collect()]
+        for group in _groups(part, 2 * pass_chars):
+            sent = texts.sparkSession.sparkContext.broadcast(group)
+            hits = t.mapInArrow(_searcher(sent), f"`{text_id}` {kind}, needle string")
+            found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        found = t.select(text_id, F.col("body").alias("needle")).limit(0)
+    return n.join(found, "needle").select(F.col("id").alias(needle_id), text_id)
+
+
+def _groups(needles: list[str], most: int) -> Iterator[list[str]]:
+    """The needles in lists of at most ``most`` characters, unless one needle is longer."""
+    group, chars = [], 0
+    for x in needles:
+        if group and chars + len(x) > most:
+            yield group
+            group, chars = [], 0
+        group.append(x)
+        chars += len(x)
+    if group:
+        yield group
+
+
+def _searcher(sent) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for x in sent.value:
+            automaton.add_word(x, x)
+        automaton.make_automaton()
+        for b in batches:
+            rows, hits = [], []
+            for i, body in enumerate(b.column(1)):
+                seen = {x for _, x in automaton.iter(body.as_py() or "")}
+                rows += [i] * len(seen)
+                hits += seen
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(hits, pa.string())], [b.schema.names[0], "needle"])
+
+    return search
 
 
 def routes(lines: DataFrame, below: int = 6) -> DataFrame:

@@ -55,7 +55,7 @@ def consensus(candidates: DataFrame, tolerance: int = CONSENSUS_LINES) -> DataFr
 
     Candidates of different islands of lines can't meet, so each island is folded on its
     own: sorted rows stream through a task that holds nothing but the ranges of one
-    island's clusters.  A candidate without lines is a cluster of its own.
+    island's clusters, in a tree that finds a candidate's cluster in logarithmic time.  A candidate without lines is a cluster of its own.
     """
     names = ["file", "vuln_class", "ord", "line_start", "line_end", "tool", "message", "raw_rule_id", "severity_hint"]
     keys = ["file", "vuln_class", "island"]
@@ -82,21 +82,81 @@ def consensus(candidates: DataFrame, tolerance: int = CONSENSUS_LINES) -> DataFr
     )
 
 
+class _Cover:
+    """The least number laid over any place of a range, for numbers laid over ranges one by one.
+
+    A segment tree over all integers, kept in two dictionaries: a node (level, place) stands for
+    the places [place << level, (place + 1) << level).  Both steps take time in the logarithm of
+    the widest range, whatever the number of ranges.
+    """
+
+    TOP = 40
+
+    def __init__(self):
+        self.laid: dict[tuple[int, int], int] = {}
+        self.below: dict[tuple[int, int], int] = {}
+
+    @staticmethod
+    def _nodes(lo: int, hi: int) -> Iterator[tuple[int, int]]:
+        """The fewest nodes that make up [lo, hi]."""
+        level, hi = 0, hi + 1
+        while lo < hi:
+            if lo & 1:
+                yield level, lo
+                lo += 1
+            if hi & 1:
+                hi -= 1
+                yield level, hi
+            lo, hi, level = lo >> 1, hi >> 1, level + 1
+
+    def lay(self, lo: int, hi: int, n: int) -> None:
+        for level, at in self._nodes(lo, hi):
+            if self.laid.get((level, at), n) >= n:
+                self.laid[level, at] = n
+            while self.below.get((level, at), n + 1) > n:
+                self.below[level, at] = n
+                level, at = level + 1, at >> 1
+                if level > self.TOP:
+                    break
+
+    def least(self, lo: int, hi: int) -> int | None:
+        best = None
+        for level, at in self._nodes(lo, hi):
+            n = self.below.get((level, at))
+            if n is not None and (best is None or n < best):
+                best = n
+        # What lies over whole nodes above the ends; between them the nodes above are part of the range.
+        for at in (lo, hi):
+            for level in range(1, self.TOP + 1):
+                at >>= 1
+                n = self.laid.get((level, at))
+                if n is not None and (best is None or n < best):
+                    best = n
+        return best
+
+
 def _first_fit(batches: Iterator[pa.RecordBatch], keys: list[str], tolerance: int) -> Iterator[pa.RecordBatch]:
     """The batches with the number of each row's cluster, counted by island; rows of an island come one after another."""
-    at, ranges = None, []
+    at, ranges, cover = None, [], _Cover()
     for batch in batches:
         out = []
         columns = (batch.column(c).to_pylist() for c in (*keys, "line_start", "line_end"))
         for *key, lo, hi in zip(*columns):
             if key != at:
-                at, ranges = key, []
-            known = lo is not None and hi is not None
-            n = next((i for i, r in enumerate(ranges) if known and r and max(lo, r[0]) <= min(hi, r[1]) + tolerance), len(ranges))
-            if n == len(ranges):
+                at, ranges, cover = key, [], _Cover()
+            n, known = None, lo is not None and hi is not None
+            if known:
+                # A range and a cluster meet where the range meets the cluster widened by the tolerance.
+                n = cover.least(lo, hi) if lo <= hi else next((i for i, r in enumerate(ranges) if r and max(lo, r[0]) <= min(hi, r[1]) + tolerance), None)
+            if n is None:
+                n = len(ranges)
                 ranges.append([lo, hi] if known else None)
+                grown = known
             else:
+                grown = lo < ranges[n][0] or hi > ranges[n][1]
                 ranges[n] = [min(lo, ranges[n][0]), max(hi, ranges[n][1])]
+            if grown:
+                cover.lay(ranges[n][0] - tolerance, ranges[n][1] + tolerance, n)
             out.append(n)
         yield batch.append_column("cluster", pa.array(out, pa.int64()))
 

@@ -123,11 +123,18 @@ def set_flags(users: DataFrame, requests: DataFrame, protected: list[str], now:
     return after, audit
 
 
-def permitted(users: DataFrame, members: DataFrame, grants: DataFrame, permission: str) -> DataFrame:
-    """Users with a permission through any group, or by the admin role."""
+ADMIN_ACCESS = "admin_access"
+
+
+def permitted(users: DataFrame, members: DataFrame, grants: DataFrame, permission: str, protected: list[str] = ()) -> DataFrame:
+    """Users with a permission: through any group, protected ones always, and admins by role for ``admin_access`` alone."""
     holders = members.join(grants.filter(F.col("permission") == permission), "group_id", "left_semi").select("user_id")
-    by_group = users.join(holders, "user_id", "left_semi").select("user_id")
-    return by_group.unionByName(users.filter("role = 'admin'").select("user_id")).distinct()
+    out = users.join(holders, "user_id", "left_semi").select("user_id")
+    if permission == ADMIN_ACCESS:
+        out = out.unionByName(users.filter("role = 'admin'").select("user_id"))
+    if protected:
+        out = out.unionByName(users.filter(F.col("user_id").isin(list(protected))).select("user_id"))
+    return out.distinct()
 
 
 def group_summary(groups: DataFrame, members: DataFrame, grants: DataFrame) -> DataFrame:
@@ -155,11 +162,26 @@ def token_outcome(requests: DataFrame, tokens: DataFrame, users: DataFrame, now:
 
 
 def identity_outcome(claims: DataFrame, key_ids: list[str], allowed: list[str], now: Column, skew: int = 30) -> DataFrame:
-    """claims plus reason, null if all checks pass: key, expiry within the skew, allow-list prefix (an empty list is off), repository."""
-    key_ok = F.coalesce(F.col("kid").isin(key_ids), F.lit(False))
-    alive = F.coalesce(F.col("exp") + skew >= F.unix_timestamp(now), F.lit(False))
-    listed = F.exists(F.array(*map(F.lit, allowed)), lambda p: F.col("repository").startswith(p)) if allowed else F.lit(True)
-    return claims.withColumn("reason", F.when(~key_ok, "key").when(~alive, "expired").when(F.coalesce(F.col("repository"), F.lit("")) == "", "repository").when(~listed, "not_allowed"))
+    """claims plus reason, the first check that fails, null if none does.
+
+    In order: key (a known ``kid``), claims (``verified``: the signature and the claims under it,
+    checked by whoever holds the key), expired (``exp`` within the skew), not_yet (``nbf``, if
+    there is one), not_allowed (a prefix of the workflow that the job runs, or else was started
+    from; an empty list is off), repository (there is one).
+    """
+    said = lambda c: F.nullif(F.col(c), F.lit(""))
+    at = F.unix_timestamp(now)
+    workflow = F.coalesce(said("job_workflow_ref"), said("workflow_ref"), F.lit(""))
+    listed = F.exists(F.array(*map(F.lit, allowed)), lambda p: workflow.startswith(p)) if allowed else F.lit(True)
+    checks = [
+        ("key", F.col("kid").isin(key_ids)),
+        ("claims", F.col("verified")),
+        ("expired", F.col("exp") > at - skew),
+        ("not_yet", F.coalesce(F.col("nbf"), at) <= at + skew),
+        ("not_allowed", listed),
+        ("repository", said("repository").isNotNull()),
+    ]
+    return claims.withColumn("reason", F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in checks]))
 
 
 def resolve_identity(logins: DataFrame, users: DataFrame) -> DataFrame:

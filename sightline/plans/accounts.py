@@ -67,15 +67,25 @@ def account_flag_audit(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT event_id, CASE WHEN event_id % 17 > 0 THEN 'k' || event_id % 3 END AS kid, CASE WHEN event_id % 19 > 0 THEN 1000000000 + event_id % 101 END AS exp, CASE user_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'other/' || user_id WHEN 2 THEN 'own/' || user_id ELSE 'own' END AS repository FROM events)
-SELECT event_id, CASE WHEN kid IS NULL OR kid NOT IN ('k0', 'k1') THEN 'key' WHEN exp IS NULL OR exp + 30 < 1000000070 THEN 'expired' WHEN repository = '' THEN 'repository' WHEN NOT starts_with(repository, 'own/') THEN 'not_allowed' END AS reason FROM c
+WITH c AS (SELECT event_id, CASE WHEN event_id % 17 > 0 THEN 'k' || event_id % 3 END AS kid, CASE WHEN event_id % 23 > 0 THEN event_id % 7 > 0 END AS verified, CASE WHEN event_id % 19 > 0 THEN 1000000000 + event_id % 101 END AS exp,
+  CASE WHEN event_id % 5 = 0 THEN 1000000090 + event_id % 21 END AS nbf, CASE user_id % 3 WHEN 0 THEN 'own/ci/' || user_id WHEN 1 THEN '' END AS job, CASE user_id % 4 WHEN 0 THEN 'own/ci' WHEN 1 THEN 'own/other' ELSE NULL END AS flow, CASE WHEN user_id % 5 > 0 THEN 'x/' || user_id ELSE '' END AS repository FROM events)
+SELECT event_id, CASE WHEN kid IS NULL OR kid NOT IN ('k0', 'k1') THEN 'key' WHEN NOT coalesce(verified, false) THEN 'claims' WHEN exp IS NULL OR exp <= 1000000040 THEN 'expired' WHEN nbf > 1000000100 THEN 'not_yet'
+  WHEN NOT starts_with(coalesce(nullif(job, ''), flow, ''), 'own/ci') THEN 'not_allowed' WHEN repository = '' THEN 'repository' END AS reason FROM c
 """)
 def claim_checks(spark, sf_dir):
-    """keys, expiry on both sides of the skew, repositories in and out of the list."""
-    i = F.col("event_id")
-    place = pick(F.col("user_id") % 4, ["", "other/", "own/"], "own")
-    claims = table(spark, sf_dir, "events").select("event_id", F.when(i % 17 > 0, F.concat(F.lit("k"), (i % 3).cast("string"))).alias("kid"), F.when(i % 19 > 0, 1000000000 + i % 101).alias("exp"), F.when(place.endswith("/"), F.concat(place, S("user_id"))).otherwise(place).alias("repository"))
-    return history.identity_outcome(claims, ["k0", "k1"], ["own/"], F.timestamp_seconds(F.lit(1000000070))).select("event_id", "reason")
+    """keys, results of the signature, expiry and not-before on both sides of the skew, workflows in and out of the list, repositories."""
+    i, u = F.col("event_id"), F.col("user_id")
+    claims = table(spark, sf_dir, "events").select(
+        "event_id",
+        F.when(i % 17 > 0, F.concat(F.lit("k"), (i % 3).cast("string"))).alias("kid"),
+        F.when(i % 23 > 0, i % 7 > 0).alias("verified"),
+        F.when(i % 19 > 0, 1000000000 + i % 101).alias("exp"),
+        F.when(i % 5 == 0, 1000000090 + i % 21).alias("nbf"),
+        F.when(u % 3 == 0, F.concat(F.lit("own/ci/"), S("user_id"))).when(u % 3 == 1, "").alias("job_workflow_ref"),
+        F.when(u % 4 == 0, "own/ci").when(u % 4 == 1, "own/other").alias("workflow_ref"),
+        F.when(u % 5 > 0, F.concat(F.lit("x/"), S("user_id"))).otherwise("").alias("repository"),
+    )
+    return history.identity_outcome(claims, ["k0", "k1"], ["own/ci"], F.timestamp_seconds(F.lit(1000000070))).select("event_id", "reason")
 
 
 @query("""

@@ -164,14 +164,17 @@ def retention_purge(spark, sf_dir):
 
 
 @query("""
-SELECT DISTINCT c_custkey AS user_id FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey
-WHERE n_regionkey IN (1, 3) OR c_mktsegment = 'MACHINERY'
+WITH u AS (SELECT c_custkey AS user_id, n_regionkey AS region, c_mktsegment = 'MACHINERY' AS admin FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey)
+SELECT user_id, 'view_reports' AS permission FROM u WHERE region IN (1, 3) OR user_id IN (7, 11)
+UNION ALL SELECT user_id, 'admin_access' FROM u WHERE region = 2 OR admin OR user_id IN (7, 11)
 """)
 def permission_check(spark, sf_dir):
-    """Nations are groups, two regions grant the permission, one segment is of admins."""
+    """Nations are groups, regions grant one permission or the other; one segment is of admins, who have but the second by role; two users are protected."""
     users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.when(F.col("c_mktsegment") == "MACHINERY", "admin").otherwise("user").alias("role"), F.col("c_nationkey").alias("group_id"))
-    grants = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("group_id"), F.when(F.col("n_regionkey").isin(1, 3), "scan").otherwise("read").alias("permission"))
-    return history.permitted(users.select("user_id", "role"), users.select("user_id", "group_id"), grants, "scan")
+    region = F.col("n_regionkey")
+    grants = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("group_id"), F.when(region.isin(1, 3), "view_reports").when(region == 2, "admin_access").otherwise("other").alias("permission"))
+    of = lambda p: history.permitted(users.select("user_id", "role"), users.select("user_id", "group_id"), grants, p, [7, 11]).withColumn("permission", F.lit(p))
+    return of("view_reports").unionByName(of("admin_access"))
 
 
 @query("""
@@ -348,9 +351,18 @@ def consensus_sorted(spark, sf_dir):
     return findings.islands(e, ["user_id", "event_type"], "lo0", "hi0", 2)
 
 
-@query()
+@query(f"""
+WITH {FINDINGS.strip()},
+c AS (SELECT CAST(l_suppkey AS VARCHAR) AS file, severity AS cls, scan_id * 10 + ord AS o, CAST(l_partkey % 500 AS INTEGER) AS lo, CAST(l_partkey % 500 + ord % 3 AS INTEGER) AS hi, confidence AS tool, CAST(l_partkey AS VARCHAR) AS rid FROM f),
+g AS (SELECT file, cls, list([struct_pack(lo := lo, hi := hi, o := o, tools := [tool], votes := 1)] ORDER BY o, lo, hi, tool, rid) AS cs FROM c GROUP BY 1, 2),
+r AS (SELECT file, cls, unnest(list_reduce(cs, lambda a, b: CASE
+  WHEN coalesce(list_position(list_transform(a, lambda x: greatest(x.lo, b[1].lo) <= least(x.hi, b[1].hi) + 2), true), 0) = 0 THEN list_concat(a, b)
+  ELSE list_transform(a, lambda x, i: CASE WHEN i = list_position(list_transform(a, lambda y: greatest(y.lo, b[1].lo) <= least(y.hi, b[1].hi) + 2), true)
+    THEN struct_pack(lo := least(x.lo, b[1].lo), hi := greatest(x.hi, b[1].hi), o := x.o, tools := CASE WHEN list_contains(x.tools, b[1].tools[1]) THEN x.tools ELSE list_concat(x.tools, b[1].tools) END, votes := x.votes + 1) ELSE x END) END)) AS k FROM g)
+SELECT file, cls AS vuln_class, k.o AS ord, k.lo AS line_start, k.hi AS line_end, array_to_string(k.tools, ',') AS sources, CAST(len(k.tools) AS INTEGER) AS consensus_score, CAST(k.votes AS INTEGER) AS votes FROM r
+""")
 def consensus_input_order(spark, sf_dir):
-    """B1, A10: order-dependent clusters; tests hold it against a plain model."""
+    """B1, A10: order-dependent clusters."""
     f = as_findings(spark, sf_dir)
     cand = f.select(F.col("l_suppkey").cast("string").alias("file"), F.col("severity").alias("vuln_class"), (F.col("scan_id") * 10 + F.col("ord")).alias("ord"), (F.col("l_partkey") % 500).cast("int").alias("line_start"), (F.col("l_partkey") % 500 + F.col("ord") % 3).cast("int").alias("line_end"), F.col("confidence").alias("tool"), F.lit("m").alias("message"), F.col("l_partkey").cast("string").alias("raw_rule_id"), F.lit("high").alias("severity_hint"))
     out = findings.consensus(cand)
