@@ -382,3 +382,55 @@ def test_pipeline_stages_awkward(spark, k):
 
 def test_packing_of_pipeline_awkward(spark):
     assert packing.digest(frame(spark), packing.default_tokenizer()).count() >= len(awkward())
+
+
+def _shingle_hashes(w):
+    import numpy as np
+
+    return np.array([hash(tuple(w[i : i + 5])) & (2**63 - 1) for i in range(len(w) - 4)], np.uint64)
+
+
+def test_passages_with_an_edit_at_any_place():
+    rng = random.Random(4)
+    fresh = lambda n: [rng.randrange(1 << 60) for _ in range(n)]
+    for n in (50, 51, 54, 60):
+        for at in range(n):
+            w = fresh(n)
+            v = w[:at] + fresh(1) + w[at + 1 :]
+            a, b = (set(_shingle_hashes(x).tolist()) for x in (w, v))
+            if len(a & b) < 0.8 * len(a | b):
+                continue
+            hub, other = (_shingle_hashes(fresh(40) + x + fresh(40)) for x in (w, v))
+            got = substring_dedup.passages(hub, other, [(40, 40 + n - 5, 40, 40 + n - 5)], 46, 80, 100)
+            assert got, (n, at)
+
+
+@pytest.mark.parametrize("n,least", [(100, 0.95), (60, 0.9)])
+def test_stars_of_edited_copies(spark, n, least):
+    rng = random.Random(n)
+    fresh = lambda k: [f"w{rng.randrange(10**9)}" for _ in range(k)]
+    docs, pairs = [], []
+    for _ in range(8):
+        w, hub = fresh(n), len(docs)
+        docs.append((hub, " ".join(fresh(30) + w + fresh(30))))
+        for _ in range(12):
+            while True:
+                v = list(w)
+                for _ in range(2 if n >= 94 else 1):
+                    v[rng.randrange(n)] = fresh(1)[0]
+                a, b = (set(_shingle_hashes(x).tolist()) for x in (w, v))
+                if len(a & b) >= 0.8 * len(a | b):
+                    break
+            pairs.append((len(docs), hub))
+            docs.append((len(docs), " ".join(fresh(30) + v + fresh(30))))
+    root = {}
+
+    def top(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for r in substring_dedup.repeated_passages(simple(spark, docs)).collect():
+        assert r.jaccard >= 0.8
+        root[top(r.doc_id)] = top(r.with_doc_id)
+    assert sum(top(a) == top(b) for a, b in pairs) >= least * len(pairs)
