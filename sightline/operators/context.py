@@ -1,4 +1,4 @@
-"""Context around a finding: lines, functions, callers, routes, guards and upload handlers."""
+"""Context around a finding: lines, functions, callers, routes, snippets."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import caller_test_file, suffix
 from ..functions.text import split_lines
+from .access import guards, ownership_checks
 
 #: Function definitions by file suffix: group 1 is the name.
 DEFINITIONS = {
@@ -37,23 +38,6 @@ ROUTES = [
 LISTED_METHODS = r"(?i)methods\s*=\s*\[([^\]]+)\]"
 NEXT_FUNCTION = r"(?:async\s+)?def\s+(\w+)\s*\("
 NAMED_ARGUMENT = r",\s*(?:async\s+)?(?:function\s+)?(\w+)\s*[,)\n{]"
-#: Own rules for guards: (kind, pattern).
-GUARDS = [
-    ("decorator", r"^\s*@(\w*(?:login|auth|permission|admin|jwt)\w*)"),
-    ("dependency", r"\bDepends\(\s*(\w+)\s*\)"),
-    ("use", r"\bapp\.use\(\s*(?:['\"`][^'\"`]*['\"`]\s*,\s*)?(\w+)"),
-]
-OWNERSHIP = r"(?i)\b(\w*(?:owner|user|author|tenant|account)(?:_?id)?)\s*(?:==|!=|===|!==|\bis\b)\s*([\w.]*(?:current_user|request\.user|req\.user|session|g\.user)[\w.]*)"
-#: Own rules for upload handlers: (suffixes, pattern).
-UPLOADS = [
-    ([".py"], r"request\.files\b|UploadFile\b|FileStorage\b|request\.FILES\b"),
-    ([".js", ".ts", ".jsx", ".tsx"], r"\bmulter\(|req\.files?\b|\bformidable\b|\bbusboy\b"),
-    ([".go"], r"\.FormFile\(|\.MultipartForm\b"),
-    ([".php"], r"\$_FILES\b|\bmove_uploaded_file\("),
-    ([".java", ".kt"], r"\bMultipartFile\b|@MultipartConfig\b"),
-    ([".rb"], r"\bparams\[:file\]|\battach\b"),
-]
-SIGNALS = {"checks_type": r"(?i)content.?type|mime", "checks_suffix": r"(?i)\bext(ension)?s?\b|splitext|allowed", "checks_size": r"(?i)max.?(size|length|content)|\blimit\b", "renames": r"(?i)uuid|secure_filename|random", "scans": r"(?i)clamav|virus|antivirus", "raw_name": r"(?i)\.filename\b|originalname", "writes": r"(?i)\.save\(|\bwrite\(|open\(", "public_dir": r"(?i)static/|public/|/uploads?/", "auth": r"(?i)login_required|auth|current_user"}
 
 
 def lines_of(files: DataFrame, path: str = "path", content: str = "content", keep: list[str] = ()) -> DataFrame:
@@ -174,30 +158,6 @@ def routes(lines: DataFrame, below: int = 6) -> DataFrame:
     return one.select("path", "line", "r.framework", "r.route", F.explode("r.methods").alias("method"), "r.handler")
 
 
-def guards(lines: DataFrame) -> DataFrame:
-    """X11: path, line, kind, name."""
-    kinds = [F.struct(F.lit(k).alias("kind"), F.nullif(F.regexp_extract("text", p, 1), F.lit("")).alias("name")) for k, p in GUARDS]
-    return lines.select("path", "line", F.explode(F.filter(F.array(*kinds), lambda g: g["name"].isNotNull())).alias("g")).select("path", "line", "g.kind", "g.name")
-
-
-def ownership_checks(lines: DataFrame) -> DataFrame:
-    """Path, line, field, source: a field compared with the current user."""
-    return lines.filter(F.col("text").rlike(OWNERSHIP)).select("path", "line", F.regexp_extract("text", OWNERSHIP, 1).alias("field"), F.regexp_extract("text", OWNERSHIP, 2).alias("source"))
-
-
-def upload_handlers(lines: DataFrame, cap: int = 200) -> DataFrame:
-    """Path, line of upload handlers, one a line, the first ``cap`` in order."""
-    hit = F.lit(False)
-    for ends, pattern in UPLOADS:
-        hit = hit | (suffix(F.col("path")).isin(ends) & F.col("text").rlike(pattern))
-    return lines.filter(hit).select("path", "line").orderBy("path", "line").limit(cap)
-
-
-def upload_signals(block: Column) -> Column:
-    """Names of the signals in the text around a handler."""
-    return F.array_compact(F.array(*[F.when(block.rlike(p), F.lit(k)) for k, p in SIGNALS.items()]))
-
-
 #: Calls of interest by kind, first kind counts, and words that look like calls.
 CALLEES = [
     ("auth_check", r"(?iU)\b(has_permission|can_\w+|require_\w+|check_permission|is_authorized|is_owner|verify_\w+|assert_permission|authorize)\s*\("),
@@ -206,10 +166,6 @@ CALLEES = [
     ("other", r"(?U)\b(\w{3,})\s*\("),
 ]
 NOT_CALLED = ["if", "for", "while", "def", "class", "return", "import", "from", "with", "not", "and", "or", "in", "is", "str", "int", "len", "print", "True", "False", "None"]
-#: Names of decorators that guard.
-GUARD_NAMES = r"(?i)login_required|require_admin|require_staff|permission_required|admin_required|auth_required|authenticated|requires_auth|jwt_required|token_required|verify_jwt|check_permission|authorize|secured|protected"
-DECORATOR = r"^\s*@([\w.]+(?:\([^)]*\))?)\s*$"
-FUNCTION_LINE = r"^\s*(?:async\s+)?def\s+\w+"
 MAX_CALLERS, MAX_CALLEES, MAX_ROUTES, MAX_GUARDS, MAX_OWNERSHIP, MAX_SNIPPET = 5, 10, 5, 10, 10, 30
 
 
@@ -232,15 +188,6 @@ def callees(snippet: Column, cap: int | None = MAX_CALLEES) -> Column:
     return F.slice(out, 1, cap) if cap else out
 
 
-def guarding_decorators(lines: DataFrame) -> DataFrame:
-    """(path, line, name) of the guards among the decorators stacked right above a function; any other line between breaks the stack."""
-    w = W.partitionBy("path").orderBy("line")
-    decorator = F.col("text").rlike("(?U)" + DECORATOR)
-    below = F.first(F.when(~decorator, F.col("text").rlike("(?U)" + FUNCTION_LINE)), True).over(w.rowsBetween(1, W.unboundedFollowing))
-    name = F.regexp_extract("text", "(?U)" + DECORATOR, 1)
-    return lines.withColumn("__sl_def", below).filter(decorator & F.col("__sl_def") & name.rlike(GUARD_NAMES)).select("path", "line", name.alias("name"))
-
-
 def snippet(lines: Column, start: Column, end: Column, scanner_only: Column) -> Column:
     """The lines around a finding: 8 on each side, 14 for scanners' own, at most 30; without a start the first 30."""
     wide = F.when(scanner_only, F.lit(14)).otherwise(F.lit(8))
@@ -271,7 +218,7 @@ def bundles(candidates: DataFrame, files: DataFrame, path: str = "path", content
     tagged = found.select("path", "line", "framework", "method", "route", "handler").orderBy("path", "line", "framework", "method").limit(MAX_ROUTES)
     others = tagged.agg(F.array_sort(F.collect_list(F.struct(*tagged.columns))).alias("others"))  # at most MAX_ROUTES rows
     g = _capped(guards(lines), "path", MAX_GUARDS, ["line", "kind", "name"], "guards")
-    o = _capped(ownership_checks(lines), "path", MAX_OWNERSHIP, ["line", "field", "source"], "ownership")
+    o = _capped(ownership_checks(lines), "path", MAX_OWNERSHIP, ["line", "pattern", "identifier", "current_user_derived"], "ownership")
     text = files.select(F.col(path).alias("path"), split_lines(F.col(content)).alias("__sl_lines"))
     j = candidates.withColumn("path", F.col("file"))
     for part in (text, own, g, o):
@@ -284,6 +231,6 @@ def bundles(candidates: DataFrame, files: DataFrame, path: str = "path", content
             "callees": callees(F.col("snippet")),
             "routes": F.when(F.col("__sl_lines").isNull(), F.array().cast("array<struct<path:string,line:int,framework:string,method:string,route:string,handler:string>>")).otherwise(F.coalesce(with_path, others.scalar())),
             "guards": F.coalesce("guards", F.array().cast("array<struct<line:int,kind:string,name:string>>")),
-            "ownership": F.coalesce("ownership", F.array().cast("array<struct<line:int,field:string,source:string>>")),
+            "ownership": F.coalesce("ownership", F.array().cast("array<struct<line:int,pattern:string,identifier:string,current_user_derived:boolean>>")),
         }
     ).drop("path", "__sl_lines", "own")

@@ -211,27 +211,3 @@ def function_callers(spark, sf_dir):
     """The first five lines that call each function; definitions of the file's language are none."""
     names = spark.createDataFrame([(n,) for n in ("f0", "f1", "f2", "f3", "multer", "absent", "f0")], "name string")
     return context.callers(names, code_lines(spark, sf_dir)).select("name", "path", "line", "text")
-
-
-@query(f"""
-WITH {LINES}
-SELECT path, line, 'decorator' AS kind, regexp_extract(text, '@(\\w+)', 1) AS name FROM c WHERE starts_with(text, '@login')
-UNION ALL SELECT path, line, 'dependency', regexp_extract(text, 'Depends\\((\\w+)\\)', 1) FROM c WHERE contains(text, 'Depends(')
-UNION ALL SELECT path, line, 'use', regexp_extract(text, ', (\\w+)\\)', 1) FROM c WHERE starts_with(text, 'app.use')
-UNION ALL SELECT path, line, 'ownership', regexp_extract(text, '\\.(\\w+) [!=]', 1) FROM c WHERE starts_with(text, 'if ')
-""")
-def guards_and_owners(spark, sf_dir):
-    """X11, X12."""
-    lines = code_lines(spark, sf_dir)
-    owners = context.ownership_checks(lines).select("path", "line", F.lit("ownership").alias("kind"), F.col("field").alias("name"))
-    return context.guards(lines).unionByName(owners)
-
-
-@query(f"""
-WITH {LINES}
-SELECT path, line FROM c WHERE (ending IN ('.py', '_test.py') AND contains(text, 'request.files')) OR (ending = '.js' AND contains(text, 'multer(')) OR (ending = '.go' AND contains(text, '.FormFile('))
-ORDER BY path, line LIMIT 200
-""")
-def first_upload_handlers(spark, sf_dir):
-    """The first 200 (the report's own limit) of the lines that read uploads in their file's language."""
-    return context.upload_handlers(code_lines(spark, sf_dir))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import context, fixes, history, report, review
+from ..operators import access, context, fixes, history, report, review
 from .base import FINDINGS, as_findings, query, table
 
 S = lambda c: F.col(c).cast("string")
@@ -331,13 +331,13 @@ WITH s AS (SELECT doc_id, 'x' || chr(10) || {pick_sql("doc_id % 5", STACKS, "def
 l AS (SELECT doc_id, i AS line, string_split(t, chr(10))[i] AS x FROM (SELECT doc_id, t, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM s)),
 d AS (SELECT *, regexp_extract(x, '^\s*@([\w.]+(?:\([^)]*\))?)\s*$', 1) AS name FROM l),
 e AS (SELECT *, first_value(CASE WHEN name = '' THEN regexp_matches(x, '^\s*(?:async\s+)?def\s+\w+') END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS f FROM d)
-SELECT doc_id, CAST(line AS INTEGER) AS line, name FROM e WHERE name <> '' AND f AND regexp_matches(name, {sql_text(context.GUARD_NAMES)})
+SELECT doc_id, CAST(line AS INTEGER) AS line, name FROM e WHERE name <> '' AND f AND regexp_matches(name, {sql_text(access.GUARD_NAMES)})
 """)
 def guarding_decorators(spark, sf_dir):
     """Stacks over a function, over a class, and with a line between."""
     t = F.concat(F.lit("x\n"), pick(F.col("doc_id") % 5, STACKS, "def k():"))
     lines = context.lines_of(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), t.alias("content")))
-    return context.guarding_decorators(lines).select(F.col("path").alias("doc_id"), "line", "name")
+    return access.guarding_decorators(lines).select(F.col("path").alias("doc_id"), "line", "name")
 
 
 FIXES = ["```py\nx = 1\n```", "```py\n# add your check\n```", "```py\nrun(c, shell=True)\n```", "no code", "```py\nDEBUG = 1\n```", "```py\n" + "y\n" * 21 + "```"]

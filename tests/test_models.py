@@ -204,9 +204,6 @@ def test_context(spark):
     assert {(r.route, r.method) for r in context.routes(lines).collect()} == {("/u/<id>", "GET"), ("/u/<id>", "POST")}
     assert [(r.path, r.line) for r in context.callers(spark.createDataFrame([("helper",)], "name string"), lines).collect()] == [("app.py", 7)]
     assert [r.function for r in context.functions_of(lines).filter("path = 'app.py' AND line = 7").collect()] == ["view"]
-    assert [r.field for r in context.ownership_checks(lines).collect()] == ["owner_id"]
-    assert [(r.path, r.line) for r in context.upload_handlers(lines).collect()] == [("app.py", 8)]
-    assert ("decorator", "login_required") in {(r.kind, r.name) for r in context.guards(lines).collect()}
 
 
 def test_history_dml(spark):
