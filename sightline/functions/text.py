@@ -149,6 +149,28 @@ def attribute(value: Column) -> Column:
     return value
 
 
-def redacted_fields(fields: Column, denied: list[str]) -> Column:
-    """A map whose denied keys (any case) have their values blanked."""
-    return F.transform_values(fields, lambda k, v: F.when(F.lower(k).isin([x.lower() for x in denied]), F.lit("[REDACTED]")).otherwise(v))
+# Fields whose values are never logged, names that a record has itself.
+DENIED_FIELDS = ["content", "source_code", "code", "file_content", "prompt", "payload", "api_key", "password", "secret", "private_key", "access_token", "session_token", "webhook_url", "token_value"]
+OWN_FIELDS = ["args", "asctime", "created", "exc_info", "exc_text", "filename", "funcName", "levelname", "levelno", "lineno", "message", "module", "msecs", "msg", "name", "pathname", "process", "processName", "relativeCreated", "stack_info", "thread", "threadName", "taskName"]
+
+
+def redacted_fields(fields: Column, denied: list[str] = DENIED_FIELDS) -> Column:
+    """A map whose denied keys have their values blanked."""
+    return F.transform_values(fields, lambda k, v: F.when(k.isin(list(denied)), F.lit("[REDACTED]")).otherwise(v))
+
+
+def log_line(at: Column, level: Column, message: Column, scan_id: Column, fields: Column) -> Column:
+    """A log record as JSON: timestamp, level, message, scan_id if there is one, and the fields, redacted, by name.
+
+    Fields with a name that a record has itself get the prefix ctx_, those with a leading _ are left out.
+    """
+    kept = F.map_filter(F.coalesce(fields, F.create_map().cast("map<string,string>")), lambda k, _: ~k.startswith("_"))
+    own = redacted_fields(F.transform_keys(kept, lambda k, _: F.when(k.isin(OWN_FIELDS), F.concat(F.lit("ctx_"), k)).otherwise(k)))
+    # A field of the same name stands for the record's.
+    head = F.map_filter(F.create_map(F.lit("timestamp"), at, F.lit("level"), level, F.lit("message"), message, F.lit("scan_id"), scan_id), lambda k, v: ((k != "scan_id") | v.isNotNull()) & ~F.map_contains_key(own, k))
+    return F.to_json(F.map_concat(head, F.map_from_entries(F.array_sort(F.map_entries(own)))), {"ignoreNullFields": "false"})
+
+
+def alerts(mode: Column, repo: Column, pipeline_repo: str) -> Column:
+    """Whether a bypass is told: never in mode none, not for the pipeline's own repository in dev_only, else always."""
+    return F.when(mode == "none", False).when((mode == "dev_only") & F.coalesce(repo == pipeline_repo, F.lit(False)), False).otherwise(True)

@@ -298,6 +298,21 @@ def blind_pass(answer: Column) -> Column:
     return F.when(F.lower(F.trim(answer)).startswith("yes"), "verified").otherwise("conflicting")
 
 
+def wants_second_pass(severity: Column, sources: Column, gate: Column, model: str = "claude") -> Column:
+    """V6: whether a finding gets the blind second pass: Critical, from the model alone, on the gate's path."""
+    return F.coalesce(gate & (severity == "Critical") & (F.size(sources) == 1) & (F.get(sources, 0) == model), F.lit(False))
+
+
+def chosen_packs(packs: DataFrame, chosen: list[str] | None) -> DataFrame:
+    """Packs (name, required, present) that a run uses: all for None, a subset for a list, none for an empty one.
+
+    If a required one of them isn't there no pack is used; others that aren't there are left out.
+    """
+    wanted = packs if chosen is None else packs.filter(F.col("name").isin(list(chosen)))
+    lacking = wanted.filter("required AND NOT present").limit(1).select(F.lit(1).alias("__sl_lacking"))
+    return wanted.filter("present").join(lacking, F.lit(True), "left_anti")
+
+
 def parse_verdicts(replies: DataFrame, text: str = "reply", size: int = VERDICT_BATCH) -> DataFrame:
     """V2: (reply's columns, candidate, verdict, confidence, reason) from lines ``VERDICT #n: x``, ``CONFIDENCE #n: y``, ``REASON #n: z``.
 

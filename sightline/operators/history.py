@@ -83,6 +83,16 @@ def retain(scans: DataFrame, at: str, cutoff: Column) -> DataFrame:
     return scans.filter(F.col(at).isNull() | (F.col(at) >= cutoff))
 
 
+def delete_by_channel(first: DataFrame, second: DataFrame, keys_gone: DataFrame, key: str, names: tuple[str, str] = ("portal", "ci")) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(first, second, told) after deleting keys, each from the first table that has it; told: key, channel, null where neither has."""
+    gone = keys_gone.select(key).distinct()
+    in_first = gone.join(first.select(key).distinct(), key, "left_semi").withColumn("channel", F.lit(names[0]))
+    in_second = gone.join(first.select(key), key, "left_anti").join(second.select(key).distinct(), key, "left_semi").withColumn("channel", F.lit(names[1]))
+    found = in_first.unionByName(in_second)
+    told = gone.join(found, key, "left")
+    return delete_keys(first, in_first, [key]), delete_keys(second, in_second, [key]), told
+
+
 def delete_keys(rows: DataFrame, keys_gone: DataFrame, keys: list[str]) -> DataFrame:
     """Rows but those with a key in a list."""
     return rows.join(keys_gone.select(*keys).distinct(), keys, "left_anti")
@@ -93,19 +103,82 @@ def insert_absent(rows: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame
     return rows.unionByName(new.dropDuplicates(keys).join(rows.select(*keys), keys, "left_anti").select(*rows.columns))
 
 
-def promote_users(users: DataFrame, seen: DataFrame, by: str | None = None) -> DataFrame:
+def provision(users: DataFrame, logins: DataFrame, protected: list[str], admin_group: str, now: Column) -> DataFrame:
+    """Users (email, auth_provider, role, is_active, created_at, last_login_at, display_name) and those who log in first.
+
+    logins: email, groups (array), auth_provider, name; of one e-mail's logins one is taken.  A
+    protected e-mail or one in the admin group is an admin, an unknown provider is okta.
+    """
+    admin = F.col("email").isin(list(protected))
+    if admin_group:
+        admin = admin | F.coalesce(F.array_contains("groups", admin_group), F.lit(False))
+    new = logins.filter("email <> ''").select(
+        "email",
+        F.when(F.coalesce("auth_provider", F.lit("unknown")) == "unknown", "okta").otherwise(F.col("auth_provider")).alias("auth_provider"),
+        F.when(admin, "admin").otherwise("user").alias("role"),
+        F.lit(True).alias("is_active"),
+        now.alias("created_at"),
+        now.alias("last_login_at"),
+        F.col("name").alias("display_name"),
+    )
+    one = new.groupBy("email").agg(F.min(F.struct("role", "auth_provider", "is_active", "created_at", "last_login_at", "display_name")).alias("u")).select("email", "u.*")
+    return insert_absent(users, one, ["email"])
+
+
+def promote_users(users: DataFrame, seen: DataFrame, by: str | None = None, at: str | None = None) -> DataFrame:
     """Users (email, role, groups) after logins (email, is_admin, groups): promoted, never demoted; groups replaced where given.
 
     Of one e-mail's logins any may promote; the groups are the last given in order of
-    ``by``, without that column the greatest given.
+    ``by``, without that column the greatest given.  With ``at``, the logins' time, users have
+    last_login_at, which becomes that of the last login.
     """
     groups = F.max_by("groups", F.when(F.col("groups").isNotNull(), F.col(by))) if by else F.max("groups")
-    s = seen.groupBy("email").agg(F.bool_or(F.coalesce("is_admin", F.lit(False))).alias("is_admin"), groups.alias("new_groups"))
-    old = users.join(s, "email", "left").select("email", F.when(F.coalesce("is_admin", F.lit(False)), "admin").otherwise(F.col("role")).alias("role"), F.coalesce("new_groups", "groups").alias("groups"))
-    new = s.join(users.select("email"), "email", "left_anti").select("email", F.when(F.col("is_admin"), "admin").otherwise("user").alias("role"), F.col("new_groups").alias("groups"))
+    last = [F.max(at).alias("new_login")] if at else []
+    s = seen.groupBy("email").agg(F.bool_or(F.coalesce("is_admin", F.lit(False))).alias("is_admin"), groups.alias("new_groups"), *last)
+    admin = F.coalesce("is_admin", F.lit(False))
+    timed = [F.coalesce("new_login", "last_login_at").alias("last_login_at")] if at else []
+    old = users.join(s, "email", "left").select("email", F.when(admin, "admin").otherwise(F.col("role")).alias("role"), F.coalesce("new_groups", "groups").alias("groups"), *timed)
+    new = s.join(users.select("email"), "email", "left_anti").select("email", F.when(F.col("is_admin"), "admin").otherwise("user").alias("role"), F.col("new_groups").alias("groups"), *([F.col("new_login").alias("last_login_at")] if at else []))
     return old.unionByName(new)
 
 
+#: What an account can be asked to become: column, value, name of the audit row.
+CHANGES = {"deactivate": ("is_active", "false", "user_deactivated"), "reactivate": ("is_active", "true", "user_reactivated"), "promote": ("role", "admin", "user_promoted"), "demote": ("role", "user", "user_demoted")}
+
+
+def change_accounts(users: DataFrame, requests: DataFrame, protected: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(users after, requests with outcome): requests (request_id, email, actor, action, at) in order of request_id.
+
+    users: email, role, is_active, reactivated_at.  Outcomes: not_found for an e-mail that has no
+    account, own_role for one's own demotion, protected for deactivating or demoting a protected
+    account, unknown for another action, else the name of the audit row.  The last change of each
+    kind counts; a reactivation leaves its time.
+    """
+    known = users.select("email", F.lit(True).alias("__sl_known"))
+    name = F.try_element_at(F.create_map(*[F.lit(x) for k, (*_, n) in CHANGES.items() for x in (k, n)]), F.col("action"))
+    outcome = (
+        F.when(F.col("__sl_known").isNull(), "not_found")
+        .when(name.isNull(), "unknown")
+        .when((F.col("action") == "demote") & F.col("email").eqNullSafe(F.col("actor")), "own_role")
+        .when(F.col("email").isin(list(protected)) & F.col("action").isin("deactivate", "demote"), "protected")
+        .otherwise(name)
+    )
+    told = requests.join(known, "email", "left").select(*requests.columns, outcome.alias("outcome"))
+    done = told.filter(F.col("outcome") == name)
+    last = lambda what, *actions: F.max_by(what, F.when(F.col("action").isin(*actions), F.col("request_id")))
+    one = done.groupBy("email").agg(last(F.col("action") == "reactivate", "deactivate", "reactivate").alias("__sl_active"), last(F.col("action"), "promote", "demote").alias("__sl_role"), last(F.col("at"), "reactivate").alias("__sl_at"))
+    role = F.when(F.col("__sl_role") == "promote", "admin").when(F.col("__sl_role") == "demote", "user")
+    after = users.join(one, "email", "left").withColumns({"is_active": F.coalesce("__sl_active", "is_active"), "role": F.coalesce(role, F.col("role")), "reactivated_at": F.coalesce("__sl_at", "reactivated_at")})
+    return after.select(*users.columns), told
+
+
+def risky_repositories(scans: DataFrame, user: str, cutoff: Column, cap: int = 5) -> DataFrame:
+    """Of a user's scans since ``cutoff``, by repository: total_critical, total_high, last_scan; the worst ``cap``, ties by name."""
+    own = scans.filter((F.col("user_email") == user) & (F.col("started_at") >= cutoff))
+    sums = own.groupBy("repo_url").agg(F.sum("critical").alias("total_critical"), F.sum("high").alias("total_high"), F.max("started_at").alias("last_scan"))
+    return sums.orderBy(F.desc("total_critical"), F.desc("total_high"), "repo_url").limit(cap)
+
+
 def rotate(tokens: DataFrame, rotated: DataFrame, now: Column) -> DataFrame:
     """Active tokens of the users listed (user, new_token) are closed and new ones added; of a user's new tokens the greatest."""
     r = rotated.groupBy("user").agg(F.max("new_token").alias("new_token"))

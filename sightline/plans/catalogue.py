@@ -9,7 +9,7 @@ from ..functions import paths, text
 from ..functions.secrets import redacted, secret_hits
 from ..operators import context, corpus, findings, history
 from ..sources import tools
-from . import accounts, guarding, outputs, reviews, stores  # noqa: F401  (register their queries)
+from . import accounts, guarding, outputs, records, reviews, stores  # noqa: F401  (register their queries)
 from .base import FINDINGS, FILES, ORACLES, QUERIES, as_files, as_findings, query, table
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,30 +77,21 @@ def candidates(raw: DataFrame, enabled: list[str] | None = None, keep: list[str]
     return semgrep(raw.limit(0), keep=keep) if out is None else out
 
 
+#: A quoted string (to the end if it isn't closed), or a bracket.
+_JSON_PART = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\\?\Z)|[\[\]{}]', re.DOTALL)
+
+
 @F.pandas_udf(T.StringType())
 def json_payload(replies: pd.Series) -> pd.Series:
     """The JSON array or object of a model's reply: fences off, prose around it off, brackets balanced."""
 
     def payload(text: str | None) -> str | None:
-        if text is None:
-            return None
-        at = min((i for i in (text.find("["), text.find("{")) if i >= 0), default=-1)
-        if at < 0:
-            return None
-        depth, quoted, escaped = 0, False, False
-        for i in range(at, len(text)):
-            c = text[i]
-            if quoted:
-                quoted = escaped or c != '"'
-                escaped = c == "\\" and not escaped
-            elif c == '"':
-                quoted, escaped = True, False
-            elif c in "[{":
-                depth += 1
-            elif c in "]}":
-                depth -= 1
-                if depth == 0:
-                    return text[at : i + 1]
+        at = min((i for i in (text.find("["), text.find("{")) if i >= 0), default=-1) if text else -1
+        depth = 0
+        for part in _JSON_PART.finditer(text, at) if at >= 0 else ():
+            depth += {"[": 1, "{": 1, "]": -1, "}": -1}.get(part.group(), 0)
+            if depth == 0:
+                return text[at : part.end()]
         return None
 
     return replies.map(payload)
