@@ -6,6 +6,9 @@ positions and conditional replacements are folds over both.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,6 +37,35 @@ DETECTORS = [
 ]
 
 
+#: What a text must contain for a detector to match, any of it; small letters stand for both cases.
+_LITERALS = {
+    "pem": ["-----BEGIN"],
+    "github_pat": ["github_pat_"],
+    "github_token": ["gho_", "ghp_", "ghs_", "ghu_", "ghr_"],
+    "anthropic": ["sk-ant-"],
+    "aws_access_key": ["AKIA", "ASIA"],
+    "slack_webhook": ["https://hooks.slack.com/services/"],
+    "google_oauth": ["ya29."],
+    "jwt": ["eyJ"],
+    "high_entropy": ["'", '"'],
+    "basic_auth": ["://"],
+}
+#: The long s is an s to patterns without case, but lower-casing leaves it.
+_WORDS = {"bearer_token": ["bearer"], "config_secret": ["pass", "pwd", "secret", "token", "key", "credential", "bearer", "\u017f"]}
+
+
+def _may_match(name: str, pattern: str, path: Column, text: Column) -> Column:
+    """Whether a text has a match; plain searches for what a match contains come before the pattern."""
+    found = text.rlike(pattern)
+    if name == "sql_credential":
+        return F.lower(path).endswith(".sql") & found
+    words = _WORDS.get(name)
+    # Lower-cased, a Kelvin sign is a k as it is to the patterns.
+    parts = [F.lower(text).contains(x) for x in words] if words else [text.contains(x) for x in _LITERALS[name]]
+    some = reduce(or_, parts)
+    return ((text.contains(":") | text.contains("=")) & some if name == "config_secret" else some) & found
+
+
 def _accepted(name: str, path: Column, quote: Column, value: Column) -> Column:
     if name == "config_secret":
         return ~code_file(path) | (quote != "") | (entropy(value) >= MIN_ENTROPY)
@@ -82,13 +114,13 @@ def secret_hits(files: DataFrame, path: str = "path", content: str = "content",
     def kind(i: int, name: str, pattern: str, before: list[int], group: int) -> Column:
         good = F.filter(_spans(_matches(text, pattern, before, group)), lambda s: _accepted(name, F.col(path), s["quote"], s["value"]))
         hits = F.transform(good, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(i).alias("ord"), F.lit(name).alias("detector")))
-        return F.when(text.rlike(pattern), hits).otherwise(F.array().cast("array<struct<start:int,end:int,ord:int,detector:string>>"))
+        return F.when(_may_match(name, pattern, F.col(path), text), hits).otherwise(F.array().cast("array<struct<start:int,end:int,ord:int,detector:string>>"))
 
     kinds = [kind(i, *detector) for i, detector in enumerate(detectors)]
     # A cheap test first: most files have no match at all.
     any_ = F.lit(False)
-    for _, pattern, _, _ in detectors:
-        any_ = any_ | text.rlike(pattern)
+    for name, pattern, _, _ in detectors:
+        any_ = any_ | _may_match(name, pattern, F.col(path), text)
     found = files.filter(any_).withColumn("__sl_hits", F.concat(*kinds)).select(*(keep or []), F.col(path).alias("path"), text.alias("text"), F.explode("__sl_hits").alias("h"))
     head = F.substr("text", F.lit(1), F.col("h.start"))
     count = lambda c: (F.length(c) - F.length(F.translate(c, "\n", "")) + 1).cast("int")
@@ -113,7 +145,7 @@ def _redacted_by(text: Column, path: Column, name: str, pattern: str, before: li
 
     def fold(t):
         done = F.aggregate(_matches(t, pattern, before, group), F.lit(""), put)
-        return F.when(t.rlike(pattern), F.concat(done, F.element_at(F.split(t, pattern, -1), -1))).otherwise(t)
+        return F.when(_may_match(name, pattern, path, t), F.concat(done, F.element_at(F.split(t, pattern, -1), -1))).otherwise(t)
 
     # Bound once, so that the text before is not worked out again for each part.
     return F.get(F.transform(F.array(text), fold), 0)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..functions.secrets import redacted, secret_hits
+from ..functions.secrets import DETECTORS, redacted, secret_hits
 from ..operators import context, corpus, findings, history
 from ..sources import tools
 from . import accounts, guarding, outputs, records, reviews, stores  # noqa: F401  (register their queries)
@@ -479,7 +479,9 @@ def secret_hits_by_detector(spark, sf_dir):
     """Lines with a credential by source and first detector (quoted random strings alone are left out, SQL can't match their quotes)."""
     d = table(spark, sf_dir, "documents")
     hits = secret_hits(d.select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content")), without=("high_entropy",))
-    per = hits.select(F.col("path").cast("long").alias("doc_id"), "line", "detector").groupBy("doc_id", "line").agg(F.first("detector").alias("detector"))
+    # Of a line's hits, which can end on different lines, the detector that comes first.
+    place = F.array_position(F.array(*[F.lit(name) for name, *_ in DETECTORS]), F.col("detector"))
+    per = hits.select(F.col("path").cast("long").alias("doc_id"), "line", "detector").groupBy("doc_id", "line").agg(F.min_by("detector", place).alias("detector"))
     return per.join(d.select("doc_id", "source"), "doc_id").groupBy("source", "detector").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
