@@ -235,10 +235,18 @@ def merge_sources(left: DataFrame, right: DataFrame, tolerance: int = MERGE_LINE
 
 
 def truth_matches(truth: DataFrame, findings: DataFrame, tolerance: int = TRUTH_LINES) -> DataFrame:
-    """The truth rows with a finding of their file and class within some lines (semi-join)."""
-    t, f = truth.alias("t"), findings.alias("f")
-    on = (F.col("t.file") == F.col("f.file")) & (F.col("t.vuln_class") == F.col("f.vuln_class")) & overlaps(F.col("t.line_start"), F.col("t.line_end"), F.col("f.line_start"), F.col("f.line_end"), tolerance)
-    return t.join(f, on, "left_semi")
+    """The truth rows with a finding of their file and class within some lines; rows that are repeated stay repeated.
+
+    Ranges meet in cells of lines, as those of two sources do, so a file with very many of
+    either is no single group.  Rows without lines match nothing.
+    """
+    t = truth.filter("line_start IS NOT NULL AND line_end IS NOT NULL").select("file", "vuln_class", F.col("line_start").alias("t0"), F.col("line_end").alias("t1")).distinct()
+    f = findings.filter("line_start IS NOT NULL AND line_end IS NOT NULL").select("file", "vuln_class", F.col("line_start").alias("f0"), F.col("line_end").alias("f1"))
+    mine = _in_cells(t, F.least("t0", "t1") - tolerance, F.greatest("t0", "t1") + tolerance, "t", "f")
+    theirs = _in_cells(f, F.least("f0", "f1"), F.greatest("f0", "f1"), "f", "t")
+    met = mine.join(theirs, ["file", "vuln_class", "level", "cell", "side"]).filter(overlaps(F.col("t0"), F.col("t1"), F.col("f0"), F.col("f1"), tolerance))
+    hit = met.select("file", "vuln_class", F.col("t0").alias("line_start"), F.col("t1").alias("line_end")).distinct()
+    return truth.join(hit, ["file", "vuln_class", "line_start", "line_end"], "left_semi").select(*truth.columns)
 
 
 def reject_reason(finding: dict[str, Column] | None = None) -> Column:

@@ -95,3 +95,43 @@ def test_claim_ladder(spark):
     assert [got[i] for i in range(len(rows))] == [r[1] for r in rows]
     off = {r.i: r.reason for r in history.identity_outcome(df, ["k"], [], F.timestamp_seconds(F.lit(1000))).collect()}
     assert off[11] is None and off[12] == "repository"
+
+
+def test_truth_matches(spark):
+    rng = random.Random(2)
+    cols = "file string, vuln_class string, line_start long, line_end long, n int"
+    make = lambda k, wide: [(rng.choice("ab"), rng.choice("xy"), s, s + rng.choice([0, 1, 5, wide]), i) for i, s in enumerate(rng.randint(1, 3000) for _ in range(k))]
+    truth, found = make(150, 2000), make(60, 70)
+    truth += truth[:3] + [("a", "x", None, None, 900), ("a", "x", 5, None, 901)]
+    got = sorted(r.n for r in findings.truth_matches(spark.createDataFrame(truth, cols), spark.createDataFrame(found + [("a", "x", None, 3, 1)], cols)).collect())
+    want = sorted(n for f, c, a, b, n in truth if b is not None and a is not None and any(f == g and c == d and max(a, x) <= min(b, y) + 3 for g, d, x, y, _ in found))
+    assert got == want and 0 < len(got) < len(truth)
+
+
+def test_account_changes(spark):
+    users = spark.createDataFrame([("a", "user", True, None), ("b", "admin", False, None), ("p", "admin", True, None)], "email string, role string, is_active boolean, reactivated_at timestamp")
+    asked = [(1, "a", "b", "promote"), (2, "a", "b", "deactivate"), (3, "b", "b", "demote"), (4, "b", "a", "reactivate"), (5, "p", "b", "deactivate"), (6, "x", "b", "promote"), (7, "a", "b", "demote"), (8, "a", "b", "rename"), (9, "p", "p", "demote"), (10, "b", "a", "deactivate"), (11, "b", "a", "reactivate")]
+    df = spark.createDataFrame(asked, "request_id int, email string, actor string, action string").withColumn("at", F.timestamp_seconds("request_id"))
+    after, told = history.change_accounts(users, df, ["p"])
+    assert {r.email: (r.role, r.is_active, r.reactivated_at and int(r.reactivated_at.timestamp())) for r in after.collect()} == {"a": ("user", False, None), "b": ("admin", True, 11), "p": ("admin", True, None)}
+    assert [r.outcome for r in told.orderBy("request_id").collect()] == ["user_promoted", "user_deactivated", "own_role", "user_reactivated", "protected", "not_found", "user_demoted", "unknown", "own_role", "user_deactivated", "user_reactivated"]
+
+
+def test_log_lines_and_alerts(spark):
+    from sightline.functions import text
+
+    df = spark.createDataFrame([(1, "s", {"code": "x", "Code": "y", "msg": "z", "_in": "n", "level": "mine", "none": None}), (2, None, None)], "n int, scan string, fields map<string,string>")
+    got = [r[0] for r in df.orderBy("n").select(text.log_line(F.lit("t"), F.lit("INFO"), F.lit("m"), F.col("scan"), F.col("fields"))).collect()]
+    assert got == ['{"timestamp":"t","message":"m","scan_id":"s","Code":"y","code":"[REDACTED]","ctx_msg":"z","level":"mine","none":null}', '{"timestamp":"t","level":"INFO","message":"m"}']
+    rows = [("all", "p", True), ("dev_only", "p", False), ("dev_only", "a", True), ("dev_only", None, True), ("none", "a", False)]
+    assert all(r[0] == r[1] for r in spark.createDataFrame(rows, "mode string, repo string, want boolean").select(text.alerts(F.col("mode"), F.col("repo"), "p"), "want").collect())
+
+
+def test_packs_and_second_pass(spark):
+    packs = spark.createDataFrame([("a", True, True), ("b", False, True), ("c", False, False)], "name string, required boolean, present boolean")
+    of = lambda df, which: sorted(r.name for r in findings.chosen_packs(df, which).collect())
+    assert of(packs, None) == ["a", "b"] and of(packs, ["b", "c"]) == ["b"] and of(packs, []) == []
+    assert of(packs.withColumn("present", F.col("name") == "b"), None) == [] and of(packs.withColumn("present", F.col("name") == "b"), ["b"]) == ["b"]
+    rows = [("Critical", ["claude"], True, True), ("Critical", ["claude"], False, False), ("High", ["claude"], True, False), ("Critical", ["claude", "x"], True, False), ("Critical", None, True, False), ("Critical", ["x"], True, False)]
+    df = spark.createDataFrame(rows, "severity string, sources array<string>, gate boolean, want boolean")
+    assert all(r[0] == r[1] for r in df.select(findings.wants_second_pass(F.col("severity"), F.col("sources"), F.col("gate")), "want").collect())
