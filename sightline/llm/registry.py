@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
+from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup, hard_negatives, jaccard_join, langid, licenses, mixing, packing, pii, prefix_trie, quality_rules, substring_dedup, warc, weak_labels
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages of corpus_pipeline.py, imported when they run: without that file the operators are still there."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
         "op1_language_id": langid.query,
@@ -24,7 +31,7 @@ def queries() -> dict:
         "op11_hard_negatives": hard_negatives.query,
         "op12_pii_sanitisation": pii.query,
         "op13_prefix_trie": prefix_trie.query,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline,
     }
 
 
