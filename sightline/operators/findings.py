@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.paths import VERIFIER_RISK_PREFIXES, risky
 from ..functions.text import basename, normal_band, overlaps, severity_rank
+from .context import contained_passages
 
 # Domains and limits that decide results.
 BANDS = {"Critical": "9.0-10.0", "High": "7.0-8.9", "Medium": "4.0-6.9", "Low": "0.1-3.9"}
@@ -26,25 +27,39 @@ VERDICT_BATCH = 5
 MAX_RULES = 2000
 
 
-def normalize_rules(raw: DataFrame, rules: DataFrame, raw_id: str = "raw_rule_id", longest: bool = False) -> DataFrame:
+def normalize_rules(raw: DataFrame, rules: DataFrame, raw_id: str = "raw_rule_id", longest: bool = False, max_rules: int = MAX_RULES) -> DataFrame:
     """``raw`` plus vuln_class: the rule of that very key, else the first (or longest) rule whose key the id contains, else the id cleaned up.
 
-    ``rules`` (key, vuln_class, rule_ord) is a rule table of at most ``MAX_RULES`` rows,
-    more are an error; it goes into the expression as a literal array, so no join is needed.
+    ``rules`` (key, vuln_class, rule_ord).  A table of at most ``max_rules`` goes into the
+    expression as a literal array, so no join is needed; a larger one is joined, by key
+    and by what one search of all keys finds in the distinct ids.
     """
-    listed = rules.select("rule_ord", "key", "vuln_class").limit(MAX_RULES + 1).collect()
-    if len(listed) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
+    listed = rules.select("rule_ord", "key", "vuln_class").limit(max_rules + 1).collect()
+    clean = F.translate(F.lower(raw_id), " -", "__")
+    if len(listed) > max_rules:
+        return _normalized_by_join(raw, rules, raw_id, longest, clean)
     table = sorted((r.rule_ord, r.key, r.vuln_class) for r in listed)
-    exact = F.create_map(*[F.lit(x) for _, k, c in reversed(table) for x in (k, c)])
+    first = {k: c for _, k, c in reversed(table)}  # a key that comes twice means its first rule
+    exact = F.create_map(*[F.lit(x) for pair in first.items() for x in pair])
     if longest:
         table.sort(key=lambda r: (-len(r[1]), r[0]))
     contained = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(c).alias("c")) for _, k, c in table])
     hit = F.get(F.filter(contained, lambda r: F.col(raw_id).contains(r["k"])), 0)["c"]
-    clean = F.translate(F.lower(raw_id), " -", "__")
     return raw.withColumn("vuln_class", F.coalesce(F.try_element_at(exact, F.col(raw_id)), hit, clean))
 
 
+def _normalized_by_join(raw: DataFrame, rules: DataFrame, raw_id: str, longest: bool, clean: Column) -> DataFrame:
+    ids = raw.select(F.col(raw_id).alias("__sl_id")).distinct()
+    exact = rules.groupBy(F.col("key").alias("__sl_id")).agg(F.min_by("vuln_class", "rule_ord").alias("__sl_exact"))
+    # The search ignores case, which these keys don't.
+    met = contained_passages(rules.select("rule_ord", "key"), ids.withColumn("__sl_text", F.col("__sl_id")), "rule_ord", "key", "__sl_id", "__sl_text").join(rules, "rule_ord")
+    rank = F.struct(-F.length("key"), "rule_ord") if longest else F.struct("rule_ord")
+    held = met.filter(F.col("__sl_id").contains(F.col("key"))).groupBy("__sl_id").agg(F.min_by("vuln_class", rank).alias("__sl_held"))
+    known = ids.join(exact, "__sl_id", "left").join(held, "__sl_id", "left").withColumnRenamed("__sl_id", "__sl_of")
+    out = raw.join(known, F.col(raw_id) == F.col("__sl_of"), "left").withColumn("vuln_class", F.coalesce("__sl_exact", "__sl_held", clean))
+    return out.drop("__sl_of", "__sl_exact", "__sl_held")
+
+
 def consensus(candidates: DataFrame, tolerance: int = CONSENSUS_LINES) -> DataFrame:
     """B1 and A10: clusters of candidates of one file and class, in input order.
 

@@ -135,3 +135,14 @@ def test_packs_and_second_pass(spark):
     rows = [("Critical", ["claude"], True, True), ("Critical", ["claude"], False, False), ("High", ["claude"], True, False), ("Critical", ["claude", "x"], True, False), ("Critical", None, True, False), ("Critical", ["x"], True, False)]
     df = spark.createDataFrame(rows, "severity string, sources array<string>, gate boolean, want boolean")
     assert all(r[0] == r[1] for r in df.select(findings.wants_second_pass(F.col("severity"), F.col("sources"), F.col("gate")), "want").collect())
+
+
+@pytest.mark.parametrize("longest", [False, True])
+def test_large_rule_tables_are_joined(spark, longest):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abAB") for _ in range(rng.randint(1, 4)))
+    rules = spark.createDataFrame([(i, word(), f"c{i}") for i in range(40)], "rule_ord int, key string, vuln_class string")
+    raw = spark.createDataFrame([(i, word() + rng.choice(["", " - x"]) if i % 9 else None) for i in range(120)] + [(500, "ZZ q-1")], "n int, raw_rule_id string")
+    small = sorted(tuple(r) for r in findings.normalize_rules(raw, rules, longest=longest).collect())
+    large = sorted(tuple(r) for r in findings.normalize_rules(raw, rules, longest=longest, max_rules=5).collect())
+    assert small == large and (500, "ZZ q-1", "zz_q_1") in small
