@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import paths, text
 from ..operators import context, findings, fixes, history
 from ..sources import tools
 from ..sources.shared import shared_folder
@@ -225,3 +225,40 @@ def published_runs(spark, sf_dir):
         history.publish(history.run_rows(runs.filter(k % 2 == odd), now), root, batch)
     history.run_rows(runs, now)["scans"].write.parquet(f"{root}/scans/batch=b3")
     return history.published(spark, root, "scans").groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.sum("scan_id").alias("ids"))
+
+
+#: A line for each anti-pattern, in their order, and lines that are none.
+_LINES = [
+    "get(u, verify = False)", "c = C(use_ssl=False)", "x.check_hostname = false", "m = ssl.CERT_NONE", "ssl._create_unverified_context()", "{ rejectUnauthorized: false }", "NODE_TLS_REJECT_UNAUTHORIZED='0'", "curl --insecure u",
+    "allow_origins=['*']", "'Access-Control-Allow-Origin': '*'", "CORS_ORIGIN_ALLOW_ALL = True", "auth_disabled=True", "login_required = False", "@csrf.exempt", "WTF_CSRF_ENABLED = False", "SESSION_COOKIE_SECURE = False", "CSRF_COOKIE_SECURE=False",
+    "SESSION_COOKIE_HTTPONLY = False", "SECURE_SSL_REDIRECT = False", "permission_classes = [AllowAny]", "authentication_classes = []", "{'alg': 'none'}", "decode(t, algorithms=[])", "{'verify_signature': False}", "eval(x)", "exec (x)", "run(c, shell=True)",
+    "os.system(c)", "pickle.loads(b)", "marshal.load(f)", "yaml.unsafe_load(f)", "yaml.load(f)", "__import__ (n)", "dill.load(f)", "jsonpickle.decode(s)", "pd.read_pickle(f)", "torch.load(f)", "joblib.load(f)", "hashlib.md5(b)", "hashlib.new('sha1')",
+    "DES.new(k)", "ssl.PROTOCOL_TLSv1", "app.run(debug=True)", "FLASK_DEBUG=1", "SECRET_KEY = 'test'", "chmod -R 0777 d", "os.umask(0)", "tempfile.mktemp()", "z.extractall(d)",
+    "yaml.load(f, Loader=L)", "hashlib.md5(b, usedforsecurity=False)", "verify=True", "safe()",
+]
+_BAD = lambda c, p, ok: f"(regexp_matches({c}, {sql_text(p)})" + (f" AND NOT regexp_matches({c}, {sql_text(ok)}))" if ok else ")")
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {pick_sql(f"doc_id % {len(_LINES)}", _LINES)} AS new, {pick_sql(f"(doc_id // 7) % {len(_LINES)}", _LINES)} AS old FROM documents),
+p AS (SELECT DISTINCT new, old FROM d), l AS (SELECT new, old, CASE {" ".join(f"WHEN {_BAD('new', p, ok)} AND NOT {_BAD('old', p, ok)} THEN {sql_text(label)}" for label, p, ok in fixes.ANTI_PATTERNS)} END AS label FROM p)
+SELECT doc_id, label FROM d JOIN l USING (new, old)
+""")
+def introduced_patterns(spark, sf_dir):
+    """Each of the anti-patterns put in, some of them there before."""
+    i, n = F.col("doc_id"), len(_LINES)
+    of = lambda key: F.get(F.array(*map(F.lit, _LINES)), key.cast("int"))
+    # Bound once, so that the lines are picked once and not for each pattern.
+    pair = F.array(F.struct(of(F.floor(i / 7) % n).alias("old"), of(i % n).alias("new")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.get(F.transform(pair, lambda x: fixes.introduced(x["old"], x["new"])), 0).alias("label"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Tests/' WHEN 1 THEN 'a/__tests__/' WHEN 2 THEN 'a\test\' WHEN 3 THEN 'contest/' WHEN 4 THEN 'a/tests/' ELSE '' END || doc_id || CASE doc_id % 8 WHEN 0 THEN '.PY' WHEN 1 THEN '.spec.js' WHEN 2 THEN '.rb' WHEN 3 THEN '.test.tsx' WHEN 4 THEN '.kt.txt' WHEN 5 THEN '.rs' WHEN 6 THEN '.go' ELSE '' END AS path FROM documents)
+SELECT doc_id, doc_id % 6 IN (0, 1, 2, 4) OR doc_id % 8 IN (1, 3) AS test_file, doc_id % 8 IN (0, 1, 2, 3, 5, 6) AS code_file FROM d
+""")
+def path_kinds(spark, sf_dir):
+    """tests as the search for callers sees them, files of code."""
+    i = F.col("doc_id")
+    path = F.concat(pick(i % 6, ["Tests/", "a/__tests__/", "a\\test\\", "contest/", "a/tests/"], ""), S("doc_id"), pick(i % 8, [".PY", ".spec.js", ".rb", ".test.tsx", ".kt.txt", ".rs", ".go"], ""))
+    return table(spark, sf_dir, "documents").select("doc_id", paths.caller_test_file(path).alias("test_file"), paths.code_file(path).alias("code_file"))
