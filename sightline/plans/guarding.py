@@ -141,3 +141,27 @@ def upload_contexts(spark, sf_dir):
     out = access.upload_context(access.upload_handlers(lines), lines, context.routes(lines))
     of = {"retrieval": "retrieval_signals", "validation": "validation_signals", "naming": "filename_handling", "storage": "storage_signals", "limits": "size_limit_signals", "processing": "post_processing_signals"}
     return out.select("path", "line", "framework", "function", *[F.array_join(c, " | ").alias(n) for n, c in of.items()])
+
+
+_ROUTE = sql_text("@app.route('/uploads/<n>', methods=['POST', 'PUT'])")
+
+
+@query(rf"""
+WITH {CODE},
+gd AS (SELECT path, string_agg(kind || ' ' || name, ',' ORDER BY line, kind, name) AS guards FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line, kind, name) AS rn FROM (WITH z AS (SELECT 1){"," + _GUARDS})) WHERE rn <= 10 GROUP BY 1),
+ow AS (SELECT path, string_agg(pattern, ',' ORDER BY line, pattern, identifier, current_user_derived) AS owners FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line, pattern, identifier, current_user_derived) AS rn FROM (WITH z AS (SELECT 1){"," + _OWNERS})) WHERE rn <= 10 GROUP BY 1),
+rt AS (SELECT path, line, unnest(['POST', 'PUT']) AS method FROM l WHERE low LIKE '%.py' AND text = {_ROUTE}),
+rf AS (SELECT path, string_agg(method || ' ' || path || ':' || line, ',' ORDER BY line, method) AS routes FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line, method) AS rn FROM rt) WHERE rn <= 5 GROUP BY 1),
+ro AS (SELECT string_agg(method || ' ' || path || ':' || line, ',' ORDER BY path, line, method) AS routes FROM (SELECT * FROM rt ORDER BY path, line, method LIMIT 5)),
+sn AS (SELECT path, string_split(t, chr(10)) AS ls FROM d)
+SELECT path, array_to_string(ls[1:14], chr(10)) AS snippet, coalesce(rf.routes, ro.routes, '') AS routes, coalesce(guards, '') AS guards, coalesce(owners, '') AS owners
+FROM sn LEFT JOIN rf USING (path) LEFT JOIN gd USING (path) LEFT JOIN ow USING (path), ro
+""")
+def context_bundles(spark, sf_dir):
+    """What surrounds a finding in lines 5 and 6 of every file; files without routes get the snapshot's first."""
+    f = files(spark, sf_dir)
+    cand = f.select(F.xxhash64("path").alias("candidate_ord"), F.col("path").alias("file"), F.lit(5).alias("line_start"), F.lit(6).alias("line_end"), F.array(F.lit("llm")).alias("sources"))
+    b = context.bundles(cand, f)
+    told = lambda c, f: F.array_join(F.transform(c, f), ",")
+    routes = told("routes", lambda r: F.concat(r["method"], F.lit(" "), r["path"], F.lit(":"), r["line"].cast("string")))
+    return b.select(F.col("file").alias("path"), "snippet", routes.alias("routes"), told("guards", lambda g: F.concat(g["kind"], F.lit(" "), g["name"])).alias("guards"), told("ownership", lambda o: o["pattern"]).alias("owners"))
