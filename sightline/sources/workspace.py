@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import contextlib
 import os
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -88,19 +89,31 @@ class WorkspaceWriter(DataSourceArrowWriter):
         self.root = options["path"].rstrip("/")
         #: Of this write; all its tasks stage below it.
         self.staging = f"{STAGING}/{uuid.uuid4().hex}"
+        # Made once, by the driver: tasks never make it, so none can write after an abort took it away.
+        store, root = self._open()
+        store.create_dir(f"{root}/{self.staging}", recursive=True)
 
     def _open(self) -> tuple[fs.FileSystem, str]:
         return fs.FileSystem.from_uri(self.root)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Staged:
         store, root = self._open()
-        folder, names = f"{root}/{self.staging}/{uuid.uuid4().hex}", {}
+        folder, names, made = f"{root}/{self.staging}/{uuid.uuid4().hex}", {}, set()
+
+        def make(at: str) -> None:
+            if at not in made:
+                if at != folder:
+                    make(at.rpartition("/")[0])
+                store.create_dir(at, recursive=False)
+                made.add(at)
+
         try:
+            make(folder)
             for b in iterator:
                 for run, path, content in zip(*(b.column(b.schema.names.index(n)).to_pylist() for n in ("run", "path", "content"))):
                     name = "/".join(p for p in f"{run}/{path}".split("/") if p not in ("", "."))
                     target = f"{folder}/{name}"
-                    store.create_dir(target.rpartition("/")[0], recursive=True)
+                    make(target.rpartition("/")[0])
                     with store.open_output_stream(target) as f:
                         f.write((content or "").encode("utf-8", "replace"))
                     names[name] = None
@@ -130,8 +143,13 @@ class WorkspaceWriter(DataSourceArrowWriter):
 
     def _clear(self, store: fs.FileSystem, root: str) -> None:
         """What this write staged goes, of lost and failed tasks too."""
-        with contextlib.suppress(OSError):
-            store.delete_dir(f"{root}/{self.staging}")
+        for _ in range(5):  # a task that isn't stopped yet can write while folders go
+            try:
+                store.delete_dir(f"{root}/{self.staging}")
+            except FileNotFoundError:
+                break
+            except OSError:
+                time.sleep(0.1)
         with contextlib.suppress(OSError):
             if not store.get_file_info(fs.FileSelector(f"{root}/{STAGING}")):
                 store.delete_dir(f"{root}/{STAGING}")
