@@ -434,3 +434,49 @@ def test_stars_of_edited_copies(spark, n, least):
         assert r.jaccard >= 0.8
         root[top(r.doc_id)] = top(r.with_doc_id)
     assert sum(top(a) == top(b) for a, b in pairs) >= least * len(pairs)
+
+
+@pytest.mark.parametrize("n", [50, 54, 60])
+def test_near_passages_all_linked(spark, n):
+    """Passages at the threshold are linked wherever the edit is, also around a line that many texts have."""
+    rng = random.Random(n)
+    fresh = lambda k: [f"w{rng.randrange(10**9)}" for _ in range(k)]
+    line = fresh(28)
+    docs, pairs = [" ".join(fresh(20) + line + fresh(20)) for _ in range(60)], []
+
+    def near(w):
+        while True:
+            v = list(w)
+            v[rng.randrange(len(w))] = fresh(1)[0]
+            a, b = (set(_shingle_hashes(x).tolist()) for x in (w, v))
+            if len(a & b) >= 0.8 * len(a | b):
+                return v
+
+    for k in range(120):
+        w = fresh(n) if k % 2 else fresh((n - 28) // 2) + line + fresh(n - 28 - (n - 28) // 2)
+        pairs.append((len(docs), len(docs) + 1))
+        docs += [" ".join(fresh(30) + x + fresh(30)) for x in (w, near(w))]
+    linked = linked_classes(substring_dedup.repeated_passages(simple(spark, list(enumerate(docs)))).collect(), range(len(docs)))
+    assert [p for p in pairs if linked[p[0]] != linked[p[1]]] == []
+    assert len(set(linked.values())) == len(docs) - len(pairs)
+
+
+def test_shortest_run():
+    """Of passages at the threshold with edits of every kind none has a shorter run in common."""
+    rng, t = random.Random(4), 46
+    least = substring_dedup.shortest_run(t, 5, 80, 100)
+    for _ in range(4000):
+        w = list(range(rng.randint(50, 160)))
+        v = list(w)
+        for _ in range(rng.randint(1, 4)):
+            i, new = rng.randrange(len(v)), rng.randrange(10**9)
+            kind = rng.randrange(4)
+            if kind == 3:
+                v = v[i:] + v[:i]
+            else:
+                v[i : i + (kind != 1)] = [new] if kind != 2 else []
+        a, b = ([tuple(x[i : i + 5]) for i in range(len(x) - 4)] for x in (w, v))
+        if len(b) < t or 100 * len(set(a) & set(b)) < 80 * len(set(a) | set(b)):
+            continue
+        runs = {tuple(b[i : i + least]) for i in range(len(b) - least + 1)}
+        assert any(tuple(a[i : i + least]) in runs for i in range(len(a) - least + 1))
