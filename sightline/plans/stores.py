@@ -8,6 +8,7 @@ from ..sources import folder, ignore, remote, workspace
 from ..sources.shared import shared_folder
 from .base import FILES, as_files, query, table
 
+_ROW_GROUP = 1 << 20
 _PAGE_PATH = "'site' || CAST(page_id % 4 AS VARCHAR) || '/part' || CAST(page_id % 10 AS VARCHAR) || '/' || CAST(page_id AS VARCHAR) || '.html'"
 
 
@@ -34,7 +35,8 @@ SELECT {_PAGE_PATH} AS path, CASE WHEN page_id % 13 = 0 THEN NULL WHEN page_id %
 def remote_listing(spark, sf_dir):
     """S3 over recorded answers: folders listed one by one, files in batches of 20, files without an answer as rows with an error."""
     base = shared_folder(spark, "answers")
-    _answers(spark, sf_dir).repartitionByRange(8, "path").write.parquet(base)
+    # In order and in small row groups, so that a batch reads what it needs.
+    _answers(spark, sf_dir).repartitionByRange("path").sortWithinPartitions("path").write.option("parquet.block.size", _ROW_GROUP).parquet(base)
     return remote.contents(spark, base, batch=20)
 
 

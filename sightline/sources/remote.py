@@ -15,8 +15,10 @@ import time
 import urllib.error
 import urllib.parse
 import urllib.request
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.dataset as ds
@@ -35,8 +37,8 @@ class NotThere(LookupError):
     """The interface has no such path."""
 
 
-#: What a source is: for a list of paths a function that has the answer for each of them, or raises NotThere.
-Source = Callable[[list[str]], Callable[[str], str]]
+#: What a source is: for a list of paths and where they are a function that has the answer for each of them, or raises NotThere.
+Source = Callable[[list[str], dict[str, list[int]] | None], Callable[[str], str]]
 
 
 def _over_http(base: str, ref: str, token: str | None) -> Source:
@@ -58,15 +60,47 @@ def _over_http(base: str, ref: str, token: str | None) -> Source:
                 fault = f"no answer: {type(e).__name__}"
         raise NotThere(fault)
 
-    return lambda paths: ask
-
-
-def _recorded(base: str) -> Source:
-    def source(paths: list[str]) -> Callable[[str], str]:
-        # One scan for all paths of a batch.
-        store, at = fs.FileSystem.from_uri(base)
-        table = ds.dataset(at, filesystem=store, format="parquet").to_table(columns=["path", "answer"], filter=pc.field("path").isin(paths))
-        have = dict(zip(table.column("path").to_pylist(), table.column("answer").to_pylist()))
+    return lambda paths, where: ask
+
+
+class _Recorded:
+    """Recorded answers: the driver reads the table's footers once and tells each task the row groups that may have its paths."""
+
+    def __init__(self, base: str):
+        self.base, self.index = base, None
+
+    def __getstate__(self) -> dict:
+        return {"base": self.base, "index": None}
+
+    def where(self, paths: list[str]) -> dict[str, list[int]]:
+        """Row groups by file; few of them where the table is in order of its paths."""
+        if self.index is None:
+            store, at = fs.FileSystem.from_uri(self.base)
+            pieces = ds.dataset(at, filesystem=store, format="parquet").get_fragments()
+            told = [(g.statistics and g.statistics.get("path"), piece.path, g.id) for piece in pieces for g in piece.row_groups]
+            known = sorted((x["min"], x["max"], file, group) for x, file, group in told if x)
+            reach = list(accumulate((x[1] for x in known), max))
+            self.index = known, [x[0] for x in known], reach, [x[1:] for x in told if not x[0]]
+        known, begins, reach, rest = self.index
+        found = set(rest)
+        for path in paths:
+            k = bisect_right(begins, path) - 1
+            while k >= 0 and reach[k] >= path:
+                if known[k][1] >= path:
+                    found.add(known[k][2:])
+                k -= 1
+        groups: dict[str, list[int]] = {}
+        for file, group in sorted(found):
+            groups.setdefault(file, []).append(group)
+        return groups
+
+    def __call__(self, paths: list[str], where: dict[str, list[int]] | None) -> Callable[[str], str]:
+        store, _ = fs.FileSystem.from_uri(self.base)
+        have: dict[str, str] = {}
+        for file, groups in (where or {}).items():
+            piece = ds.ParquetFileFormat().make_fragment(file, filesystem=store, row_groups=groups)
+            table = piece.to_table(columns=["path", "answer"], filter=pc.field("path").isin(paths))
+            have.update(zip(table.column("path").to_pylist(), table.column("answer").to_pylist()))
 
         def ask(path: str) -> str:
             if have.get(path) is None:
@@ -75,8 +109,6 @@ def _recorded(base: str) -> Source:
 
         return ask
 
-    return source
-
 
 def decoded(answer: dict) -> str:
     """The text of a file's answer: base64 with bytes that aren't UTF-8 replaced, else as it is."""
@@ -89,18 +121,20 @@ def decoded(answer: dict) -> str:
 class Paths(InputPartition):
     names: list[str]
     errors: list[tuple[str, str]]
+    where: dict[str, list[int]] | None = None
 
 
 class RemoteReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         base, self.start = options["base"], options.get("start", "")
         web = base.startswith(("http://", "https://"))
-        self.source = _over_http(base, options.get("ref", "HEAD"), options.get("token")) if web else _recorded(base)
+        self.source = _over_http(base, options.get("ref", "HEAD"), options.get("token")) if web else _Recorded(base)
+        self.where = (lambda paths: None) if web else self.source.where
         self.batch, self.pause = int(options.get("batch", BATCH)), float(options.get("pause", PAUSE if web else 0))
 
-    def _answers(self, paths: list[str]) -> Iterator[tuple[str, object]]:
+    def _answers(self, paths: list[str], where: dict[str, list[int]] | None) -> Iterator[tuple[str, object]]:
         """(path, answer) one after the other; a fault in place of an answer that can't be had."""
-        ask = self.source(paths)
+        ask = self.source(paths, where)
         for k, path in enumerate(paths):
             if k and self.pause:
                 time.sleep(self.pause)
@@ -115,7 +149,7 @@ class RemoteReader(DataSourceReader):
         files, errors, level = [], [], [self.start]
         while level:
             below = []
-            for path, answer in self._answers(level):
+            for path, answer in self._answers(level, self.where(level)):
                 if isinstance(answer, Exception):
                     errors.append((path, str(answer)))
                 elif isinstance(answer, dict):
@@ -124,12 +158,13 @@ class RemoteReader(DataSourceReader):
                     files += [x["path"] for x in answer if x.get("type") == "file"]
                     below += [x["path"] for x in answer if x.get("type") == "dir"]
             level = below
-        parts = [Paths(files[i : i + self.batch], []) for i in range(0, len(files), self.batch)]
+        batches = [files[i : i + self.batch] for i in range(0, len(files), self.batch)]
+        parts = [Paths(names, [], self.where(names)) for names in batches]
         return parts + ([Paths([], errors)] if errors or not parts else [])
 
     def read(self, partition: Paths) -> Iterator[pa.RecordBatch]:
         rows = [(p, None, e) for p, e in partition.errors]
-        for path, answer in self._answers(partition.names):
+        for path, answer in self._answers(partition.names, partition.where):
             fine = isinstance(answer, dict) and answer.get("type") == "file"
             try:
                 rows.append((path, decoded(answer), None) if fine else (path, None, str(answer) if isinstance(answer, Exception) else "not a file"))

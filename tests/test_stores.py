@@ -6,6 +6,8 @@ import re
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +90,22 @@ def test_folder_texts(spark, tmp_path):
 # ---- remote contents -----------------------------------------------------------------------
 
 
+def test_recorded_batches_read_their_row_groups(spark, tmp_path):
+    """A batch reads the row groups that may have its files, not the whole table; tables in no order give the same rows."""
+    names = [f"d{i % 3}/{i:04}.py" for i in range(600)]
+    rows = [(n, json.dumps({"type": "file", "path": n, "content": n})) for n in names if not n.endswith("7.py")]
+    listed = lambda of, kind, items: (of, json.dumps([{"type": kind, "path": x} for x in items]))
+    rows += [listed(f"d{k}", "file", sorted(n for n in names if n.startswith(f"d{k}/"))) for k in range(3)] + [listed("", "dir", ["d0", "d1", "d2"])]
+    table = pa.Table.from_pylist([{"path": p, "answer": a} for p, a in sorted(rows)])
+    for at, t in (("ordered", table), ("mixed", table.take([(i * 101) % len(table) for i in range(len(table))]))):
+        (tmp_path / at).mkdir()
+        pq.write_table(t, tmp_path / at / "part-0.parquet", row_group_size=20)
+        got = remote.contents(spark, f"file://{tmp_path}/{at}", batch=10).collect()
+        assert {(r.path, r.content, r.error) for r in got} == {(n, None, "status 404") if n.endswith("7.py") else (n, n, None) for n in names} and len(got) == 600
+    parts = remote.RemoteReader({"base": f"file://{tmp_path}/ordered", "batch": "10"}).partitions()
+    assert len(parts) == 60 and all(sum(len(g) for g in p.where.values()) <= 3 for p in parts)
+
+
 def test_remote_over_http(spark):
     answers = {
         "": [{"type": "file", "path": "a.py"}, {"type": "dir", "path": "lib"}, {"type": "symlink", "path": "l"}, {"type": "file", "path": "gone.py"}],
