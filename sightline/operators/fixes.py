@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -172,20 +173,42 @@ def splice(content: str, edits: list[tuple[int, int, str, int]], parsed: bool) -
     lines, low, decided = content.splitlines(keepends=True), None, []
     n, below = len(lines), []  # what stands from line ``low`` on, last piece first
     low = n + 1
+    # Where statements of the module begin and end above ``low``, if the text is Python as it stands.
+    spans = _statements(content, lines) if parsed else None
     for start, end, code, ord_ in sorted(edits, key=lambda e: (-e[0], e[3])):
         reason = OUT_OF_BOUNDS if not 1 <= start <= end <= n else OVERLAPS if end >= low else None
         if reason is None:
             piece = "".join(lines[end : low - 1])
             new = code if code.endswith("\n") else code + "\n"
-            if parsed and not is_python("".join(lines[: start - 1]) + new + piece + "".join(reversed(below))):
-                reason = BREAKS_SYNTAX
-            else:
+            # Whole statements in place of whole statements leave the rest as it is parsed.
+            if parsed and not (spans and start in spans[0] and end in spans[1] and is_python(new)):
+                text = "".join(lines[: start - 1]) + new + piece + "".join(reversed(below))
+                if is_python(text):
+                    spans = _statements(text, lines[: start - 1])
+                else:
+                    reason = BREAKS_SYNTAX
+            if reason is None:
                 below += [piece, new]
                 low = start
         decided.append({"ord": ord_, "reason": reason})
     return "".join(lines[: low - 1]) + "".join(reversed(below)), decided
 
 
+def _statements(text: str, lines: list[str]) -> tuple[set[int], set[int]] | None:
+    """First and last lines of the module's statements that have their lines to themselves; null if ``text`` is no Python or its lines aren't those of ``lines``."""
+    if "\\\n" in text or any(x in text for x in "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"):
+        return None
+    try:
+        body = ast.parse(text).body
+    except (SyntaxError, ValueError):
+        return None
+    spans = [(min([x.lineno, *(d.lineno for d in getattr(x, "decorator_list", []))]), x.end_lineno) for x in body]
+    firsts, lasts = Counter(a for a, _ in spans), Counter(b for _, b in spans)
+    # Several on a line share it with another's end or begin.
+    alone = [(a, b) for a, b in spans if firsts[a] == 1 and lasts[b] == 1 and (a == b or not (lasts[a] or firsts[b])) and b <= len(lines)]
+    return {a for a, _ in alone}, {b for _, b in alone}
+
+
 def is_python(text: str) -> bool:
     try:
         ast.parse(text)

@@ -163,6 +163,23 @@ def test_metrics_of_a_running_query(spark):
 # ---- reports -----------------------------------------------------------------------------
 
 
+def test_splice_parses_what_changes(monkeypatch):
+    """Whole statements are parsed on their own, with the outcome of parsing the text after each edit."""
+    rng, whole = random.Random(8), fixes.is_python
+    blocks = ["a = 1\n", "b = (1,\n  2)\n", "@dec\ndef f():\n    return 1\n", "if a:\n    b = 2\nelse:\n    c = 3\n", "x = 1; y = 2\n", "# note\n", "\n", "s = \"\"\"\n t\n\"\"\"\n", "z = 1 + \\\n  2\n"]
+    codes = ["n = 1", "n = (", "  n = 1", "else:\n    n = 1", "if a:\n    n = 1", "# n", "", "\"\"\"", "@dec", "n = 1; m = 2", "n = 1 \\", "return 1", ")"]
+    for k in range(3000):
+        content = "".join(rng.choice(blocks[: 8 + k % 2]) for _ in range(rng.randint(1, 8)))
+        m = len(content.splitlines())
+        edits = [(a, min(m, a + rng.choice([0, 0, 1, 2])), rng.choice(codes), o) for o in range(6) for a in [rng.randint(1, m + 1)]]
+        text, decided = fixes.splice(content, edits, True)
+        assert (text, {d["ord"]: d["reason"] for d in decided}) == plain_splice(content, edits, True), (content, edits)
+    read = []
+    monkeypatch.setattr(fixes, "is_python", lambda text: read.append(len(text)) or whole(text))
+    fixes.splice("a = 1\n" * 5000, [(i, i, "b = 2", i) for i in range(1, 5001)], True)
+    assert sum(read) == 5000 * len("b = 2\n")
+
+
 def test_markdown_report(spark):
     f = "scan_id string, ord int, vulnerability_id string, severity string, confidence string, verification_status string, affected_file string, affected_lines string, owasp_reference string, patch_file_path string, consensus_score int, sources array<string>, description string, exploit_scenario string, suggested_fix string, context_summary string"
     found = [
