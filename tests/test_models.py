@@ -4,6 +4,7 @@ import math
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -319,3 +320,27 @@ def test_repeated_logins_and_rotations_count_once(spark):
     asked = spark.createDataFrame([("a", "n1"), ("a", "n2")], "user string, new_token string")
     out = [(r.user, r.token, r.revoked_at is None) for r in history.rotate(tokens, asked, F.current_timestamp()).collect()]
     assert sorted(out) == [("a", "n2", True), ("a", "t1", False), ("b", "t2", True)]
+
+
+def test_first_fit_tries_few_clusters_one_by_one(monkeypatch):
+    """Islands of few clusters build no tree, larger ones one, with the same clusters."""
+    rng, made, tree = random.Random(6), [], findings._Cover
+    monkeypatch.setattr(findings, "_Cover", lambda: made.append(1) or tree())
+
+    def numbers(rows):
+        b = pa.RecordBatch.from_pylist([{"k": k, "line_start": a, "line_end": e} for k, a, e in rows])
+        return [n for out in findings._first_fit(iter([b]), ["k"], 2) for n in out.column("cluster").to_pylist()]
+
+    def plain(rows):
+        ranges, out = {}, []
+        for k, a, e in rows:
+            own = ranges.setdefault(k, [])
+            n = next((i for i, r in enumerate(own) if max(a, r[0]) <= min(e, r[1]) + 2), len(own))
+            own[n:n + 1] = [[min(a, own[n][0]), max(e, own[n][1])] if n < len(own) else [a, e]]
+            out.append(n)
+        return out
+
+    few = [(k, a, a + rng.randint(0, 2)) for k in range(60) for _ in range(30) for a in [rng.randint(1, 60)]]
+    assert numbers(few) == plain(few) and not made
+    many = [(0, a, a + rng.randint(0, 2)) for _ in range(600) for a in [rng.randint(1, 900)]]
+    assert numbers(many) == plain(many) and len(made) == 1
