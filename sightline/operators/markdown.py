@@ -152,7 +152,9 @@ def reports(scans: DataFrame, findings: DataFrame, key: str = "scan_id", order:
         F.count_if((critical | high) & F.col("confidence").isin("Medium", "Low")).alias("__sl_advisory"),
         F.count_if(F.col("verification_status") == "advisory_real").alias("__sl_triaged"),
     )
-    met = scans.join(told, F.col(key).eqNullSafe(F.col("__sl_key")), "left")
+    # A null-safe join would deal the texts anew; by plain keys they stay where they were put together.
+    met = scans.filter(F.col(key).isNotNull()).join(told, F.col(key) == F.col("__sl_key"), "left")
+    met = met.unionByName(scans.filter(F.col(key).isNull()).join(told.filter("__sl_key IS NULL"), F.lit(True), "left"))
     n = F.coalesce("__sl_n", F.lit(0))
     some = lambda c, text: F.when(F.col(c) > 0, F.format_string(text, F.col(c)))
     unread = F.array_join(F.transform(F.coalesce("unscanned_files", F.array().cast("array<string>")), lambda p: F.concat(F.lit("`"), p, F.lit("`"))), ", ")
