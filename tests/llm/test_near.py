@@ -480,3 +480,42 @@ def test_shortest_run():
             continue
         runs = {tuple(b[i : i + least]) for i in range(len(b) - least + 1)}
         assert any(tuple(a[i : i + least]) in runs for i in range(len(a) - least + 1))
+
+
+def test_repeated_lines_meet_without_products(spark, monkeypatch):
+    """A line that two texts repeat is compared window by window in the task; rows hold each text's own windows only."""
+    rng, seen = random.Random(6), {}
+    fresh = lambda k: [f"w{rng.randrange(10**9)}" for _ in range(k)]
+    line, passage = fresh(30), fresh(60)
+    docs = [" ".join(w for _ in range(30) for w in line + fresh(120)) + " " + " ".join(passage) for _ in range(2)]
+    store = Workspace.store
+
+    def noted(self, df, name):
+        out = store(self, df, name)
+        if name.endswith("_pairs") and "windows" in out.columns:
+            seen[name] = out.selectExpr("max(size(windows)) AS n").first().n
+        return out
+
+    monkeypatch.setattr(Workspace, "store", noted)
+    got = substring_dedup.repeated_passages(simple(spark, list(enumerate(docs)))).collect()
+    assert {(r.doc_id, r.with_doc_id) for r in got} in ({(0, 1)}, {(1, 0)}) and max(r.end_word - r.start_word for r in got) >= 60
+    assert 30 <= seen["round0_pairs"] < 30 * 30
+
+
+def test_pairs_left_out_have_no_passage():
+    """Whatever passages() finds is in a text that the first look lets through, however many are looked at together."""
+    rng = np.random.default_rng(3)
+    hub = rng.integers(0, 2**63, 400).astype(np.uint64)
+    others, found = [], []
+    for k in range(300):
+        other = rng.integers(0, 2**63, int(rng.integers(0, 200))).astype(np.uint64)
+        if k % 3:
+            a, n = int(rng.integers(0, 300)), int(rng.integers(20, 80))
+            part = hub[a : a + n].copy()
+            part[rng.random(len(part)) < 0.1] = 1
+            other = np.concatenate([other, part, other[:k % 7]])
+        others.append(other)
+        found.append(bool(len(other)) and bool(substring_dedup.passages(hub, other, [(0, len(other) - 1, 0, 399)], 46, 80, 100)))
+    got = substring_dedup.may_have_passages(np.unique(hub), others, 46, 4)
+    assert not [k for k in range(300) if found[k] and not got[k]] and 20 < sum(found) and sum(got) < 200
+    assert got.tolist() == [bool(substring_dedup.may_have_passages(np.unique(hub), [x], 46, 4)[0]) for x in others]
