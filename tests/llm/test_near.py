@@ -519,3 +519,38 @@ def test_pairs_left_out_have_no_passage():
     got = substring_dedup.may_have_passages(np.unique(hub), others, 46, 4)
     assert not [k for k in range(300) if found[k] and not got[k]] and 20 < sum(found) and sum(got) < 200
     assert got.tolist() == [bool(substring_dedup.may_have_passages(np.unique(hub), [x], 46, 4)[0]) for x in others]
+
+
+def test_dense_around_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        n, t = int(rng.integers(1, 40)), int(rng.integers(1, 12))
+        score = rng.choice([1, 1, 1, 0, -4], n)
+        lo = rng.integers(0, n, 5)
+        hi = np.minimum(n - 1, lo + rng.integers(0, 6, 5))
+        got = substring_dedup.dense_around(score, lo, hi, t).tolist()
+        assert got == [any(score[a:b].sum() >= 0 for a in range(x + 1) for b in range(max(y + 1, a + t), n + 1)) for x, y in zip(lo, hi)]
+
+
+def test_lines_in_common_do_not_meet_pair_by_pair(spark, monkeypatch):
+    """Texts of their own around one line are told apart without comparing each two; passages around the line are found, in slices too."""
+    rng, seen = random.Random(7), {}
+    fresh = lambda k: [f"w{rng.randrange(10**9)}" for _ in range(k)]
+    line = fresh(28)
+    docs = [" ".join(fresh(60) + line + fresh(60)) for _ in range(80)]
+    for _ in range(6):
+        after = fresh(32)
+        docs += [" ".join(fresh(60) + line + after + fresh(60)) for _ in range(3)]
+    store = Workspace.store
+
+    def noted(self, df, name):
+        out = store(self, df, name)
+        seen[name] = out.count() if name == "last_pairs" else 0
+        return out
+
+    monkeypatch.setattr(Workspace, "store", noted)
+    monkeypatch.setattr(substring_dedup, "SLICE_BYTES", 1 << 16)
+    monkeypatch.setattr(substring_dedup, "SLICE_SHARE", 0.01)
+    linked = linked_classes(substring_dedup.repeated_passages(simple(spark, list(enumerate(docs)))).collect(), range(len(docs)))
+    assert len(set(linked.values())) == 80 + 6 and all(len({linked[80 + 3 * k + i] for i in range(3)}) == 1 for k in range(6))
+    assert seen["last_pairs"] < 300 and "round0_spans1" in seen
